@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -54,6 +55,9 @@ def template(token: str, names: frozenset[str]) -> str:
     return "n" if token in names else token
 
 
+Block = namedtuple("Block", "a b size")
+
+
 @dataclass
 class Item:
     item_id: int
@@ -153,20 +157,25 @@ class Index:
             later = [x for x, _ in seeds if x >= d and x < d + reach]
             high = min(len(found), max(later) + reach)
             done.append((d, max(later) + 1))
-            blocks = [b for b in SequenceMatcher(None, found[low:high], item.tokens, autojunk=False).get_matching_blocks() if b.size]
-            got = self._judge(blocks, item)
-            # A stretch may lie on other matches than the longest ones: also judge those on the seed's own diagonal.
-            if got is None:
-                got = self._judge(self._along(found, item, d, p), item)
+            # Walking from the seed settles most candidates; the rest are aligned over the whole region.
+            got = self._judge(self._along(found, item, d, p), item)
+            if got is None and self._promising(found[low:high], item):
+                got = self._judge([b for b in SequenceMatcher(None, found[low:high], item.tokens, autojunk=False).get_matching_blocks() if b.size], item)
             if got and (best is None or got > best):
                 best = got
         return best
 
+    def _promising(self, region: list[str], item: Item) -> bool:
+        """Whether some stretch of rule.words words of the passage has few enough words that the region lacks."""
+        held = set(region)
+        lacking = np.zeros(item.n_words + 1, np.int64)
+        lacking[1:] = np.bincount(item.word_of[[t not in held for t in item.tokens]], minlength=item.n_words) > 0
+        total = np.cumsum(lacking)
+        n = self.rule.words
+        return item.n_words >= n and bool((total[n:] - total[:-n] <= self.rule.edits).any())
+
     def _along(self, found: list[str], item: Item, d: int, p: int) -> list:
         """Matching blocks got by walking from a seed both ways, skipping up to the allowed edits at once."""
-        from collections import namedtuple
-
-        Block = namedtuple("Block", "a b size")
         skip = self.rule.edits + 1
 
         def walk(step: int) -> list[tuple[int, int]]:
