@@ -78,7 +78,7 @@ def resolve_instants(
     """``df`` with the UTC instant that each time text states.
 
     Columns named by arguments: ``zone`` the wall clock's zone name (NULL: UTC), ``day_first`` the order in slashed dates
-    (NULL: month first), ``origin`` the timestamp of minute zero of relative clocks. ``expected`` are micros that other times of
+    (NULL: month first), ``origin`` the timestamp of minute zero of relative clocks. A name that is no zone gives NULL. ``expected`` are micros that other times of
     the row lead to, by which a clock reading that occurs twice is settled: the nearer of both counts, and the earlier if they
     are as near or there is nothing to go by. New columns: ``utc_us`` (NULL if the text is NULL or of no known notation, or
     lacks its origin), ``notation`` and ``clock`` (one, two, none, or NULL where no wall clock is involved). Readings in the
@@ -146,7 +146,11 @@ def resolve_instants(
     nearer = F.abs(own - F.col("_expected")) < F.abs(other - F.col("_expected"))
     further = F.abs(own - F.col("_expected")) > F.abs(other - F.col("_expected"))
     keep = F.coalesce(F.col("_kind") != "two", F.lit(True)) | F.coalesce(F.when(nearer, True).when(further, False), own < other)
-    named = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_local")), F.when(F.col("_zone").rlike(r"^[A-Za-z_]+(/[A-Za-z0-9_+-]+)*$"), F.col("_zone")).otherwise("UTC")))
+    # Zones that a text names itself and the interval table lacks; a name that is no zone leaves NULL.
+    jvm = df.sparkSession.sparkContext._jvm
+    ids = str(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds())).split(",")
+    real = F.when(F.col("_zone").isin(ids), F.col("_zone"))
+    named = F.when(real.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_local")), F.coalesce(real, F.lit("UTC")))))
     instant = (
         F.when(F.col("_direct").isNotNull(), F.col("_direct"))
         .when(F.col("_short").isNotNull(), F.col("_local") - F.col("_short"))
@@ -154,9 +158,7 @@ def resolve_instants(
         .when(F.col("_zone") == "UTC", F.col("_local"))
         .when(F.col("_local").isNotNull(), named)
     )
-    names = [x for x in joined.columns if not x.startswith("_") and x not in ("local_from", "local_to")]
-    names = [x for x in df.columns] + [n]
-    return joined.filter(keep).select(*names, instant.alias(u), F.col("_kind").alias(c))
+    return joined.filter(keep).select(*df.columns, n, instant.alias(u), F.col("_kind").alias(c))
 
 
 def cohort_instants(cohort: DataFrame, sites: DataFrame, zones: tuple[DataFrame, dict[str, int]] | None = None) -> DataFrame:
