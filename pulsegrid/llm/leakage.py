@@ -158,13 +158,21 @@ class Index:
             high = min(len(found), max(later) + reach)
             done.append((d, max(later) + 1))
             # Walking from the seed settles most candidates; the rest are aligned over the whole region.
-            got = self._judge(self._along(found, item, d, p), item)
+            got = self._judge(self._along(found, item, d, p), item, found, 0)
             if got is None and self._promising(found[low:high], item):
-                got = self._judge([b for b in SequenceMatcher(None, found[low:high], item.tokens, autojunk=False).get_matching_blocks() if b.size], item)
+                got = self._judge([b for b in SequenceMatcher(None, found[low:high], item.tokens, autojunk=False).get_matching_blocks() if b.size], item, found, low)
             if got and (best is None or got > best):
                 best = got
         return best
 
+    @staticmethod
+    def _misspelt(found: list[str], d: int, item: Item, p: int) -> bool:
+        """Whether the text has a misspelt form of the passage's token p in place d."""
+        if not (0 <= d < len(found) and 0 <= p < len(item.tokens)):
+            return False
+        a, b = found[d], item.tokens[p]
+        return a != b and abs(len(a) - len(b)) <= 2 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.7
+
     def _promising(self, region: list[str], item: Item) -> bool:
         """Whether some stretch of rule.words words of the passage has few enough words that the region lacks."""
         held = set(region)
@@ -209,7 +217,7 @@ class Index:
                 blocks.append(Block(a, b, 1))
         return blocks
 
-    def _judge(self, blocks: list, item: Item) -> tuple[int, int] | None:
+    def _judge(self, blocks: list, item: Item, found: list[str], shift: int) -> tuple[int, int] | None:
         """Edits are words of the passage without a full match, and words in the text between matches beyond those."""
         if not blocks:
             return None
@@ -234,15 +242,17 @@ class Index:
         tokens_missing = np.array([sizes[a + 1 : b].sum() for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
         cost = np.where(missing > 0, np.maximum(missing, missing + extra - tokens_missing), np.maximum(extra, 0))
         total = np.concatenate([[0], np.cumsum(cost)])
-        # A stretch may begin and end with edited words where the edits allow it.
+        # A stretch may begin and end with a misspelt word; a changed one there can't be told from the text around it.
+        begins = np.cumsum(sizes) - sizes
+        before = np.array([self._misspelt(found, shift + first[w] - 1, item, begins[w] - 1) for w in at], np.int64)
+        behind = np.array([self._misspelt(found, shift + last[w] + 1, item, begins[w] + sizes[w]) for w in at], np.int64)
         best = None
         for i in range(len(at)):
             for j in range(len(at) - 1, i, -1):
                 edits = int(total[j] - total[i])
                 span = int(at[j] - at[i]) + 1
-                room_left, room_right = int(at[i]), int(n - 1 - at[j])
                 # Each edited word taken in at an end counts as a word and as an edit.
-                add = min(max(0, rule.words - span), room_left + room_right)
+                add = min(max(0, rule.words - span), int(before[i] + behind[j]))
                 if span + add >= rule.words and edits + add <= (span + add) // rule.per_edit:
                     if best is None or span + add > best[0]:
                         best = (span + add, edits + add)

@@ -54,5 +54,4 @@ def _parts(text: str, most: int = 100_000) -> list[str]:
             cut += 1
         out.append(text[at:cut])
         at = cut
-    out.append(text[at:])
-    return out
+    return out + [text[at:]] if at < len(text) else out
