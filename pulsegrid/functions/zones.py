@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 FIRST_YEAR, LAST_YEAR = 1970, 2060
@@ -13,6 +14,7 @@ def _micros(moment: datetime) -> int:
     return int((moment - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()) * MICROS
 
 
+@lru_cache(maxsize=1024)
 def utc_intervals(name: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> list[tuple[int, int, int, str]]:
     """(from, to, offset, abbreviation) in microseconds of UTC, in order and without holes."""
     zone = ZoneInfo(name)
