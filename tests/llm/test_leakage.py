@@ -32,7 +32,7 @@ def test_whole_and_part():
 
 
 def test_a_misspelt_word_may_begin_or_end_a_stretch():
-    held = WORDS[3:28]
+    held = WORDS[4:29]
     assert found(f"{PAD} {' '.join(held)} {PAD}") == {1}
     assert found(f"{PAD} {held[0][:-2] + 'x' + held[0][-1]} {' '.join(held[1:])} {PAD}") == {1}
     assert found(f"{PAD} {' '.join(held[1:])} {PAD}") == set()
