@@ -64,6 +64,12 @@ def zone_table(sites: DataFrame, tz: str = "tz_name") -> tuple[DataFrame, dict[s
     return sites.sparkSession.createDataFrame(local_intervals(names), schema), abbreviation_offsets(names)
 
 
+def _zone_ids(df: DataFrame) -> list[str]:
+    """The zone names that the session's zone database knows."""
+    jvm = df.sparkSession.sparkContext._jvm
+    return sorted(x for x in str(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds())).split(",") if "'" not in x)
+
+
 def resolve_instants(
     df: DataFrame,
     text: str,
@@ -147,9 +153,8 @@ def resolve_instants(
     further = F.abs(own - F.col("_expected")) > F.abs(other - F.col("_expected"))
     keep = F.coalesce(F.col("_kind") != "two", F.lit(True)) | F.coalesce(F.when(nearer, True).when(further, False), own < other)
     # Zones that a text names itself and the interval table lacks; a name that is no zone leaves NULL.
-    jvm = df.sparkSession.sparkContext._jvm
-    ids = str(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds())).split(",")
-    real = F.when(F.col("_zone").isin(ids), F.col("_zone"))
+    ids = ", ".join(f"'{x}'" for x in _zone_ids(df))
+    real = F.expr(f"case when _zone in ({ids}) then _zone end")
     named = F.when(real.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_local")), F.coalesce(real, F.lit("UTC")))))
     instant = (
         F.when(F.col("_direct").isNotNull(), F.col("_direct"))
