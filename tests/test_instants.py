@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -16,16 +15,19 @@ def utc(*x):
     return int((datetime(*x, tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
 
 
-def resolve(spark, text, zone="America/New_York", day_first=False, origin=None, expected=None):
-    df = spark.createDataFrame([(1, text, zone, day_first, origin, expected)], "id int, t string, z string, f boolean, o timestamp, e bigint")
+def resolve_all(spark, rows):
+    """rows: (text, zone, day_first, origin, expected)."""
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, t string, z string, f boolean, o timestamp, e bigint")
     out = resolve_instants(df, "t", zone_table(spark.createDataFrame(ALL, SITES)), zone="z", day_first="f", origin="o", expected=F.col("e")).collect()
-    assert len(out) == 1
-    return out[0]
+    assert sorted(r.id for r in out) == list(range(len(rows)))
+    return [r for _, r in sorted((r.id, r) for r in out)]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
+def row(text, zone="America/New_York", day_first=False, origin=None, expected=None):
+    return text, zone, day_first, origin, expected
+
+
+NOTATIONS = [
         ("2024-01-05T10:00:00Z", utc(2024, 1, 5, 10)),
         ("2024-01-05 10:00:00", utc(2024, 1, 5, 15)),
         ("2024-01-05T10:00:00.250+05:30", utc(2024, 1, 5, 4, 30, 0, 250000)),
@@ -47,28 +49,25 @@ def resolve(spark, text, zone="America/New_York", day_first=False, origin=None,
         (None, None),
         ("2024-13-05 10:00:00", None),
         ("x" * 100_000, None),
-    ],
-)
-def test_notations(spark, text, want):
-    assert resolve(spark, text).utc_us == want
+    ]
+
+
+def test_notations(spark):
+    got = resolve_all(spark, [row(text) for text, _ in NOTATIONS])
+    assert [(t[:50] if t else t, r.utc_us) for (t, _), r in zip(NOTATIONS, got)] == [(t[:50] if t else t, want) for t, want in NOTATIONS]
 
 
 def test_day_first_zone_and_relative(spark):
-    assert resolve(spark, "02/03/2024 10:15", "Europe/Berlin", True).utc_us == utc(2024, 3, 2, 9, 15)
-    assert resolve(spark, "02/03/2024 10:15", None).utc_us == utc(2024, 2, 3, 10, 15)
-    assert resolve(spark, "02/03/2024 10:15", "No/Zone").utc_us is None
-    assert resolve(spark, "90.5 min", origin=datetime(2024, 1, 1)).utc_us == utc(2024, 1, 1, 1, 30, 30)
-    assert resolve(spark, "90.5 min").utc_us is None
+    got = resolve_all(spark, [row("02/03/2024 10:15", "Europe/Berlin", True), row("02/03/2024 10:15", None), row("02/03/2024 10:15", "No/Zone"), row("90.5 min", origin=datetime(2024, 1, 1)), row("90.5 min")])
+    assert [r.utc_us for r in got] == [utc(2024, 3, 2, 9, 15), utc(2024, 2, 3, 10, 15), None, utc(2024, 1, 1, 1, 30, 30), None]
 
 
 def test_twice_and_never(spark):
     first, second = utc(2024, 11, 3, 5, 30), utc(2024, 11, 3, 6, 30)
-    assert resolve(spark, "2024-11-03 01:30:00").utc_us == first
-    assert resolve(spark, "2024-11-03 01:30:00", expected=second + 1).utc_us == second
-    assert resolve(spark, "2024-11-03 01:30:00", expected=first - 9).utc_us == first
-    assert resolve(spark, "2024-11-03 01:30:00", expected=(first + second) // 2).utc_us == first
-    gone = resolve(spark, "2024-03-10 02:30:00")
-    assert gone.clock == "none" and gone.utc_us == utc(2024, 3, 10, 7, 30)
+    twice = "2024-11-03 01:30:00"
+    got = resolve_all(spark, [row(twice), row(twice, expected=second + 1), row(twice, expected=first - 9), row(twice, expected=(first + second) // 2), row("2024-03-10 02:30:00")])
+    assert [r.utc_us for r in got] == [first, second, first, first, utc(2024, 3, 10, 7, 30)]
+    assert [r.clock for r in got] == ["two"] * 4 + ["none"]
 
 
 def test_intervals_cover_every_local_time():

@@ -1,7 +1,6 @@
 import itertools
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.changepoints import segments
@@ -33,25 +32,18 @@ def test_segments_are_optimal():
     assert len(segments(np.empty(0), 1.0)) == 0
 
 
-@pytest.mark.parametrize(
-    ("text", "unit", "value"),
-    [
+HEIGHTS = [
         ("181.8cm", "cm", 1.818), ("cm 170", "cm", 1.7), ("170 Centimetres", "cm", 1.7), ("1,503 metres", "m", 1.503), ("1.7 M", "m", 1.7), ("1700mm", "mm", 1.7),
         ("5' 10\"", "ft_in", 1.778), ("5′ 10″", "ft_in", 1.778), ("5'7", "ft_in", 1.7018), ("5 feet 7", "ft_in", 1.7018), ("5ft 7in", "ft_in", 1.7018), ("67 inch", "in", 1.7018), ("67.0 IN.", "in", 1.7018), ("67in", "in", 1.7018), ("tall", None, None),
-    ],
-)
-def test_heights(spark, text, unit, value):
-    got = sizes(spark, [("C", text, None, None)])[0, "height"]
-    assert got[0] == unit and got[2] == value
-
-
-@pytest.mark.parametrize(
-    ("text", "unit", "value"),
-    [("kg 79,0", "kg", 79.0), ("178lb", "lb", 80.7394), ("178.0 lbs", "lb", 80.7394), ("2747oz", "oz", 77.8761), ("100,861 g", "g", 100.861), ("80000gm", "g", 80.0), ("11st 0lb", "st_lb", 69.8532), ("12 stone 6", "st_lb", 78.9251), ("80 KG", "kg", 80.0)],
-)
-def test_weights(spark, text, unit, value):
-    got = sizes(spark, [("C", None, text, None)])[0, "weight"]
-    assert got[0] == unit and got[2] == value
+    ]
+WEIGHTS = [("kg 79,0", "kg", 79.0), ("178lb", "lb", 80.7394), ("178.0 lbs", "lb", 80.7394), ("2747oz", "oz", 77.8761), ("100,861 g", "g", 100.861), ("80000gm", "g", 80.0), ("11st 0lb", "st_lb", 69.8532), ("12 stone 6", "st_lb", 78.9251), ("80 KG", "kg", 80.0)]
+
+
+def test_heights_and_weights(spark):
+    got = sizes(spark, [("C", t, None, None) for t, *_ in HEIGHTS] + [("C", None, t, None) for t, *_ in WEIGHTS])
+    n = len(HEIGHTS)
+    assert [(t, got[k, "height"][0], got[k, "height"][2]) for k, (t, *_) in enumerate(HEIGHTS)] == HEIGHTS
+    assert [(t, got[n + k, "weight"][0], got[n + k, "weight"][2]) for k, (t, *_) in enumerate(WEIGHTS)] == WEIGHTS
 
 
 def test_notes_and_defaults(spark):
