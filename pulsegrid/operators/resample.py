@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.metrics import auprc, auroc, overall
+from pulsegrid.operators.metrics import auprc, auroc, overall, workload
 
 
 def poisson_weights(df: DataFrame, replicates: int, seed: int = 7, patient: str = "patient_id") -> DataFrame:
@@ -39,22 +39,60 @@ def bootstrap(df: DataFrame, groups: list[str], replicates: int = 200, seed: int
     Replicates are one more group column of the weighted metrics, so that all are made in the same few aggregates. A metric with
     fewer than ``min_valid`` of its replicates defined has NULL limits.
     """
-    drawn = poisson_weights(df, replicates, seed, patient)
-    keys = [*groups, "replicate"]
+    point = _long_metrics(df, groups, None).withColumnRenamed("value", "estimate")
+    return _intervals(point, replicate_metrics(df, groups, replicates, seed, patient), groups, replicates, alpha, min_valid)
 
-    def long(frame: DataFrame, keep: list[str], names: list[str]) -> DataFrame:
-        return frame.select(*keep, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select(*keep, "m.metric", "m.value")
 
-    def all_of(frame: DataFrame, by: list[str], weight: str | None) -> DataFrame:
-        return long(auroc(frame, by, weight), by, ["auroc"]).unionByName(long(auprc(frame, by, weight), by, ["auprc"])).unionByName(long(overall(frame, by, weight), by, ["brier", "log_loss"]))
+def _long_metrics(frame: DataFrame, by: list[str], weight: str | None) -> DataFrame:
+    """groups, metric, value of AUROC, AUPRC, Brier score and log loss."""
 
-    point = all_of(df, groups, None).withColumnRenamed("value", "estimate")
-    reps = all_of(drawn, keys, "w").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    def long(f: DataFrame, names: list[str]) -> DataFrame:
+        return f.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select(*by, "m.metric", "m.value")
+
+    return long(auroc(frame, by, weight), ["auroc"]).unionByName(long(auprc(frame, by, weight), ["auprc"])).unionByName(long(overall(frame, by, weight), ["brier", "log_loss"]))
+
+
+def replicate_metrics(df: DataFrame, groups: list[str], replicates: int, seed: int = 7, patient: str = "patient_id") -> DataFrame:
+    """groups, replicate, metric, value, where defined."""
+    out = _long_metrics(poisson_weights(df, replicates, seed, patient), [*groups, "replicate"], "w")
+    return out.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def _intervals(point: DataFrame, reps: DataFrame, groups: list[str], replicates: int, alpha: float, min_valid: float) -> DataFrame:
     q = reps.groupBy(*groups, "metric").agg(F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n_valid"))
     enough = F.col("n_valid") >= min_valid * replicates
     return point.join(q, [*groups, "metric"], "left").select(*groups, "metric", "estimate", F.when(enough, F.col("q")[0]).alias("lower"), F.when(enough, F.col("q")[1]).alias("upper"), "sd", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
 
 
+def contrasts(df: DataFrame, group: str, effects: dict[str, dict[str, float]], replicates: int = 200, seed: int = 7, alpha: float = 0.05, min_valid: float = 0.95) -> DataFrame:
+    """effect, metric, estimate, lower, upper, sd, n_valid: weighted sums of the metrics of groups, paired within each replicate.
+
+    ``effects`` gives each effect's weight of each group. A replicate in which one of an effect's groups has no value doesn't count.
+    """
+
+    def combine(long: DataFrame, keys: list[str]) -> DataFrame:
+        rows = [(e, g, float(w), len(ws)) for e, ws in effects.items() for g, w in ws.items()]
+        weights = df.sparkSession.createDataFrame(rows, "effect string, _g string, _w double, _n int")
+        joined = long.join(F.broadcast(weights), F.col(group) == F.col("_g"))  # the stated effects
+        return joined.groupBy("effect", *keys).agg(F.sum(F.col("value") * F.col("_w")).alias("value"), F.count("value").alias("_c"), F.max("_n").alias("_n")).filter("_c = _n").drop("_c", "_n")
+
+    point = combine(_long_metrics(df, [group], None), ["metric"]).withColumnRenamed("value", "estimate")
+    reps = combine(replicate_metrics(df, [group], replicates, seed), ["replicate", "metric"])
+    return _intervals(point, reps, ["effect"], replicates, alpha, min_valid)
+
+
+def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """threshold, metric, estimate, lower, upper, sd, n_valid of alert rate, sensitivity, PPV and net benefit."""
+    names = ["alert_rate", "sensitivity", "ppv", "net_benefit"]
+
+    def long(w: DataFrame, by: list[str]) -> DataFrame:
+        return w.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select(*by, "m.metric", "m.value")
+
+    point = long(workload(df, thresholds, patient=None), ["threshold"]).withColumnRenamed("value", "estimate")
+    reps = long(workload(poisson_weights(df, replicates, seed), thresholds, ["replicate"], "w", None), ["replicate", "threshold"]).filter("value is not null")
+    return _intervals(point, reps, ["threshold"], replicates, alpha, 0.8)
+
+
 def bootstrap_callable(df: DataFrame, metric, columns: list[str], replicates: int = 200, seed: int = 7, most_rows: int = 1_000_000, blocks: int = 16) -> DataFrame:
     """replicate, value of any scalar function of a pandas frame with a weight column ``w``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import parse
-from pulsegrid.operators import fit, grid, keyed, landmark, metrics, resample, score, secondary
+from pulsegrid.operators import fit, grid, keyed, landmark, metrics, planning, resample, score, secondary
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import table
 
@@ -786,3 +786,43 @@ def ipw_balance(spark: SparkSession, folder: str) -> DataFrame:
     weighted = rows.withColumn("w", 1 / F.greatest(F.least(parse.sigmoid(z), F.lit(0.99)), F.lit(0.01)))
     low, high = weighted.filter("y = 1").agg(F.percentile("w", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"] or (0.0, 1.0)
     return secondary.weighted_balance(weighted.withColumn("w", F.greatest(F.least(F.col("w"), F.lit(high)), F.lit(low))), tuple(features), "y", "w")
+
+
+_CELL = {(f, o): f"{f}_input_{o}_outcome" for f in ("coarse", "fine") for o in ("coarse", "fine")}
+
+
+def _effects() -> dict[str, dict[str, float]]:
+    """Differences of features at each outcome, of outcomes at each kind of features, their means, and the interaction."""
+    c = _CELL
+    at = {(f, o): {c[f, o]: 1.0} for f, o in c}
+    minus = lambda x, y, w=1.0: {**{k: w * v for k, v in x.items()}, **{k: -w * v for k, v in y.items()}}
+    out = {f"feature_at_{o}_outcome": minus(at["fine", o], at["coarse", o]) for o in ("coarse", "fine")}
+    out |= {f"outcome_at_{f}_features": minus(at[f, "fine"], at[f, "coarse"]) for f in ("coarse", "fine")}
+    for name in ("feature", "outcome"):
+        out[f"marginal_{name}"] = {k: v / 2 for key, e in out.items() if key.startswith(f"{name}_at_") for k, v in e.items()}
+    out["interaction"] = {c["fine", "fine"]: 1.0, c["coarse", "fine"]: -1.0, c["fine", "coarse"]: -1.0, c["coarse", "coarse"]: 1.0}
+    return out
+
+
+@query()
+def factorial_2x2(spark: SparkSession, folder: str) -> DataFrame:
+    """Effects of the grid of the features and of the outcome on each metric, over cases that are complete in all four cells."""
+    coarse, fine = h5(spark, folder).filter("time_min <= 60"), r1(spark, folder).filter("time_min <= 60")
+    base = checkpointed(landmark.windows(coarse).join(cases(spark, folder), "case_id").filter("feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1"))
+    other = checkpointed(landmark.windows(fine, base.select("case_id", "t0"), landmark.FINE).filter("feature_evaluable = 1 and outcome_evaluable = 1"))
+    static = base.select("case_id", "patient_id", *landmark.FEATURES[:4])
+    p = {"coarse": score.score(base).select("case_id", "patient_id", "p"), "fine": score.score(other.join(static, "case_id")).select("case_id", "patient_id", "p")}
+    y = {"coarse": base.select("case_id", F.col("outcome").alias("y")).join(other.select("case_id"), "case_id", "left_semi"), "fine": other.select("case_id", F.col("outcome").alias("y"))}
+    rows = checkpointed(secondary.union_all([p[f].join(y[o], "case_id").withColumn("cell", F.lit(_CELL[f, o])) for f, o in _CELL]))
+    return resample.contrasts(rows, "cell", _effects(), replicates=60)
+
+
+@query()
+def two_stage_boot(spark: SparkSession, folder: str) -> DataFrame:
+    rows = scored(spark, folder).withColumn("p", F.when(F.col("stage1_alert") == 1, 1.0).otherwise(F.col("p")))
+    return resample.bootstrap_thresholds(rows.select("patient_id", "y", "p"), CLINICAL, replicates=60)
+
+
+@query()
+def precision_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame(planning.precision_plan(scored(spark, folder).select("p")), "target string, required_n bigint, width double")

@@ -144,3 +144,28 @@ def test_agreement_shift_and_agents(spark):
     assert got == ["norepinephrine", "ephedrine", "epinephrine", None, "norepinephrine", None, None]
     near = secondary.events_near(spark.createDataFrame([("a", 9.0), ("a", 12.0), ("a", 16.0), ("b", 1.0)], "case_id string, minute double"), spark.createDataFrame([("a", 10.0)], "case_id string, t0 double"))
     assert [r.since_t0 for r in near.collect()] == [2.0]
+
+
+def test_planning(spark):
+    from pulsegrid.operators import planning
+
+    _, p, _ = noisy(300, 4, 1000)
+    df = frame(spark, [0] * 300, np.clip(p, 0.01, 0.99))
+    shift = planning.intercept_shift(df, 0.12)
+    q = np.clip(p, 0.01, 0.99)
+    assert abs(np.mean(1 / (1 + np.exp(-(np.log(q / (1 - q)) + shift)))) - 0.12) < 1e-9
+    plan = {t: n for t, n, _ in planning.precision_plan(df)}
+    first = next(n for n in range(200, 100_001) if planning.auroc_width(n, 0.12, 0.7) <= 0.05)
+    assert plan["auroc"] == first and plan["observed_to_expected"] == math.ceil(math.ceil((1.96 / math.log(1.1)) ** 2) / 0.12)
+    with pytest.raises(ValueError):
+        planning.intercept_shift(df.limit(0), 0.12)
+
+
+def test_contrasts_are_paired(spark):
+    y, p, _ = noisy(150, 6, 50)
+    df = frame(spark, y, p, g=["a"] * 150).unionByName(frame(spark, y, p, g=["b"] * 150))
+    rows = resample.contrasts(df, "g", {"same": {"a": 1.0, "b": -1.0}, "sum": {"a": 1.0, "b": 1.0}}, 30).collect()
+    same = [r for r in rows if r.effect == "same"]
+    assert len(same) == 4 and all(abs(r.estimate) < 1e-12 and abs(r.upper) < 1e-12 and abs(r.lower) < 1e-12 for r in same)
+    t = resample.bootstrap_thresholds(df.filter("g = 'a'"), [0.5], 30).collect()
+    assert {r.metric for r in t} == {"alert_rate", "sensitivity", "ppv", "net_benefit"} and all(r.lower <= r.estimate <= r.upper for r in t)
