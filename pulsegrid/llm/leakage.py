@@ -8,6 +8,7 @@ from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,18 @@ def template(token: str, names: frozenset[str]) -> str:
 Block = namedtuple("Block", "a b size")
 
 
+class _Marks(dict):
+    """The hash of each token's template, made when first asked for; cleared when it has grown large."""
+
+    def __init__(self, names: frozenset[str]):
+        super().__init__()
+        self.names = names
+
+    def __missing__(self, token: str) -> int:
+        self[token] = mark = hash(template(token, self.names))
+        return mark
+
+
 @dataclass
 class Item:
     item_id: int
@@ -82,12 +95,15 @@ class Index:
                 w += bool(found)
             self.items.append(Item(item_id, held, np.array(word_of, np.int64), w))
         self.names = self._names([t for _, t in items])
-        self.windows: dict[int, list[tuple[int, int]]] = {}
+        self.mark = _Marks(self.names)
+        # By template window, by the values in its slots: where it occurs.
+        self.windows: dict[int, dict[tuple[str, ...], list[tuple[int, int]]]] = {}
         for k, item in enumerate(self.items):
-            marks = [hash(template(t, self.names)) for t in item.tokens]
-            for at, key in enumerate(self._keys(np.array(marks, np.int64))):
-                self.windows.setdefault(int(key), []).append((k, at))
+            for at, key in enumerate(self._keys(np.array([self.mark[t] for t in item.tokens], np.int64)).tolist()):
+                self.windows.setdefault(key, {}).setdefault(tuple(item.tokens[at : at + rule.window]), []).append((k, at))
         self.keys = np.sort(np.fromiter(self.windows, np.int64, len(self.windows)))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.keys & (len(self.bits) - 1)] = True
 
     @staticmethod
     def _names(passages: list[str]) -> frozenset[str]:
@@ -111,40 +127,41 @@ class Index:
             key ^= key >> np.uint64(32)
         return key.view(np.int64)
 
-    def marks(self, found: list[str], memo: dict[str, int]) -> np.ndarray:
-        out = np.empty(len(found), np.int64)
-        for k, t in enumerate(found):
-            m = memo.get(t)
-            if m is None:
-                m = memo[t] = hash(template(t, self.names))
-            out[k] = m
-        return out
-
-    def leaks(self, text: str, memo: dict[str, int]) -> list[tuple[int, int, int]]:
-        """(item_id, words of the passage in the longest leaking stretch, edits in it) for each item that the text carries."""
-        found = tokens(text)
-        keys = self._keys(self.marks(found, memo))
-        if not len(keys):
+    def scan(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text, item_id, words of the passage in a leaking stretch, edits in it) for each item that a text carries.
+
+        Windows of all texts are hashed in one array and looked up at once; only texts with a window of some passage's template
+        are looked at further.
+        """
+        found = [tokens(t) for t in texts]
+        sizes = np.array([len(f) for f in found], np.int64)
+        doc = np.repeat(np.arange(len(found)), sizes)
+        marks = np.fromiter(map(self.mark.__getitem__, chain.from_iterable(found)), np.int64, len(doc))
+        keys = self._keys(marks)
+        if not len(keys) or not len(self.keys):
             return []
-        at = np.searchsorted(self.keys, keys)
-        hits = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else []
-        by_item: dict[int, list[tuple[int, int]]] = {}
         w = self.rule.window
-        for d in hits:
-            d = int(d)
-            for k, p in self.windows[int(keys[d])]:
-                by_item.setdefault(k, []).append((d, p))
-        out = []
-        for k, pairs in by_item.items():
-            item = self.items[k]
+        maybe = np.flatnonzero(self.bits[keys & (len(self.bits) - 1)] & (doc[: len(keys)] == doc[w - 1 :]))
+        at = np.searchsorted(self.keys, keys[maybe])
+        hits = maybe[self.keys[np.minimum(at, len(self.keys) - 1)] == keys[maybe]]
+        begin = np.cumsum(sizes) - sizes
+        by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for h, d, k in zip(hits.tolist(), doc[hits].tolist(), keys[hits].tolist(), strict=True):
+            at_word, f = h - int(begin[d]), found[d]
             # Slots: a true stretch holds at least one window without an edit, so its slot values agree there.
-            same = [(d, p) for d, p in pairs if found[d : d + w] == item.tokens[p : p + w]]
-            if same:
-                got = self._stretch(found, item, same)
-                if got:
-                    out.append((item.item_id, *got))
+            for k_item, p in self.windows[k].get(tuple(f[at_word : at_word + w]), ()):
+                by_pair.setdefault((d, k_item), []).append((at_word, p))
+        out = []
+        for (d, k), seeds in by_pair.items():
+            got = self._stretch(found[d], self.items[k], seeds)
+            if got:
+                out.append((d, self.items[k].item_id, *got))
         return out
 
+    def leaks(self, text: str, memo: dict | None = None) -> list[tuple[int, int, int]]:
+        """(item_id, words, edits) of one text."""
+        return [x[1:] for x in self.scan([text])]
+
     def _stretch(self, found: list[str], item: Item, seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
         """The longest stretch of at least rule.words words around the seeds with at most one edit in rule.per_edit words."""
         reach = len(item.tokens) + self.rule.edits * 2 + 8
@@ -219,9 +236,9 @@ class Index:
 
     def _judge(self, blocks: list, item: Item, found: list[str], shift: int) -> tuple[int, int] | None:
         """Edits are words of the passage without a full match, and words in the text between matches beyond those."""
-        if not blocks:
-            return None
         rule, n = self.rule, item.n_words
+        if sum(b.size for b in blocks) < rule.words - rule.edits:
+            return None
         sizes = np.bincount(item.word_of, minlength=n)
         matched = np.zeros(n, np.int64)
         first, last = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -282,18 +299,15 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
 
     def scan(part: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, memo = Index(part, rule), {}
-            for batch in batches:
-                if len(memo) > 500_000:
-                    memo.clear()
-                rows, found = [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    got = index.leaks(text, memo)
-                    rows += [k] * len(got)
-                    found += got
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array([f[j] for f in found], pa.int32()) for j in range(3)]], names=["doc_id", "item_id", "words", "edits"]
-                )
+            index = Index(part, rule)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2_000):
+                    batch = whole.slice(at, 2_000)
+                    if len(index.mark) > 500_000:
+                        index.mark.clear()
+                    found = index.scan(batch.column(1).to_pylist())
+                    columns = [pa.array([f[j] for f in found], pa.int64() if j == 0 else pa.int32()) for j in range(4)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "words", "edits"])
 
         return source.mapInArrow(run, f"doc_id {kind}, item_id int, words int, edits int")
 

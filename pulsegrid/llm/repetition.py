@@ -187,7 +187,7 @@ def fit(texts: list[str], s: Settings = Settings()) -> Model:
 
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> Model:
-    """Fits on a bounded sample of documents, chosen by a hash of their id: at most s.sample_documents texts."""
+    """Fits on a bounded sample of documents, chosen by a hash of their id: at most s.sample_documents texts of under 20,000 characters."""
     total = documents.count()
     share = max(1, -(-total // s.sample_documents))
     rows = documents.filter((F.length(text_col) > 0) & (F.length(text_col) < 20_000) & (F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)).select(text_col).limit(s.sample_documents).collect()
