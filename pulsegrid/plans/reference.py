@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import parse
-from pulsegrid.operators import fit, grid, keyed, landmark, metrics, planning, resample, score, secondary
+from pulsegrid.operators import fit, grid, keyed, landmark, metrics, planning, resample, score, secondary, units
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import table
 
@@ -46,9 +47,28 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def device(spark: SparkSession, folder: str, readings: DataFrame) -> DataFrame:
+    """``readings`` with ``source``: ART or NIBP where the typed device means one of them, else another entry or NULL.
+
+    Labels the reference knows are told by their token. Other spellings are resolved as in p7_found, once per distinct label;
+    without the subpackage llm only the tokens are known.
+    """
+    told = parse.source_of_token(F.col("map_source"))
+    if importlib.util.find_spec("pulsegrid.llm") is None:
+        return readings.withColumn("source", told)
+    from pulsegrid.llm.names import map_names
+
+    reference = table(spark, folder, "label_reference")
+    labels = table(spark, folder, "map_observations").filter(F.col("map_source").isNotNull() & told.isNull()).select("map_source").distinct()
+    entries = reference.filter(F.col("list_name") == "map_source").select("ref_id", F.col("canonical_name").alias("meant"))
+    meant = map_names(labels, reference, "map_source", "map_source", "map_source").join(F.broadcast(entries), "ref_id").select(F.col("row_id").alias("_label"), "meant")
+    return readings.join(meant, F.col("map_source") == F.col("_label"), "left").withColumn("source", F.coalesce(told, "meant")).drop("_label", "meant")
+
+
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "map_observations").filter(F.col("map_source").isin("ART", "NIBP") & F.lower("raw_unit").isin("mmhg", "mm hg", "mm[hg]"))
-    return rows.select(F.col("encounter_id").alias("case_id"), F.col("minute_from_anesthesia_start").alias("t"), F.col("map_value").alias("map"), F.col("map_source").alias("source"))
+    """Readings of the two devices in mmHg, whatever unit and spelling they were delivered in."""
+    rows = device(spark, folder, units.reading_units(table(spark, folder, "map_observations"))).filter(F.col("source").isin(*grid.PRIORITY))
+    return rows.select(F.col("encounter_id").alias("case_id"), F.col("minute_from_anesthesia_start").alias("t"), F.col("value_mmhg").alias("map"), "source")
 
 
 def h5(spark: SparkSession, folder: str) -> DataFrame:
@@ -672,9 +692,9 @@ def endpoint_components(spark: SparkSession, folder: str) -> DataFrame:
     + " union all ".join(f"select {k} as phase, count(*) as n, count(*) filter (where outcome = 1) as events from w{k} join cases using (case_id) where duration_min >= t0 + 30 and feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1" for k in range(5))
 )
 def sensitivity_flow(spark: SparkSession, folder: str) -> DataFrame:
-    parts = []
+    parts, readings = [], checkpointed(raw(spark, folder))
     for k in range(5):
-        rows = evaluable(level(spark, folder, series=grid.harmonize(raw(spark, folder), 5.0, float(k)))).filter("stage2 = 1")
+        rows = evaluable(level(spark, folder, series=grid.harmonize(readings, 5.0, float(k)))).filter("stage2 = 1")
         parts.append(rows.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == 1).alias("events")).select(F.lit(k).alias("phase"), "n", "events"))
     return secondary.union_all(parts)
 
