@@ -9,88 +9,214 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.metrics import auprc, auroc, overall, workload
 
+CORE = ("auroc", "auprc", "brier", "log_loss")
+FACTORIAL = (*CORE, "calibration_slope", "calibration_in_the_large")
+PAIRED = (*FACTORIAL, "scaled_brier", "observed_expected_ratio", "ici")
+BLOCK = 50  # replicates a task makes of one group
+CELLS = 2_000_000  # rows times replicates in memory at once
+_LIMITS = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)]))  # of a Poisson count of mean 1
 
-def poisson_weights(df: DataFrame, replicates: int, seed: int = 7, patient: str = "patient_id") -> DataFrame:
-    """Rows of ``df`` with ``replicate`` and ``w``, how often the row's patient is drawn, where that isn't 0.
 
-    Each patient draws its own count from a Poisson distribution of mean 1 by a hash of (seed, replicate, patient): the limit of
+def draws(key: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """How often each patient, given by a 64-bit hash, is drawn in each replicate; ones for replicate 0, which is the sample itself.
+
+    Each patient draws its own count from a Poisson distribution of mean 1 by mixing its hash with the replicate: the limit of
     drawing n of n with replacement, without a table of draws. All rows and all models of a patient get the same draw, so
-    contrasts are paired. Rows stay where they lie.
+    contrasts are paired.
     """
-    limits = []
-    total, term = 0.0, float(np.exp(-1))
-    for k in range(12):
-        total += term
-        limits.append(total)
-        term /= k + 1
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.col(patient)), F.lit(1 << 53)) + F.lit(0.5)) / float(1 << 53)
-    count = F.lit(0)
-    for limit in limits:
-        count = count + F.when(u > limit, 1).otherwise(0)
-    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return drawn.withColumn("w", count.cast("double")).filter("w > 0")
-
-
-def bootstrap(df: DataFrame, groups: list[str], replicates: int = 200, seed: int = 7, patient: str = "patient_id", alpha: float = 0.05, min_valid: float = 0.8) -> DataFrame:
-    """groups, metric, estimate, lower, upper, sd, n_valid: percentile intervals of AUROC, AUPRC, Brier score and log loss.
-
-    Replicates are one more group column of the weighted metrics, so that all are made in the same few aggregates. A metric with
-    fewer than ``min_valid`` of its replicates defined has NULL limits.
+    with np.errstate(over="ignore"):
+        x = key.astype(np.uint64)[:, None] + np.asarray(replicates, np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    w = np.searchsorted(_LIMITS, ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)).astype(float)
+    w[:, np.asarray(replicates) == 0] = 1.0
+    return w
+
+
+def _newton(lp: np.ndarray, y: np.ndarray, w: np.ndarray, slope: bool) -> np.ndarray:
+    """Coefficients (intercept, slope) of unpenalised logistic fits of y, one per column of ``w``; NaN where none exists."""
+
+    def solve(w: np.ndarray, start: np.ndarray) -> np.ndarray:
+        beta, open_ = np.repeat(start[:, None], w.shape[1], axis=1), np.arange(w.shape[1])
+        for _ in range(60):
+            v = w[:, open_]
+            z = beta[0, open_] + lp[:, None] * beta[1, open_]
+            q = 1 / (1 + np.exp(-z))
+            r, h = v * (q - y[:, None]), v * q * (1 - q)
+            total = v.sum(0)
+            g0, h00 = r.sum(0), h.sum(0)
+            if slope:
+                g1, h01, h11 = lp @ r, lp @ h, (lp * lp) @ h
+                det = h00 * h11 - h01 * h01
+                step = np.array([h11 * g0 - h01 * g1, h00 * g1 - h01 * g0]) / det
+                size = np.maximum(np.abs(g0), np.abs(g1)) / total
+                step[:, det <= 1e-12 * h00 * h11] = np.nan
+            else:
+                step, size = np.array([g0 / h00, np.zeros(len(open_))]), np.abs(g0) / total
+            done = size < 1e-10
+            step *= np.minimum(1, 2 / np.maximum(np.abs(step).max(0), 1e-300))
+            beta[:, open_] -= np.where(done, 0.0, step)
+            lost = ~done & ~np.isfinite(beta[:, open_]).all(0)
+            beta[:, open_[lost]] = np.nan
+            open_ = open_[~done & ~lost]
+            if not len(open_):
+                return beta
+        beta[:, open_] = np.nan
+        return beta
+
+    with np.errstate(all="ignore"):
+        first = solve(np.ones((len(y), 1)), np.array([0.0, 1.0]))[:, 0]
+        return solve(w, first if np.isfinite(first).all() else np.array([0.0, 1.0]))
+
+
+def _ici(y: np.ndarray, p: np.ndarray, w: np.ndarray, bins: int = 10) -> np.ndarray:
+    """As metrics.ici on rows repeated ``w`` times (rows in order of p); the bins are those of each replicate."""
+    out = np.full(w.shape[1], np.nan)
+    for k in range(w.shape[1]):
+        v = w[:, k]
+        run = np.cumsum(v)
+        if run[-1] <= 0:
+            continue
+        at = np.arange(bins + 1) / bins * (run[-1] - 1)
+        low, high = (p[np.searchsorted(run, i, side="right")] for i in (np.floor(at), np.ceil(at)))
+        edges = np.unique(low + (high - low) * (at - np.floor(at)))
+        which = np.searchsorted(edges[1:-1], p, side="right")
+        n = np.bincount(which, v)
+        rate = np.bincount(which, v * y) / np.where(n > 0, n, 1)
+        out[k] = np.sum(v * np.abs(rate[which] - p)) / run[-1]
+    return out
+
+
+def weighted_metrics(y: np.ndarray, p: np.ndarray, w: np.ndarray, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Each metric of the rows (in order of p) under each column of weights; NaN where it isn't defined."""
+    starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    pos, neg = (np.add.reduceat(w * c[:, None], starts, axis=0) for c in (y, 1 - y))
+    events, others, total = pos.sum(0), neg.sum(0), w.sum(0)
+    clipped = np.clip(p, 1e-12, 1 - 1e-12)
+    lp = np.log(clipped) - np.log1p(-clipped)
+    both = (events > 0) & (others > 0)
+    out: dict[str, np.ndarray] = {}
+    with np.errstate(all="ignore"):
+        brier, prevalence = ((y - p) ** 2) @ w / total, events / total
+        for name in names:
+            if name == "auroc":
+                out[name] = (pos * (np.cumsum(neg, 0) - 0.5 * neg)).sum(0) / (events * others)
+            elif name == "auprc":
+                tp, fp = (np.cumsum(c[::-1], 0)[::-1] for c in (pos, neg))
+                out[name] = np.where(pos > 0, pos * tp / (tp + fp), 0.0).sum(0) / events
+            elif name == "brier":
+                out[name] = brier
+            elif name == "scaled_brier":
+                out[name] = 1 - brier / (prevalence * (1 - prevalence))
+            elif name == "log_loss":
+                out[name] = -(y * np.log(clipped) + (1 - y) * np.log1p(-clipped)) @ w / total
+            elif name == "observed_expected_ratio":
+                out[name] = events / (p @ w)
+            elif name == "calibration_slope":
+                out[name] = np.where(both, _slope(lp, y, w, both), np.nan)
+            elif name == "calibration_in_the_large":
+                out[name] = np.where(both, _in_the_large(lp, y, w, both), np.nan)
+            elif name == "ici":
+                out[name] = _ici(y, p, w)
+            else:
+                raise ValueError(f"unknown metric {name}")
+    return out
+
+
+def _slope(lp: np.ndarray, y: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
+    out, scale = np.full(w.shape[1], np.nan), lp.std()
+    if scale > 1e-12:
+        out[some] = _newton((lp - lp.mean()) / scale, y, w[:, some], True)[1] / scale
+    return out
+
+
+def _in_the_large(lp: np.ndarray, y: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
+    out = np.full(w.shape[1], np.nan)
+    out[some] = _newton(lp, y, w[:, some], False)[0]
+    return out
+
+
+def _replicated(df: DataFrame, groups: list[str], replicates: int, seed: int, patient: str, compute) -> DataFrame:
+    """groups, replicate (0: the sample itself), threshold, metric, value of ``compute(y, p, w)``, which yields threshold, metric, values.
+
+    Replicates are made in blocks: every block of a group is one task that holds the group's rows (hash, y and p) once and draws
+    its replicates in memory, so that rows are multiplied by the number of blocks only.
     """
-    point = _long_metrics(df, groups, None).withColumnRenamed("value", "estimate")
-    return _intervals(point, replicate_metrics(df, groups, replicates, seed, patient), groups, replicates, alpha, min_valid)
-
-
-def _long_metrics(frame: DataFrame, by: list[str], weight: str | None) -> DataFrame:
-    """groups, metric, value of AUROC, AUPRC, Brier score and log loss."""
+    blocks = -(-replicates // BLOCK)
+    rows = df.filter(F.col("p").isNotNull() & F.col("y").isNotNull()).select(*groups, F.xxhash64(F.lit(seed), F.col(patient)).alias("_key"), F.col("y").cast("double").alias("_y"), F.col("p").cast("double").alias("_p"))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["_p", "_y", "_key"])
+        y, p, hashed = f["_y"].to_numpy(), f["_p"].to_numpy(), f["_key"].to_numpy()
+        block = int(key[-1])
+        wanted = np.arange(block * BLOCK + (block > 0), min((block + 1) * BLOCK, replicates) + 1)
+        parts, size = [], max(1, CELLS // len(f))
+        for k in range(0, len(wanted), size):
+            some = wanted[k : k + size]
+            parts += [pd.DataFrame({"replicate": some, "threshold": t, "metric": m, "value": v}) for t, m, v in compute(y, p, draws(hashed, some))]
+        out = pd.concat(parts)
+        for name, value in zip(groups, key):
+            out[name] = value
+        return out[[*groups, "replicate", "threshold", "metric", "value"]]
+
+    kinds = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in groups)
+    made = rows.groupBy(*groups, "_block").applyInPandas(run, f"{kinds}replicate int, threshold double, metric string, value double")
+    return made.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value")))
+
+
+def _intervals(reps: DataFrame, keys: list[str], replicates: int, alpha: float, min_valid: float) -> DataFrame:
+    drawn = F.when(F.col("replicate") > 0, F.col("value"))
+    q = reps.groupBy(*keys, "metric").agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("value"))).alias("estimate"), F.percentile(drawn, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.stddev_samp(drawn).alias("sd"), F.count(drawn).alias("n_valid")
+    )
+    enough = F.col("n_valid") >= min_valid * replicates
+    return q.select(*keys, "metric", "estimate", F.when(enough, F.col("q")[0]).alias("lower"), F.when(enough, F.col("q")[1]).alias("upper"), "sd", "n_valid")
 
-    def long(f: DataFrame, names: list[str]) -> DataFrame:
-        return f.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select(*by, "m.metric", "m.value")
 
-    return long(auroc(frame, by, weight), ["auroc"]).unionByName(long(auprc(frame, by, weight), ["auprc"])).unionByName(long(overall(frame, by, weight), ["brier", "log_loss"]))
+def _metrics(names: tuple[str, ...]):
+    def compute(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> list:
+        return [(None, m, v) for m, v in weighted_metrics(y, p, w, names).items()]
 
+    return compute
 
-def replicate_metrics(df: DataFrame, groups: list[str], replicates: int, seed: int = 7, patient: str = "patient_id") -> DataFrame:
-    """groups, replicate, metric, value, where defined."""
-    out = _long_metrics(poisson_weights(df, replicates, seed, patient), [*groups, "replicate"], "w")
-    return out.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
+def bootstrap(df: DataFrame, groups: list[str], replicates: int = 200, seed: int = 7, patient: str = "patient_id", alpha: float = 0.05, min_valid: float = 0.8, metrics: tuple[str, ...] = CORE) -> DataFrame:
+    """groups, metric, estimate, lower, upper, sd, n_valid: percentile intervals of ``metrics`` (names of ``PAIRED``).
 
-def _intervals(point: DataFrame, reps: DataFrame, groups: list[str], replicates: int, alpha: float, min_valid: float) -> DataFrame:
-    q = reps.groupBy(*groups, "metric").agg(F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n_valid"))
-    enough = F.col("n_valid") >= min_valid * replicates
-    return point.join(q, [*groups, "metric"], "left").select(*groups, "metric", "estimate", F.when(enough, F.col("q")[0]).alias("lower"), F.when(enough, F.col("q")[1]).alias("upper"), "sd", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+    A metric with fewer than ``min_valid`` of its replicates defined has NULL limits.
+    """
+    return _intervals(_replicated(df, groups, replicates, seed, patient, _metrics(metrics)), groups, replicates, alpha, min_valid)
 
 
-def contrasts(df: DataFrame, group: str, effects: dict[str, dict[str, float]], replicates: int = 200, seed: int = 7, alpha: float = 0.05, min_valid: float = 0.95) -> DataFrame:
+def contrasts(df: DataFrame, group: str, effects: dict[str, dict[str, float]], replicates: int = 200, seed: int = 7, alpha: float = 0.05, min_valid: float = 0.95, metrics: tuple[str, ...] = CORE) -> DataFrame:
     """effect, metric, estimate, lower, upper, sd, n_valid: weighted sums of the metrics of groups, paired within each replicate.
 
     ``effects`` gives each effect's weight of each group. A replicate in which one of an effect's groups has no value doesn't count.
     """
-
-    def combine(long: DataFrame, keys: list[str]) -> DataFrame:
-        rows = [(e, g, float(w), len(ws)) for e, ws in effects.items() for g, w in ws.items()]
-        weights = df.sparkSession.createDataFrame(rows, "effect string, _g string, _w double, _n int")
-        joined = long.join(F.broadcast(weights), F.col(group) == F.col("_g"))  # the stated effects
-        return joined.groupBy("effect", *keys).agg(F.sum(F.col("value") * F.col("_w")).alias("value"), F.count("value").alias("_c"), F.max("_n").alias("_n")).filter("_c = _n").drop("_c", "_n")
-
-    point = combine(_long_metrics(df, [group], None), ["metric"]).withColumnRenamed("value", "estimate")
-    reps = combine(replicate_metrics(df, [group], replicates, seed), ["replicate", "metric"])
-    return _intervals(point, reps, ["effect"], replicates, alpha, min_valid)
+    rows = [(e, g, float(w), len(ws)) for e, ws in effects.items() for g, w in ws.items()]
+    weights = df.sparkSession.createDataFrame(rows, "effect string, _g string, _w double, _n int")
+    reps = _replicated(df, [group], replicates, seed, "patient_id", _metrics(metrics))
+    joined = reps.join(F.broadcast(weights), F.col(group) == F.col("_g"))  # the stated effects
+    summed = joined.groupBy("effect", "replicate", "metric").agg(F.sum(F.col("value") * F.col("_w")).alias("value"), F.count("value").alias("_c"), F.max("_n").alias("_n")).filter("_c = _n")
+    return _intervals(summed, ["effect"], replicates, alpha, min_valid)
 
 
 def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """threshold, metric, estimate, lower, upper, sd, n_valid of alert rate, sensitivity, PPV and net benefit."""
-    names = ["alert_rate", "sensitivity", "ppv", "net_benefit"]
 
-    def long(w: DataFrame, by: list[str]) -> DataFrame:
-        return w.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select(*by, "m.metric", "m.value")
+    def compute(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> list:
+        out, total, events = [], w.sum(0), y @ w
+        with np.errstate(all="ignore"):
+            for t in thresholds:
+                a = (p >= t).astype(float)
+                tp, fp = (a * y) @ w, (a * (1 - y)) @ w
+                out += [(t, "alert_rate", (tp + fp) / total), (t, "sensitivity", tp / events), (t, "ppv", tp / (tp + fp)), (t, "net_benefit", (tp - fp * t / (1 - t)) / total)]
+        return out
 
-    point = long(workload(df, thresholds, patient=None), ["threshold"]).withColumnRenamed("value", "estimate")
-    reps = long(workload(poisson_weights(df, replicates, seed), thresholds, ["replicate"], "w", None), ["replicate", "threshold"]).filter("value is not null")
-    return _intervals(point, reps, ["threshold"], replicates, alpha, 0.8)
+    return _intervals(_replicated(df, [], replicates, seed, "patient_id", compute), ["threshold"], replicates, alpha, 0.8)
 
 
 def bootstrap_callable(df: DataFrame, metric, columns: list[str], replicates: int = 200, seed: int = 7, most_rows: int = 1_000_000, blocks: int = 16) -> DataFrame:

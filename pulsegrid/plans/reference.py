@@ -16,6 +16,7 @@ from pulsegrid.sources.tables import table
 FILLED = ["age", "sex", "male", "height_m", "weight_kg", "asa", "anesthesia_start", "anesthesia_end"]
 DYNAMIC = landmark.FEATURES[4:]
 CLINICAL = [0.10, 0.15, 0.20, 0.25]
+REPLICATES = 2000  # analysis.json minimum_patient_bootstrap_repetitions
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -778,7 +779,7 @@ def rcs_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
-    return resample.bootstrap(models(spark, folder).select("model", "patient_id", "y", "p"), ["model"], replicates=100)
+    return resample.bootstrap(models(spark, folder).select("model", "patient_id", "y", "p"), ["model"], replicates=REPLICATES, metrics=resample.PAIRED)
 
 
 @query()
@@ -827,20 +828,21 @@ def _effects() -> dict[str, dict[str, float]]:
 @query()
 def factorial_2x2(spark: SparkSession, folder: str) -> DataFrame:
     """Effects of the grid of the features and of the outcome on each metric, over cases that are complete in all four cells."""
-    coarse, fine = h5(spark, folder).filter("time_min <= 60"), r1(spark, folder).filter("time_min <= 60")
+    readings = checkpointed(raw(spark, folder))
+    coarse, fine = (grid.harmonize(readings, width).filter("time_min <= 60") for width in (5.0, 1.0))
     base = checkpointed(landmark.windows(coarse).join(cases(spark, folder), "case_id").filter("feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1"))
     other = checkpointed(landmark.windows(fine, base.select("case_id", "t0"), landmark.FINE).filter("feature_evaluable = 1 and outcome_evaluable = 1"))
     static = base.select("case_id", "patient_id", *landmark.FEATURES[:4])
     p = {"coarse": score.score(base).select("case_id", "patient_id", "p"), "fine": score.score(other.join(static, "case_id")).select("case_id", "patient_id", "p")}
     y = {"coarse": base.select("case_id", F.col("outcome").alias("y")).join(other.select("case_id"), "case_id", "left_semi"), "fine": other.select("case_id", F.col("outcome").alias("y"))}
     rows = checkpointed(secondary.union_all([p[f].join(y[o], "case_id").withColumn("cell", F.lit(_CELL[f, o])) for f, o in _CELL]))
-    return resample.contrasts(rows, "cell", _effects(), replicates=60)
+    return resample.contrasts(rows, "cell", _effects(), replicates=REPLICATES, metrics=resample.FACTORIAL)
 
 
 @query()
 def two_stage_boot(spark: SparkSession, folder: str) -> DataFrame:
     rows = scored(spark, folder).withColumn("p", F.when(F.col("stage1_alert") == 1, 1.0).otherwise(F.col("p")))
-    return resample.bootstrap_thresholds(rows.select("patient_id", "y", "p"), CLINICAL, replicates=60)
+    return resample.bootstrap_thresholds(rows.select("patient_id", "y", "p"), CLINICAL, replicates=REPLICATES)
 
 
 @query()
