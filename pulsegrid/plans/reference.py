@@ -16,6 +16,7 @@ from pulsegrid.sources.tables import table
 FILLED = ["age", "sex", "male", "height_m", "weight_kg", "asa", "anesthesia_start", "anesthesia_end"]
 DYNAMIC = landmark.FEATURES[4:]
 CLINICAL = [0.10, 0.15, 0.20, 0.25]
+PENALTIES = [0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0]  # analysis.json lambda_grid
 REPLICATES = 2000  # analysis.json minimum_patient_bootstrap_repetitions
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,7 +600,10 @@ def capacity_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_SCORED}, top as (select * from pred order by p desc, case_id limit 20) select count(*) as k, sum(y)::bigint as events from top")
 def topk_capacity(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.top_k(scored(spark, folder), 20, "case_id").agg(F.count("*").alias("k"), F.sum("y").cast("bigint").alias("events"))
+    """As many cases as the landmark rule alerts, those with the highest scores."""
+    rows = checkpointed(scored(spark, folder).select("case_id", "y", "p", "landmark_map"))
+    k = rows.filter(F.col("landmark_map") < 65).count()
+    return metrics.top_k(rows, k, "case_id").agg(F.count("*").alias("k"), F.sum("y").cast("bigint").alias("events"))
 
 
 # --- comparisons
@@ -748,15 +752,16 @@ def _design(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def ridge_fit(spark: SparkSession, folder: str) -> DataFrame:
-    features = [f for f in landmark.FEATURES if f != "early_map_record_count_0_5"]
-    r = fit.ridge_logistic(_design(spark, folder), features, 1e-2)
+    """All features, at the penalty that cross-validation chooses."""
+    features, design = list(landmark.FEATURES), _design(spark, folder)
+    r = fit.ridge_logistic(design, features, fit.ridge_cv(design, features, PENALTIES)[1])
     rows = [("intercept", r.intercept)] + list(zip(features, map(float, r.coefficients)))
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in rows], "term string, coefficient double")
 
 
 @query()
 def ridge_cv(spark: SparkSession, folder: str) -> DataFrame:
-    rows, best = fit.ridge_cv(_design(spark, folder), ["t0_map", "early_mean_map_0_5", "pre10_last_map"], [1e-3, 1e-1, 1.0])
+    rows, best = fit.ridge_cv(_design(spark, folder), list(landmark.FEATURES), PENALTIES)
     return spark.createDataFrame([(r["l2"], r["mean_log_loss"], int(r["l2"] == best)) for r in rows], "l2 double, mean_log_loss double, chosen int")
 
 
