@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.changepoints import segment_levels
+from pulsegrid.functions.changepoints import segments
+from pulsegrid.session import checkpointed
 
 # The common unit in one of each unit.
 FACTORS = {
@@ -24,6 +25,9 @@ PLAUSIBLE = {"height": (1.2, 2.3, 1.7), "weight": (25.0, 300.0, 80.0), "map": (2
 # than levels differ by between patients: a level can't tell them, only a statement can.
 BARE = {"height": ("m", "cm", "mm", "in"), "weight": ("kg", "lb", "oz", "g"), "map": ("mmhg", "kpa")}
 PENALTY = 0.5
+SUSTAINED = 24  # values a segment must have to be compared with its neighbour
+TOLERANCE = 0.08  # of the log of a level shift from that of a ratio of units
+SPREAD = 4  # parts of one source's month, each a history of its own
 
 
 def pressure_unit(text: Column) -> Column:
@@ -83,32 +87,81 @@ def _grouped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(text, r"\d+,\d{3}(?!\d)", 0), ",", "").try_cast("double")
 
 
-def _blocks(quantity: str):
+def _histories(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by history, passed on in whole histories: the last one of a frame waits for the next frame."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        key = frame["history"].to_numpy()
+        if held and held[-1]["history"].iloc[-1] != key[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        change = np.flatnonzero(key[1:] != key[:-1])
+        border = int(change[-1]) + 1 if len(change) else 0
+        if border:
+            yield pd.concat([*held, frame.iloc[:border]], ignore_index=True)
+            held = []
+        held.append(frame.iloc[border:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def segment_units(level: np.ndarray, size: np.ndarray, default: np.ndarray, quantity: str) -> np.ndarray:
+    """The unit (its place in BARE) of each segment of one history: log level, number of values and default unit of each.
+
+    A segment whose level is plausible in its default unit has it, any other the unit whose factor brings its level nearest to
+    the middle of plausible sizes. Then level shifts between neighbouring segments of SUSTAINED or more values are compared with
+    the ratios of units: a shift that equals one (within TOLERANCE of log) marks a change of unit, even where the level would be
+    plausible either way. Of the two the side further from the middle of plausible sizes is reversed.
+    """
+    factors = np.log([1 / FACTORS[quantity][u] for u in BARE[quantity]])
+    low, high, middle = PLAUSIBLE[quantity]
+    common = level[:, None] - factors[None, :]
+    fits = (common >= np.log(low)) & (common <= np.log(high))
+    rows = np.arange(len(level))
+    unit = np.where(fits[rows, default], default, np.argmin(np.abs(common - np.log(middle)), axis=1))
+    def reversed_to(k: int, other: int) -> tuple[int, float] | None:
+        """The unit that explains the level of segment k beside that of ``other``, with the distance from its ratio."""
+        shift = level[k] - level[other]
+        off = np.abs(shift - (factors - factors[unit[other]]))
+        to = np.flatnonzero(fits[k] & (off <= TOLERANCE) & (np.arange(len(factors)) != unit[k]))
+        return (int(to[np.argmin(off[to])]), float(abs(common[k, unit[k]] - np.log(middle)))) if len(to) else None
+
+    long = np.flatnonzero(size >= SUSTAINED)
+    for a, b in zip(long[:-1], long[1:], strict=True):
+        if unit[a] == unit[b]:
+            options = [(far, k, to) for k, other in ((b, a), (a, b)) if (found := reversed_to(k, other)) for to, far in [found]]
+            if options:
+                _, k, to = max(options)
+                unit[k] = to
+    return unit
+
+
+def _segmented(quantity: str):
     factors = np.log([1 / FACTORS[quantity][u] for u in BARE[quantity]])
     names = np.array(BARE[quantity], object)
     low, high, middle = PLAUSIBLE[quantity]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            source = frame["source"].fillna("").to_numpy(str)
+        for frame in _histories(frames):
+            key = frame["history"].to_numpy()
             x = np.log(frame["level"].to_numpy(float))
-            cuts = np.flatnonzero(np.append(True, source[1:] != source[:-1]))
-            level = np.concatenate([segment_levels(x[a:b], PENALTY) for a, b in zip(cuts, np.append(cuts[1:], len(x)), strict=True)])
             default = np.array([list(BARE[quantity]).index(u) if u in BARE[quantity] else 0 for u in frame["default_unit"].fillna("")])
-            # How far the segment is from the middle of plausible sizes in each unit; the default holds where its size is plausible.
-            in_common = level[:, None] - factors[None, :]
-            fits = (in_common >= np.log(low)) & (in_common <= np.log(high))
-            nearest = np.argmin(np.abs(in_common - np.log(middle)), axis=1)
-            chosen = np.where(fits[np.arange(len(x)), default], default, nearest)
-            # A value that its segment's unit can't explain, or whose default is plausible by itself, is judged by itself.
+            level, chosen = np.empty(len(x)), np.empty(len(x), np.int64)
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(x))
+            for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+                cuts = segments(x[a:b], PENALTY)
+                size = np.diff(np.append(cuts, b - a))
+                of_segment = np.add.reduceat(x[a:b], cuts) / size
+                level[a:b] = np.repeat(of_segment, size)
+                chosen[a:b] = np.repeat(segment_units(of_segment, size, default[a:b][cuts], quantity), size)
+            # The segment's unit holds for its values; one that no size could be in that unit is judged by itself.
             own = x[:, None] - factors[None, :]
-            own_fits = (own >= np.log(low)) & (own <= np.log(high))
+            fits = (own >= np.log(low)) & (own <= np.log(high))
             rows = np.arange(len(x))
-            own_choice = np.where(own_fits[rows, default], default, np.where(own_fits[rows, chosen], chosen, np.argmin(np.abs(own - np.log(middle)), axis=1)))
-            chosen = np.where(own_fits[rows, chosen] & ~own_fits[rows, default], chosen, own_choice)
-            frame["unit_code"] = names[chosen]
+            alone = np.where(fits[rows, default], default, np.argmin(np.abs(own - np.log(middle)), axis=1))
+            frame["unit_code"] = names[np.where(fits[rows, chosen], chosen, alone)]
             frame["segment_level"] = np.exp(level)
             yield frame[["row_id", "unit_code", "segment_level"]]
 
@@ -118,16 +171,17 @@ def _blocks(quantity: str):
 def bare_units(df: DataFrame, quantity: str) -> DataFrame:
     """Units of numbers that state none, from the levels of their source's history.
 
-    ``df``: row_id, source, at (time), level (positive), default_unit. Each source's history, in blocks of a month, is cut by exact
-    penalised changepoint search on log levels. A segment whose level is plausible in the source's default unit keeps it; a
-    segment shifted out of it takes the unit whose known factor brings it back; a value that contradicts its segment is judged
-    by itself. A source may hold a third of all rows: histories are spread by source and month and cut at Arrow batches, which
-    adds a cut at most where a block begins. Rows without a positive level are left out.
+    ``df``: row_id, source, at (time), level (positive), default_unit. Each source's history, in blocks of a month that are split at
+    fixed hashes into at most SPREAD parts, is cut by exact penalised changepoint search on log levels; the segments get their units
+    by :func:`segment_units`. The rows of a block are those of its source, month and hash and no others, in order of time and
+    id, however rows are partitioned or batched, so the result depends on neither. A source may hold a third of all rows: its
+    months and hashes are spread over tasks. Rows without a positive level are left out; a NULL source is a source of its own.
     """
-    rows = df.filter(F.col("level") > 0).withColumn("month", F.date_trunc("month", F.col("at")))
-    spread = rows.repartition("source", "month").sortWithinPartitions("source", "at", "row_id").select("row_id", "source", "level", "default_unit")
-    kind = rows.schema["row_id"].dataType.simpleString()
-    return spread.mapInPandas(_blocks(quantity), f"row_id {kind}, unit_code string, segment_level double")
+    kind = df.schema["row_id"].dataType.simpleString()
+    part = F.pmod(F.xxhash64("row_id"), F.lit(SPREAD)) if SPREAD > 1 else F.lit(0)
+    rows = df.filter(F.col("level") > 0).withColumn("history", F.xxhash64("source", F.date_trunc("month", F.col("at")), part))
+    spread = rows.repartition("history").sortWithinPartitions("history", "at", "row_id").select("row_id", "history", "level", "default_unit")
+    return spread.mapInPandas(_segmented(quantity), f"row_id {kind}, unit_code string, segment_level double")
 
 
 def cohort_sizes(cohort: DataFrame, sites: DataFrame) -> DataFrame:
@@ -189,6 +243,7 @@ def reading_units(readings: DataFrame) -> DataFrame:
         .filter("silent")
         .withColumn("row_id", F.struct("e", "s"))
     )
+    series = checkpointed(series)  # one row a silent series: read by both branches below, aggregated once
     bare = series.filter(F.col("stated").isNull()).select(F.to_json("row_id").alias("row_id"), F.concat_ws("|", "dataset", "s").alias("source"), "at", "level", F.lit("mmhg").alias("default_unit"))
     shown = bare_units(bare, "map").select(F.from_json("row_id", "e string, s string").alias("k"), F.col("unit_code").alias("u"))
     resolved = series.filter(F.col("stated").isNotNull()).select("e", "s", F.col("stated").alias("u")).unionByName(shown.select("k.e", "k.s", "u"))

@@ -87,3 +87,43 @@ def test_empty_and_clashing(spark):
     assert foreign_units(c, r, s).count() == 0
     wide = c.withColumn("text", F.lit(1)).withColumn("unit_code", F.lit(2)).withColumn("default_height_unit", F.lit("x"))
     assert foreign_units(wide, r.withColumn("u", F.lit(1)).withColumn("stated", F.lit(1)), s).count() == 0
+
+
+BARE_ROWS = "row_id bigint, source string, at timestamp, level double, default_unit string"
+
+
+def planted(spark, n=400, at_value=200):
+    """Bare weights of one site in kg, from ``at_value`` on in pounds: each is an adult's size in both units."""
+    from datetime import datetime, timedelta
+
+    rng = np.random.default_rng(4)
+    rows = [(k, "C", datetime(2024, 1, 1) + timedelta(hours=k), round(float(rng.normal(78, 6) * (1 / 0.45359237 if k >= at_value else 1)), 1), "kg") for k in range(n)]
+    return spark.createDataFrame(rows, BARE_ROWS)
+
+
+def test_a_lasting_shift_by_a_known_factor_changes_the_unit(spark):
+    """Where the range rule can't tell, the segments do: without them (each value by itself) every value would stay in kg."""
+    from pulsegrid.operators import units
+
+    df = planted(spark)
+    got = {r.row_id: r.unit_code for r in units.bare_units(df, "weight").collect()}
+    assert [got[k] for k in range(400)] == ["kg"] * 200 + ["lb"] * 200
+    apart = df.withColumn("source", F.col("row_id").cast("string"))
+    assert {r.unit_code for r in units.bare_units(apart, "weight").collect()} == {"kg"}
+
+
+def test_segments_depend_on_neither_partitions_nor_batches(spark):
+    from pulsegrid.operators import units
+
+    df, seen = planted(spark).unionByName(planted(spark).withColumn("row_id", F.col("row_id") + 1000).withColumn("source", F.lit("D"))), set()
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for partitions, batch in (("2", "10000"), ("2", "50"), ("64", "10000"), ("64", "50")):
+            spark.conf.set(keys[0], partitions)
+            spark.conf.set(keys[1], batch)
+            seen.add(tuple(sorted((r.row_id, r.unit_code, round(r.segment_level, 9)) for r in units.bare_units(df, "weight").collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(seen) == 1 and len(next(iter(seen))) == 800
