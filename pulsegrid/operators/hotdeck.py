@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import require_columns
 
 
@@ -47,8 +49,8 @@ def hot_deck(
 
     Records are sorted within their group (service and site) and class (sex) by age, then day, then id. A missing value takes
     that of the nearest observed record before or after it in this order: nearest by years of age plus years of time between
-    them, the one before if both are as near. If the group's class has no donor, the service's class has (level 2), else
-    any record (level 3), there by the block of equal age and month. NULL or NaN in a group, class or age column is a value
+    them, the one before if both are as near. If the group's class has no donor, the service's class is sorted in the same way
+    (level 2), else all records (level 3). NULL or NaN in a group, class or age column is a value
     of its own, sorted first; a NULL day is sorted first within its age. A field without any observed value stays NULL at level
     0. Repeated rows are records of their own and may be donors of each other.
 
@@ -56,7 +58,8 @@ def hot_deck(
     doesn't depend on the order of filling.
 
     A group may hold a third of all rows, so none is sorted in one task: windows run within blocks of equal age and month, and
-    only the first and last donor of each block are carried between blocks in a second window over one row a block.
+    only the first and last donor of each block are carried between blocks in a second window over one row a block. The coarser
+    levels are run only over records that are still without a donor, beside the donors of the blocks these lie in.
     """
     require_columns(df, [id_col, *group_cols, class_col, size_col, day_col, *(f.name for f in fields)], "hot_deck")
     age = F.col(size_col).cast("double")
@@ -72,49 +75,29 @@ def hot_deck(
         F.floor(age * 4).cast("int").alias("age_block"),
         F.explode(F.array(*[F.struct(F.lit(f.name).alias("field_name"), F.when(~is_missing(f), F.col(f.name).cast("double")).alias("v")) for f in fields])).alias("x"),
     ).select("*", "x.field_name", "x.v").drop("x")
-    long = long.withColumn("day_block", F.floor(F.col("day") / 30).cast("int"))
     # Within a quarter of a year of age the order is by block of days first, which keeps blocks contiguous.
-    groups = [f"g{k}" for k in range(len(group_cols))]
+    long = long.withColumn("day_block", F.floor(F.col("day") / 30).cast("int"))
     point = F.struct(F.col("age_block"), F.col("day_block"), F.col("age"), F.col("day"), F.col("id"), F.col("v"))
-    donor = F.when(F.col("v").isNotNull(), point)
-    long = long.withColumn("donor", donor)
-    kind = long.schema["donor"].dataType.simpleString()
-    keys = ["field_name", *groups, "cls"]
-    blocks = long.groupBy(*keys, "age_block", "day_block").agg(F.min("donor").alias("first"), F.max("donor").alias("last"), F.max(F.col("v").isNull()).alias("needs"))
-
-    def carried(rows: DataFrame, by: list[str], level: int) -> DataFrame:
-        order = f"over (partition by {', '.join(by)} order by age_block, day_block)"
-        return rows.withColumn(f"p{level}", F.expr(f"lag(last) ignore nulls {order}")).withColumn(f"n{level}", F.expr(f"lead(first) ignore nulls {order}"))
-
-    # Coarser levels: one row per block of the coarser group; its own donors count as well.
-    def coarser(rows: DataFrame, by: list[str]) -> DataFrame:
-        return rows.groupBy(*by, "age_block", "day_block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-
-    one = carried(blocks, keys, 1).filter("needs").select(*keys, "age_block", "day_block", "p1", "n1")
-    by2, by3 = ["field_name", groups[0], "cls"], ["field_name"]
-    level2 = coarser(blocks, by2)
-    two = carried(level2, by2, 2).select(*by2, "age_block", "day_block", F.coalesce("last", "p2").alias("p2"), F.coalesce("first", "n2").alias("n2"))
-    three = carried(coarser(level2, by3), by3, 3).select(*by3, "age_block", "day_block", F.coalesce("last", "p3").alias("p3"), F.coalesce("first", "n3").alias("n3"))
-    fallback = one.join(two, [*by2, "age_block", "day_block"], "left").join(three, [*by3, "age_block", "day_block"], "left")
-
-    order = f"over (partition by {', '.join(keys)}, age_block, day_block order by age, day, id)"
-    within = (
-        long.withColumn("p0", F.expr(f"lag(donor) ignore nulls {order}"))
-        .withColumn("n0", F.expr(f"lead(donor) ignore nulls {order}"))
-        .filter(F.col("v").isNull())
-        .join(fallback, [*keys, "age_block", "day_block"], "left")
-    )
-    before, after = F.coalesce("p0", "p1"), F.coalesce("n0", "n1")
-    level = F.when(before.isNotNull() | after.isNotNull(), 1).when(F.col("p2").isNotNull() | F.col("n2").isNotNull(), 2).when(F.col("p3").isNotNull() | F.col("n3").isNotNull(), 3).otherwise(0)
-    empty = F.lit(None).cast(kind)
-    within = within.withColumn("level", level)
-    within = within.withColumn("before", F.when(F.col("level") == 1, before).when(F.col("level") == 2, F.col("p2")).when(F.col("level") == 3, F.col("p3")).otherwise(empty))
-    within = within.withColumn("after", F.when(F.col("level") == 1, after).when(F.col("level") == 2, F.col("n2")).when(F.col("level") == 3, F.col("n3")).otherwise(empty))
+    long = long.withColumn("donor", F.when(F.col("v").isNotNull(), point))
+    groups = [f"g{k}" for k in range(len(group_cols))]
+    levels = [["field_name", *groups, "cls"], ["field_name", *groups[:1], "cls"], ["field_name"]]
+    found, open_ = [], None
+    for level, by in enumerate(levels, 1):
+        rows = long if open_ is None else open_.unionByName(_beside(long, open_, by))
+        # Only missing values are written, once: what has no donor yet goes on to the next level.
+        tried = checkpointed(_neighbours(rows, long, by))
+        found.append(tried.filter("before is not null or after is not null").withColumn("level", F.lit(level)))
+        rest = tried.filter("before is null and after is null")
+        open_ = rest.select(*long.columns)
+        if rest.isEmpty():
+            break
+    else:
+        found.append(rest.withColumn("level", F.lit(0)))
+    out = reduce(DataFrame.unionByName, found)
     away = lambda c: F.abs(F.col(f"{c}.age") - F.col("age")) + F.abs(F.col(f"{c}.day") - F.col("day")) / F.lit(365.25)
-    within = within.withColumn("to_before", away("before")).withColumn("to_after", away("after"))
+    out = out.withColumn("to_before", away("before")).withColumn("to_after", away("after"))
     use_before = F.col("after").isNull() | (F.col("before").isNotNull() & (F.col("to_before") <= F.col("to_after")))
-    chosen = F.when(use_before, F.col("before")).otherwise(F.col("after"))
-    return within.withColumn("chosen", chosen).select(
+    return out.withColumn("chosen", F.when(use_before, F.col("before")).otherwise(F.col("after"))).select(
         F.col("id").alias(id_col),
         "field_name",
         F.col("chosen.v").alias("value"),
@@ -124,6 +107,36 @@ def hot_deck(
     )
 
 
+BLOCK = ["age_block", "day_block"]
+
+
+def _beside(long: DataFrame, open_: DataFrame, by: list[str]) -> DataFrame:
+    """The donors in the blocks of ``open_``."""
+    return long.filter("donor is not null").join(open_.select(*by, *BLOCK).distinct(), [*by, *BLOCK], "left_semi").select(*long.columns)
+
+
+def _neighbours(rows: DataFrame, all_rows: DataFrame, by: list[str]) -> DataFrame:
+    """The missing rows of ``rows`` with the donors just before and after them within ``by``.
+
+    ``rows`` has all donors of the blocks of its missing rows; donors of other blocks come from the first and last of each
+    block of ``all_rows``.
+    """
+    order = f"over (partition by {', '.join(by)} order by age_block, day_block)"
+    blocks = all_rows.groupBy(*by, *BLOCK).agg(F.min("donor").alias("first"), F.max("donor").alias("last"))
+    carried = blocks.select(*by, *BLOCK, F.expr(f"lag(last) ignore nulls {order}").alias("p"), F.expr(f"lead(first) ignore nulls {order}").alias("n"))
+    inner = f"over (partition by {', '.join(by)}, age_block, day_block order by age, day, id)"
+    within = rows.withColumn("p0", F.expr(f"lag(donor) ignore nulls {inner}")).withColumn("n0", F.expr(f"lead(donor) ignore nulls {inner}")).filter("donor is null")
+    return within.join(carried, [*by, *BLOCK], "left").select(*rows.columns, F.coalesce("p0", "p").alias("before"), F.coalesce("n0", "n").alias("after"))
+
+
+def marked(fills: DataFrame, fields: tuple[Field, ...] = LANDMARK_FIELDS) -> DataFrame:
+    """The rows of :func:`hot_deck` that hold: filled by a donor's measurement, or without any donor at all."""
+    inside = F.lit(False)
+    for f in fields:
+        inside = inside | ((F.col("field_name") == f.name) & F.col("value").between(f.low, f.high))
+    return fills.filter(F.when(F.col("level") > 0, inside & F.col("donor_id").isNotNull()).otherwise(F.col("value").isNull()))
+
+
 def filled_records(df: DataFrame, fills: DataFrame, fields: tuple[Field, ...] = LANDMARK_FIELDS, id_col: str = "feature_id") -> DataFrame:
     """``df`` with the fields filled and a mark ``<field>_filled`` for each."""
     wide = fills.groupBy(F.col(id_col).alias("_id")).agg(

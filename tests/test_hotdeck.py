@@ -82,3 +82,11 @@ def test_agrees_with_a_sequential_pass(spark):
             after = next((o for o in order[k + 1 :] if o[6] is not None), None)
             want = before if after is None or (before is not None and away(before) <= away(after)) else after
             assert f[r[0], "bmi"].donor_id == want[0]
+
+
+def test_found_rows_come_through_the_windows(spark):
+    """p3_found's rows depend on the donors: a fill that is no measurement, or none where a donor exists, isn't marked."""
+    from pulsegrid.operators.hotdeck import marked
+
+    df = spark.createDataFrame([(1, "bmi", 25.0, 7, 0.1, 1), (2, "bmi", 5.0, 7, 0.1, 1), (3, "asa", None, None, None, 0), (4, "asa", None, None, None, 1)], "feature_id int, field_name string, value double, donor_id int, distance double, level int")
+    assert {r.feature_id for r in marked(df).collect()} == {1, 3}
