@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,18 +58,15 @@ def zone_table(sites: DataFrame, tz: str = "tz_name") -> tuple[DataFrame, dict[s
     ``sites`` is a fixed table with one row per site; its distinct zone names (at most the few hundred of the zone database)
     are read at the driver. NULL and unknown names are left out.
     """
-    from zoneinfo import available_timezones
-
     known = available_timezones()
     names = sorted(r[0] for r in sites.select(tz).distinct().filter(F.col(tz).isNotNull()).collect() if r[0] in known)
     schema = "zone string, local_year int, local_from bigint, local_to bigint, offset bigint, other_offset bigint, kind string"
     return sites.sparkSession.createDataFrame(local_intervals(names), schema), abbreviation_offsets(names)
 
 
-def _zone_ids(df: DataFrame) -> list[str]:
-    """The zone names that the session's zone database knows."""
-    jvm = df.sparkSession.sparkContext._jvm
-    return sorted(x for x in str(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds())).split(",") if "'" not in x)
+def _zone_ids() -> list[str]:
+    """The zone names of the zone database, which texts may name themselves."""
+    return sorted(available_timezones())
 
 
 def resolve_instants(
@@ -153,7 +152,7 @@ def resolve_instants(
     further = F.abs(own - F.col("_expected")) > F.abs(other - F.col("_expected"))
     keep = F.coalesce(F.col("_kind") != "two", F.lit(True)) | F.coalesce(F.when(nearer, True).when(further, False), own < other)
     # Zones that a text names itself and the interval table lacks; a name that is no zone leaves NULL.
-    ids = ", ".join(f"'{x}'" for x in _zone_ids(df))
+    ids = ", ".join(f"'{x}'" for x in _zone_ids())
     real = F.expr(f"case when _zone in ({ids}) then _zone end")
     named = F.when(real.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_local")), F.coalesce(real, F.lit("UTC")))))
     instant = (
@@ -178,8 +177,13 @@ def cohort_instants(cohort: DataFrame, sites: DataFrame, zones: tuple[DataFrame,
 
 
 def encounter_clocks(starts: DataFrame) -> DataFrame:
-    """One row per encounter: zone, order of dates, minute zero and start instant, from :func:`cohort_instants`."""
-    return starts.filter(F.col("encounter_id").isNotNull()).groupBy(F.col("encounter_id").alias("_enc")).agg(F.min("zone").alias("zone"), F.min("day_first").alias("day_first"), F.min("clock_origin").alias("clock_origin"), F.min("utc_us").alias("start_us"))
+    """One row per encounter: zone, order of dates, minute zero and start instant, from :func:`cohort_instants`.
+
+    All four are of one delivered row, so no clock is mixed from several: the one with the earliest start (a start that can't be
+    read comes last), then the lowest cohort_id.
+    """
+    one = F.min_by(F.struct("zone", "day_first", "clock_origin", F.col("utc_us").alias("start_us")), F.struct(F.col("utc_us").isNull(), F.col("utc_us"), F.col("cohort_id")))
+    return starts.filter(F.col("encounter_id").isNotNull()).groupBy(F.col("encounter_id").alias("_enc")).agg(one.alias("c")).select("_enc", "c.*")
 
 
 def reading_instants(readings: DataFrame, starts: DataFrame, zones: tuple[DataFrame, dict[str, int]]) -> DataFrame:

@@ -53,12 +53,8 @@ def precision_plan(df: DataFrame, rate: float = 0.12, threshold: float = 0.15, s
     inverse = np.linalg.pinv(np.array([[m["a"], m["b"]], [m["b"], m["c"]]]))
     slope_n = math.ceil((2 * Z * math.sqrt(max(inverse[1, 1], 0.0)) / slope_width) ** 2)
     oe_n = math.ceil(math.ceil(max((Z / math.log(1.1)) ** 2, (Z / math.log(0.9)) ** 2)) / rate)
-    low, high = 199, 100_000
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (low, middle) if auroc_width(middle, rate, auc) <= auc_width else (middle, high)
-    # Rounding of the classes makes the width fall unevenly: the first size near the border that meets it counts.
-    auc_n = next(n for n in range(max(200, high - 50), high + 1) if auroc_width(n, rate, auc) <= auc_width)
+    # Rounding of the classes makes the width fall unevenly, so sizes are tried one by one.
+    auc_n = next(n for n in range(200, 10_000_000) if auroc_width(n, rate, auc) <= auc_width)
     most = max(slope_n, oe_n, auc_n)
     width = 2 * Z * math.sqrt(((m["within"] or 0.0) + (m["between"] or 0.0)) / most)
     return [("calibration_slope", slope_n, None), ("observed_to_expected", oe_n, None), ("auroc", auc_n, None), ("largest", most, None), ("net_benefit_width_at_largest", most, round(width, 6))]

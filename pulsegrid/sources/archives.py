@@ -5,8 +5,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import json
 import os
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -103,22 +105,40 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "relative_path", "full_outer").select("relative_path", change.alias("change")).filter("change is not null")
 
 
+def _held_contract(spark: SparkSession, note: str) -> dict | None:
+    """The contract written at ``note``, or None where nothing is; a note that can't be read raises."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(note)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    row = spark.read.text(note, wholetext=True).first()
+    if row is None:
+        raise ValueError(f"{note} is empty")
+    return json.loads(row[0])
+
+
 def write_once(df: DataFrame, folder: str, contract: dict[str, str]) -> DataFrame:
     """``df`` as Parquet in ``folder``, or what lies there if it was written under the same contract; another contract raises ValueError.
 
-    The contract (fingerprints of sources and settings) is stored beside the data and written last, so an unfinished write is redone.
+    The contract (fingerprints of sources and settings) is stored beside the data and written last, so an unfinished write is redone:
+    each write goes to a folder of its own below ``folder``, whose name the note holds, and a folder that a note names is never
+    overwritten. A note that can't be read raises.
     """
-    import json
-
     spark = df.sparkSession
     note = f"{folder.rstrip('/')}.contract"
-    try:
-        held = json.loads(spark.read.text(note, wholetext=True).first()[0])
-    except Exception:  # noqa: BLE001 - not there yet
-        held = None
-    if held is not None and held != contract:
+    held = _held_contract(spark, note)
+    if held is not None and held["contract"] != contract:
         raise ValueError(f"{folder} was written under another contract")
     if held is None:
-        df.write.mode("overwrite").parquet(folder)
-        spark.createDataFrame([(json.dumps(contract, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(note)
-    return spark.read.parquet(folder)
+        held = {"contract": contract, "data": f"{folder.rstrip('/')}/{uuid.uuid4().hex}"}
+        df.write.mode("error").parquet(held["data"])
+        spark.createDataFrame([(json.dumps(held, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(note)
+    return spark.read.parquet(held["data"])
+
+
+def collect_parts(rows: DataFrame, kept: DataFrame, part: str = "part") -> DataFrame:
+    """part, raw_rows, retained_rows, retained_pct: what each part delivered and what is left of it; parts with nothing left count 0."""
+    a = rows.groupBy(part).agg(F.count("*").alias("raw_rows"))
+    b = kept.groupBy(F.col(part).alias("_part")).agg(F.count("*").alias("_kept"))
+    n = F.coalesce(F.col("_kept"), F.lit(0))
+    return a.join(b, F.col(part).eqNullSafe(F.col("_part")), "left").select(part, "raw_rows", n.cast("bigint").alias("retained_rows"), F.round(100 * F.try_divide(n, F.col("raw_rows")), 6).alias("retained_pct"))
