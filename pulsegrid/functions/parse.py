@@ -119,6 +119,11 @@ def source_of_token(c: Column, art: tuple[str, ...] = ART_TOKENS, nibp: tuple[st
     return F.when(t.isin(*art), "ART").when(t.isin(*nibp), "NIBP")
 
 
+def device_of(c: Column) -> Column:
+    """ART or NIBP for a device label: by its token, else by the label patterns (ART first); NULL for any other and for NULL."""
+    return F.coalesce(source_of_token(c), F.when(c.rlike(ART_LABEL), "ART").when(c.rlike(NIBP_LABEL), "NIBP"))
+
+
 def binary_parse(c: Column) -> Column:
     t = F.lower(F.trim(c.cast("string")))
     v = t.try_cast("double")

@@ -33,7 +33,7 @@ def p2_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return hotdeck.hot_deck(table(spark, folder, "landmark_features")).select("feature_id", "field_name")
+    return hotdeck.marked(hotdeck.hot_deck(table(spark, folder, "landmark_features"))).select("feature_id", "field_name")
 
 
 def p3_filled(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,24 +92,42 @@ judged as (
   from timed
 )
 """
-_UNITS = r"""
-with stated as (
+_UNIT_ROWS = r"""stated as (
   select obs_id, encounter_id as e, coalesce(encounter_id, '') as ek, coalesce(map_source, '') as sk, minute_from_anesthesia_start as m, map_value as v, coalesce(
     case when regexp_matches(lower(raw_unit), 'mm ?\[?hg') then 'mmhg' when regexp_matches(lower(raw_unit), 'kpa|kilopascal') then 'kpa' when regexp_matches(lower(raw_unit), 'cm ?\[?h2o') then 'cmh2o' when regexp_matches(lower(raw_unit), 'hpa|hectopascal') then 'hpa' end,
     case when regexp_matches(lower(raw_display_name), 'mm ?\[?hg') then 'mmhg' when regexp_matches(lower(raw_display_name), '\bkpa\b|kilopascal') then 'kpa' when regexp_matches(lower(raw_display_name), 'cm ?\[?h2o') then 'cmh2o' when regexp_matches(lower(raw_display_name), '\bhpa\b|hectopascal') then 'hpa' end) as u
   from map_observations where map_value is not null and not isnan(map_value)
 ),
 unit_of as (
-  select obs_id, e, m, v, coalesce(u, min(u) over s, case when median(case when v > 0 then v end) over s < 25 then 'kpa' else 'mmhg' end) as unit_code
+  select obs_id, e, sk, m, v, coalesce(u, min(u) over s, case when median(case when v > 0 then v end) over s < 25 then 'kpa' else 'mmhg' end) as unit_code
   from stated window s as (partition by ek, sk)
-)
-"""
+)"""
+_UNITS = f"\nwith {_UNIT_ROWS}\n"
 _MMHG = "v * case unit_code when 'kpa' then 7.50061683 when 'cmh2o' then 0.73555924 when 'hpa' then 0.750061683 else 1.0 end"
 _CELLS = "cells as (select encounter_id, unnest(range(5, 5 * cast(floor(max(anesthesia_duration_min) / 5) as int) + 1, 5)) as time_min from cohort where encounter_id is not null group by encounter_id)"
 _MISSING = "\nunion all\n".join(
     f"select feature_id, '{f.name}' as field_name from landmark_features where {f.name} is null or isnan({f.name}) or {f.name} < {f.low} or {f.name} > {f.high}" for f in hotdeck.LANDMARK_FIELDS
 )
 
+_DECK_ROWS = " union all ".join(f"select *, '{f.name}' as field_name, case when not ({f.name} is null or isnan({f.name}) or {f.name} < {f.low} or {f.name} > {f.high}) then {f.name} end as v from keyed" for f in hotdeck.LANDMARK_FIELDS)
+_DECK_ORDER = "order by age_block, day_block, age, day, id"
+_DECK = f"""
+with keyed as (select feature_id as id, coalesce(surgical_service, '?') as g0, coalesce(site_code, '?') as g1, coalesce(cast(male as varchar), '?') as cls, case when age is null or isnan(age) then -1.0 else age end as age,
+    coalesce(datediff('day', date '1970-01-01', case_day), -100000) as day, bmi, asa, pre10_last_map from landmark_features),
+blocked as (select *, floor(age * 4) as age_block, floor(day / 30.0) as day_block from keyed),
+long as (select *, case when v is not null then struct_pack(a := age, d := day, i := id, v := v) end as donor from ({_DECK_ROWS.replace("from keyed", "from blocked")})),
+sides as (select *,
+    last_value(donor ignore nulls) over (partition by field_name, g0, g1, cls {_DECK_ORDER} rows between unbounded preceding and 1 preceding) as b1, first_value(donor ignore nulls) over (partition by field_name, g0, g1, cls {_DECK_ORDER} rows between 1 following and unbounded following) as a1,
+    last_value(donor ignore nulls) over (partition by field_name, g0, cls {_DECK_ORDER} rows between unbounded preceding and 1 preceding) as b2, first_value(donor ignore nulls) over (partition by field_name, g0, cls {_DECK_ORDER} rows between 1 following and unbounded following) as a2,
+    last_value(donor ignore nulls) over (partition by field_name {_DECK_ORDER} rows between unbounded preceding and 1 preceding) as b3, first_value(donor ignore nulls) over (partition by field_name {_DECK_ORDER} rows between 1 following and unbounded following) as a3
+    from long),
+leveled as (select *, case when b1 is not null or a1 is not null then 1 when b2 is not null or a2 is not null then 2 when b3 is not null or a3 is not null then 3 else 0 end as level from sides where v is null),
+near as (select *, case level when 1 then b1 when 2 then b2 when 3 then b3 end as b, case level when 1 then a1 when 2 then a2 when 3 then a3 end as a from leveled),
+far as (select *, abs(b.a - age) + abs(b.d - day) / 365.25 as tb, abs(a.a - age) + abs(a.d - day) / 365.25 as ta from near)
+select id as feature_id, field_name, case when a is null or tb <= ta then b.v else a.v end as value, case when a is null or tb <= ta then b.i else a.i end as donor_id,
+  round(case when a is null or tb <= ta then tb else ta end, 6) as distance, cast(level as int) as level from far
+"""
+
 
 def _sizes_sql(quantity: str, column: str, stated: list[tuple[str, str]], noted: list[tuple[str, str]], subject: str, bare: str) -> str:
     text = f"trim({column})"
@@ -159,6 +177,7 @@ SQL: dict[str, str] = {
         round(case status when 'observed' then s / n when 'filled' then last_v + (first_v - last_v) * (time_min - last_m) / (first_m - last_m) end, 4) as value_mmhg
       from said""",
     "p3_found": _MISSING,
+    "p3_filled": _DECK,
     "p6_found": _UNITS + f""", sizes as ({_SIZES})
       select 'cohort' as src_table, row_id, quantity, unit_code from sizes where unit_code not in ('m', 'kg')
       union all select 'map_observations', obs_id, 'map', unit_code from unit_of where unit_code <> 'mmhg'""",

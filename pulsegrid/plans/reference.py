@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import parse
 from pulsegrid.operators import fit, grid, keyed, landmark, metrics, planning, resample, score, secondary, units
+from pulsegrid.plans import prep
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import table
 
@@ -49,27 +49,12 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def device(spark: SparkSession, folder: str, readings: DataFrame) -> DataFrame:
-    """``readings`` with ``source``: ART or NIBP where the typed device means one of them, else another entry or NULL.
+def raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of the two devices in mmHg, whatever unit they were delivered in; devices are told by their label.
 
-    Labels the reference knows are told by their token. Other spellings are resolved as in p7_found, once per distinct label;
-    without the subpackage llm only the tokens are known.
+    Readings whose label means neither (:func:`unmapped_sources` counts them) take no part.
     """
-    told = parse.source_of_token(F.col("map_source"))
-    if importlib.util.find_spec("pulsegrid.llm") is None:
-        return readings.withColumn("source", told)
-    from pulsegrid.llm.names import map_names
-
-    reference = table(spark, folder, "label_reference")
-    labels = table(spark, folder, "map_observations").filter(F.col("map_source").isNotNull() & told.isNull()).select("map_source").distinct()
-    entries = reference.filter(F.col("list_name") == "map_source").select("ref_id", F.col("canonical_name").alias("meant"))
-    meant = map_names(labels, reference, "map_source", "map_source", "map_source").join(F.broadcast(entries), "ref_id").select(F.col("row_id").alias("_label"), "meant")
-    return readings.join(meant, F.col("map_source") == F.col("_label"), "left").withColumn("source", F.coalesce(told, "meant")).drop("_label", "meant")
-
-
-def raw(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings of the two devices in mmHg, whatever unit and spelling they were delivered in."""
-    rows = device(spark, folder, units.reading_units(table(spark, folder, "map_observations"))).filter(F.col("source").isin(*grid.PRIORITY))
+    rows = units.reading_units(table(spark, folder, "map_observations")).withColumn("source", parse.device_of(F.col("map_source"))).filter(F.col("source").isNotNull())
     return rows.select(F.col("encounter_id").alias("case_id"), F.col("minute_from_anesthesia_start").alias("t"), F.col("value_mmhg").alias("map"), "source")
 
 
@@ -126,9 +111,13 @@ one as (select * from cohort where encounter_id is not null and encounter_id not
 sized as (select *, {_HEIGHT} as hm, {_WEIGHT} as kg from one),
 cases as (select encounter_id as case_id, patient_id, age as age_years, case when upper(trim(sex)) in ('M', 'MALE') then 1.0 when upper(trim(sex)) in ('F', 'FEMALE') then 0.0 end as male,
   case when kg / (hm * hm) between 10 and 80 then kg / (hm * hm) end as bmi, asa, anesthesia_duration_min as duration_min, epoch_us(loaded_at) as start_key from sized)"""
-_RAW = """raw as (select encounter_id as case_id, minute_from_anesthesia_start as t, map_value as map, map_source as source from map_observations
-  where map_source in ('ART', 'NIBP') and lower(raw_unit) in ('mmhg', 'mm hg', 'mm[hg]')),
-good as (select * from raw where map between 20 and 200 and t is not null and case_id is not null)"""
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+_TOKEN = "upper(regexp_replace({}, '[^0-9A-Za-z]', '', 'g'))"
+_SOURCE = f"case when {_TOKEN} in ({_IN(parse.ART_TOKENS)}) then 'ART' when {_TOKEN} in ({_IN(parse.NIBP_TOKENS)}) then 'NIBP' end".replace("{}", "{0}")
+_DEVICE = f"coalesce({_SOURCE}, case when regexp_matches({{0}}, '{parse.ART_LABEL}') then 'ART' when regexp_matches({{0}}, '{parse.NIBP_LABEL}') then 'NIBP' end)"
+_RAW = f"""{prep._UNIT_ROWS},
+raw as (select e as case_id, m as t, {prep._MMHG} as map, {_DEVICE.format("sk")} as source from unit_of),
+good as (select * from raw where source is not null and map between 20 and 200 and t is not null and case_id is not null)"""
 
 
 def _grid_sql(name: str, width: int, phase: int = 0, label: str | None = None, keep: str = "t > 0", order: tuple[str, str] = ("ART", "NIBP")) -> str:
@@ -242,6 +231,13 @@ def source_audit(spark: SparkSession, folder: str) -> DataFrame:
     return df.groupBy(F.coalesce("map_source", F.lit("NULL")).alias("source")).agg(F.count("*").alias("n"), F.count("map_value").alias("n_with_value"), F.count_if(F.col("map_value").between(20, 200)).alias("n_in_range"))
 
 
+@query(f"select map_source as label, count(*) as n, count(map_value) as n_with_value from map_observations where {_DEVICE.format('map_source')} is null group by 1")
+def unmapped_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of neither device, NULL among them, with the rows they leave out of the series."""
+    df = table(spark, folder, "map_observations").filter(parse.device_of(F.col("map_source")).isNull())
+    return df.groupBy(F.col("map_source").alias("label")).agg(F.count("*").alias("n"), F.count("map_value").alias("n_with_value"))
+
+
 # --- landmark
 
 
@@ -427,12 +423,7 @@ def map_label_source(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table(spark, folder, "flowsheet").select("flow_id", parse.is_map_label(text).cast("int").alias("is_map"), parse.label_source(text).alias("source"), parse.single_numeric(F.col("meas_value")).alias("value")))
 
 
-_IN = lambda names: ", ".join(f"'{n}'" for n in names)
-
-
-@query(
-    f"""select obs_id, case when upper(regexp_replace(map_source, '[^0-9A-Za-z]', '', 'g')) in ({_IN(parse.ART_TOKENS)}) then 'ART' when upper(regexp_replace(map_source, '[^0-9A-Za-z]', '', 'g')) in ({_IN(parse.NIBP_TOKENS)}) then 'NIBP' end as source from map_observations"""
-)
+@query(f"select obs_id, {_SOURCE.format('map_source')} as source from map_observations")
 def source_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "map_observations").select("obs_id", parse.source_of_token(F.col("map_source")).alias("source"))
 
@@ -598,7 +589,7 @@ def capacity_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.capacity_thresholds(scored(spark, folder), [0.1, 0.2, 0.3]))
 
 
-@query(f"with {_SCORED}, top as (select * from pred order by p desc, case_id limit 20) select count(*) as k, sum(y)::bigint as events from top")
+@query(f"with {_SCORED}, top as (select * from pred qualify row_number() over (order by p desc, case_id) <= (select count(*) from pred where landmark_map < 65)) select count(*) as k, sum(y)::bigint as events from top")
 def topk_capacity(spark: SparkSession, folder: str) -> DataFrame:
     """As many cases as the landmark rule alerts, those with the highest scores."""
     rows = checkpointed(scored(spark, folder).select("case_id", "y", "p", "landmark_map"))
