@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import namedtuple
+import uuid
+from collections import Counter, namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<[^<>]{0,200}>")
+TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 WORD = re.compile(r"[^\W_]+")
 # Units, which a template replaces as it does numbers.
 UNITS = frozenset("ml l cm mm m kg g mg mcg grams gram percent mmhg kpa minutes minute min hours hour seconds units bpm mikrogramm minuten".split())
@@ -27,6 +28,7 @@ class Rule:
 
     words: int = 25  # in a row
     per_edit: int = 6  # at most one word in so many changed, added or misspelt
+    per_edit_alike: int = 12  # the same for a stretch with other values in its slots
     window: int = 5  # words of a template window
 
     @property
@@ -62,12 +64,12 @@ Block = namedtuple("Block", "a b size")
 class _Marks(dict):
     """The hash of each token's template, made when first asked for; cleared when it has grown large."""
 
-    def __init__(self, names: frozenset[str]):
+    def __init__(self, templated):
         super().__init__()
-        self.names = names
+        self.templated = templated
 
     def __missing__(self, token: str) -> int:
-        self[token] = mark = hash(template(token, self.names))
+        self[token] = mark = hash(self.templated(token))
         return mark
 
 
@@ -75,15 +77,17 @@ class _Marks(dict):
 class Item:
     item_id: int
     tokens: list[str]
+    templated: list[str]
     word_of: np.ndarray  # the passage's word that each token belongs to
     n_words: int
 
 
 class Index:
-    """Template windows of all passages, hashed, with the slot values of each."""
+    """Template windows of all passages, hashed, with the places where each occurs."""
 
     def __init__(self, items: list[tuple[int, str]], rule: Rule):
         self.rule, self.items = rule, []
+        self.names = self._names([t for _, t in items])
         for item_id, passage in items:
             held, word_of = [], []
             pieces = plain(passage or "").split()
@@ -93,18 +97,19 @@ class Index:
                 held += found
                 word_of += [w] * len(found)
                 w += bool(found)
-            self.items.append(Item(item_id, held, np.array(word_of, np.int64), w))
-        self.names = self._names([t for _, t in items])
-        self.mark = _Marks(self.names)
-        # By template window, by the values in its slots: where it occurs.
-        self.windows: dict[int, dict[tuple[str, ...], list[tuple[int, int]]]] = {}
+            self.items.append(Item(item_id, held, [self.templated(t) for t in held], np.array(word_of, np.int64), w))
+        self.mark = _Marks(self.templated)
+        self.windows: dict[int, list[tuple[int, int, tuple[str, ...]]]] = {}
         for k, item in enumerate(self.items):
             for at, key in enumerate(self._keys(np.array([self.mark[t] for t in item.tokens], np.int64)).tolist()):
-                self.windows.setdefault(key, {}).setdefault(tuple(item.tokens[at : at + rule.window]), []).append((k, at))
+                self.windows.setdefault(key, []).append((k, at, tuple(item.tokens[at : at + rule.window])))
         self.keys = np.sort(np.fromiter(self.windows, np.int64, len(self.windows)))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.keys & (len(self.bits) - 1)] = True
 
+    def templated(self, token: str) -> str:
+        return template(token, self.names)
+
     @staticmethod
     def _names(passages: list[str]) -> frozenset[str]:
         """Words that passages only write with a capital inside a sentence."""
@@ -127,8 +132,8 @@ class Index:
             key ^= key >> np.uint64(32)
         return key.view(np.int64)
 
-    def scan(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
-        """(text, item_id, words of the passage in a leaking stretch, edits in it) for each item that a text carries.
+    def scan(self, texts: list[str]) -> list[tuple[int, int, str, int, int, int]]:
+        """(text, item_id, kind, words, edits, slots) for each item that a text carries; see :func:`find_leaks`.
 
         Windows of all texts are hashed in one array and looked up at once; only texts with a window of some passage's template
         are looked at further.
@@ -145,61 +150,108 @@ class Index:
         at = np.searchsorted(self.keys, keys[maybe])
         hits = maybe[self.keys[np.minimum(at, len(self.keys) - 1)] == keys[maybe]]
         begin = np.cumsum(sizes) - sizes
-        by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        # By text and passage: windows of the same template, and those of them whose slots hold the same values.
+        by_pair: dict[tuple[int, int], tuple[list, list]] = {}
         for h, d, k in zip(hits.tolist(), doc[hits].tolist(), keys[hits].tolist(), strict=True):
             at_word, f = h - int(begin[d]), found[d]
-            # Slots: a true stretch holds at least one window without an edit, so its slot values agree there.
-            for k_item, p in self.windows[k].get(tuple(f[at_word : at_word + w]), ()):
-                by_pair.setdefault((d, k_item), []).append((at_word, p))
+            here = tuple(f[at_word : at_word + w])
+            for k_item, p, slots in self.windows[k]:
+                pair = by_pair.get((d, k_item))
+                if pair is None:
+                    pair = by_pair[d, k_item] = ([], [])
+                pair[1].append((at_word, p))
+                if slots == here:
+                    pair[0].append((at_word, p))
         out = []
-        for (d, k), seeds in by_pair.items():
-            got = self._stretch(found[d], self.items[k], seeds)
+        for (d, k), (same, alike) in by_pair.items():
+            item = self.items[k]
+            got = self._stretch(found[d], item.tokens, item, same) if same else None
             if got:
-                out.append((d, self.items[k].item_id, *got))
+                out.append((d, item.item_id, "verbatim", *got[:2], 0))
+            elif self._alike_enough(alike):
+                got = self._with_other_values(found[d], item, alike)
+                if got:
+                    out.append((d, item.item_id, "reparameterised", *got))
         return out
 
-    def leaks(self, text: str, memo: dict | None = None) -> list[tuple[int, int, int]]:
+    def leaks(self, text: str, memo: dict | None = None, kind: str = "verbatim") -> list[tuple[int, int, int]]:
         """(item_id, words, edits) of one text."""
-        return [x[1:] for x in self.scan([text])]
+        return [(x[1], x[3], x[4]) for x in self.scan([text]) if x[2] == kind]
+
+    def _alike_enough(self, alike: list[tuple[int, int]]) -> bool:
+        """Whether as many windows lie near one diagonal as a stretch of rule.words words must keep whole (no stretch has fewer)."""
+        rule = self.rule
+        edits = rule.words // rule.per_edit_alike
+        least = rule.words - rule.window + 1 - edits * rule.window
+        if len(alike) < least:
+            return False
+        diagonal = sorted(d - p for d, p in alike)
+        return any(diagonal[k + least - 1] - diagonal[k] <= 2 * edits for k in range(len(diagonal) - least + 1))
 
-    def _stretch(self, found: list[str], item: Item, seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
-        """The longest stretch of at least rule.words words around the seeds with at most one edit in rule.per_edit words."""
-        reach = len(item.tokens) + self.rule.edits * 2 + 8
+    def _with_other_values(self, found: list[str], item: Item, seeds: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """words, edits, slots of a stretch that has the passage's template with other values in its slots.
+
+        Slots must be consistent: a value of the passage stands for one value of the text wherever it occurs in the stretch
+        (each further place counts as an edit), and some value must differ.
+        """
+        low, high = max(0, min(d for d, _ in seeds) - len(item.tokens)), min(len(found), max(d for d, _ in seeds) + 2 * len(item.tokens))
+        got = self._stretch([self.templated(t) for t in found[low:high]], item.templated, item, [(d - low, p) for d, p in seeds])
+        if not got:
+            return None
+        words, edits, pairs = got
+        stands: dict[str, Counter] = {}
+        for a, b in pairs:
+            if item.templated[b] != item.tokens[b] or item.tokens[b][0].isdigit():
+                stands.setdefault(item.tokens[b], Counter())[found[low + a]] += 1
+        usual = {own: c.most_common(1)[0] for own, c in stands.items()}
+        edits += sum(sum(c.values()) - usual[own][1] for own, c in stands.items())
+        slots = sum(own != there for own, (there, _) in usual.items())
+        return (words, edits, slots) if slots and edits <= words // self.rule.per_edit_alike else None
+
+    def _stretch(self, found: list[str], own: list[str], item: Item, seeds: list[tuple[int, int]]) -> tuple[int, int, list[tuple[int, int]]] | None:
+        """The longest stretch of at least rule.words words around the seeds with at most one edit in rule.per_edit words, with its
+        pairs of places. ``found`` and ``own`` are the tokens of text and passage, or the templates of both."""
+        reach = len(own) + self.rule.edits * 2 + 8
         best = None
-        done: list[tuple[int, int]] = []
+        walked: set[tuple[int, int]] = set()
+        aligned_to = -1
         for d, p in sorted(seeds):
-            if any(low <= d < high for low, high in done):
+            if (d, p) in walked:
                 continue
-            low, high = max(0, d - reach), min(len(found), d + reach)
-            later = [x for x, _ in seeds if x >= d and x < d + reach]
-            high = min(len(found), max(later) + reach)
-            done.append((d, max(later) + 1))
-            # Walking from the seed settles most candidates; the rest are aligned over the whole region.
-            got = self._judge(self._along(found, item, d, p), item, found, 0)
-            if got is None and self._promising(found[low:high], item):
-                got = self._judge([b for b in SequenceMatcher(None, found[low:high], item.tokens, autojunk=False).get_matching_blocks() if b.size], item, found, low)
-            if got and (best is None or got > best):
+            # Walking from a seed settles most candidates; every seed that no walk has passed is the start of another.
+            blocks = self._along(found, own, d, p)
+            walked.update((b.a + j, b.b + j) for b in blocks for j in range(b.size))
+            got = self._judge(blocks, item, own, found, 0)
+            if got is None and d >= aligned_to:
+                # The rest are aligned over the whole region.
+                low = max(0, d - reach)
+                later = [x for x, _ in seeds if d <= x < d + reach]
+                high = min(len(found), max(later) + reach)
+                aligned_to = max(later) + 1
+                if self._promising(found[low:high], own, item):
+                    got = self._judge([b for b in SequenceMatcher(None, found[low:high], own, autojunk=False).get_matching_blocks() if b.size], item, own, found, low)
+            if got and (best is None or got[:2] > best[:2]):
                 best = got
         return best
 
     @staticmethod
-    def _misspelt(found: list[str], d: int, item: Item, p: int) -> bool:
+    def _misspelt(found: list[str], d: int, own: list[str], p: int) -> bool:
         """Whether the text has a misspelt form of the passage's token p in place d."""
-        if not (0 <= d < len(found) and 0 <= p < len(item.tokens)):
+        if not (0 <= d < len(found) and 0 <= p < len(own)):
             return False
-        a, b = found[d], item.tokens[p]
+        a, b = found[d], own[p]
         return a != b and abs(len(a) - len(b)) <= 2 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.7
 
-    def _promising(self, region: list[str], item: Item) -> bool:
+    def _promising(self, region: list[str], own: list[str], item: Item) -> bool:
         """Whether some stretch of rule.words words of the passage has few enough words that the region lacks."""
         held = set(region)
         lacking = np.zeros(item.n_words + 1, np.int64)
-        lacking[1:] = np.bincount(item.word_of[[t not in held for t in item.tokens]], minlength=item.n_words) > 0
+        lacking[1:] = np.bincount(item.word_of[[t not in held for t in own]], minlength=item.n_words) > 0
         total = np.cumsum(lacking)
         n = self.rule.words
         return item.n_words >= n and bool((total[n:] - total[:-n] <= self.rule.edits).any())
 
-    def _along(self, found: list[str], item: Item, d: int, p: int) -> list:
+    def _along(self, found: list[str], own: list[str], d: int, p: int) -> list:
         """Matching blocks got by walking from a seed both ways, skipping up to the allowed edits at once."""
         skip = self.rule.edits + 1
 
@@ -212,9 +264,9 @@ class Index:
                     for da in range(max(1, total - skip), min(total, skip) + 1):
                         db = total + 1 - da
                         x, y = a + step * da, b + step * db
-                        if db >= 1 and 0 <= x < len(found) and 0 <= y < len(item.tokens) and found[x] == item.tokens[y]:
+                        if db >= 1 and 0 <= x < len(found) and 0 <= y < len(own) and found[x] == own[y]:
                             nx, ny = x + step, y + step
-                            follows = not (0 <= nx < len(found) and 0 <= ny < len(item.tokens)) or found[nx] == item.tokens[ny]
+                            follows = not (0 <= nx < len(found) and 0 <= ny < len(own)) or found[nx] == own[ny]
                             if total == 1 or follows:
                                 best = (x, y)
                                 break
@@ -234,7 +286,7 @@ class Index:
                 blocks.append(Block(a, b, 1))
         return blocks
 
-    def _judge(self, blocks: list, item: Item, found: list[str], shift: int) -> tuple[int, int] | None:
+    def _judge(self, blocks: list, item: Item, own: list[str], found: list[str], shift: int) -> tuple[int, int, list[tuple[int, int]]] | None:
         """Edits are words of the passage without a full match, and words in the text between matches beyond those."""
         rule, n = self.rule, item.n_words
         if sum(b.size for b in blocks) < rule.words - rule.edits:
@@ -261,8 +313,8 @@ class Index:
         total = np.concatenate([[0], np.cumsum(cost)])
         # A stretch may begin and end with a misspelt word; a changed one there can't be told from the text around it.
         begins = np.cumsum(sizes) - sizes
-        before = np.array([self._misspelt(found, shift + first[w] - 1, item, begins[w] - 1) for w in at], np.int64)
-        behind = np.array([self._misspelt(found, shift + last[w] + 1, item, begins[w] + sizes[w]) for w in at], np.int64)
+        before = np.array([self._misspelt(found, shift + first[w] - 1, own, begins[w] - 1) for w in at], np.int64)
+        behind = np.array([self._misspelt(found, shift + last[w] + 1, own, begins[w] + sizes[w]) for w in at], np.int64)
         best = None
         for i in range(len(at)):
             for j in range(len(at) - 1, i, -1):
@@ -272,44 +324,65 @@ class Index:
                 add = min(max(0, rule.words - span), int(before[i] + behind[j]))
                 if span + add >= rule.words and edits + add <= (span + add) // rule.per_edit:
                     if best is None or span + add > best[0]:
-                        best = (span + add, edits + add)
+                        best = (span + add, edits + add, i, j)
                     break
                 if best is not None and span + add <= best[0]:
                     break
-        return best
+        if best is None:
+            return None
+        low, high = int(begins[at[best[2]]]), int(begins[at[best[3]]] + sizes[at[best[3]]])
+        return best[0], best[1], [(shift + b.a + k, b.b + k) for b in blocks for k in range(b.size) if low <= b.b + k < high]
+
+
+_held: dict[str, Index] = {}  # of this worker: the index of the block it works on
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), block: int = 5_000) -> DataFrame:
-    """doc_id, item_id, words and edits: every document that carries a stretch of a test item's passage.
+def _index(key: str, part: list[tuple[int, str]], rule: Rule) -> Index:
+    if key not in _held:
+        _held.clear()
+        _held[key] = Index(part, rule)
+    return _held[key]
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), block: int = 20_000, most_items: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, kind, words, edits and slots: every document that carries a stretch of a test item's passage.
 
     A stretch is at least rule.words words in a row of the passage with at most one word in rule.per_edit changed, added or
     misspelt; case, punctuation, markup, spacing and line breaks don't count. Numbers, names and units are replaced with typed
-    placeholders, and windows of rule.window template words are hash-joined with those of the passages; a candidate must agree
-    in the slots of at least one window (a true stretch always does: its edits leave a run that long), so passages of the same
-    template with other values fall away. Candidates are then aligned word by word. Only the passage is test material. NULL and
+    placeholders, and windows of rule.window template words are hash-joined with those of the passages: every window of the
+    same template is a candidate, whatever its slots hold. Where the slots hold the passage's own values, the tokens are aligned
+    word by word, and a stretch is ``verbatim``. Else the templates are aligned, and a stretch with at most one edit in
+    rule.per_edit_alike words, in whose slots each value of the passage stands for one value of the text, is ``reparameterised`` (the same question
+    with other numbers, names or units), with the number of ``slots`` that differ. A document and item have one row, verbatim before the other. Only the passage is test material. NULL and
     empty texts and passages carry nothing; repeated documents come out each; items with equal passages all come out.
 
-    Test items are a stated set, taken in blocks of ``block`` passages, each a pass over all documents, so what goes to the workers
-    is bounded. Documents stay where they lie: there is no shuffle, and whole texts are read.
+    Test items are a stated set (at most ``most_items``, checked), taken in blocks of ``block`` passages, each a pass over all
+    documents; a block is sent to the workers once and indexed once by each. Documents stay where they lie: there is no shuffle, and whole texts are read.
     """
     wanted = items.select("item_id", "passage").filter(F.col("passage").isNotNull() & F.col("item_id").isNotNull())
-    held = [(int(r[0]), r[1]) for r in wanted.toLocalIterator()]
+    held = [(int(r[0]), r[1]) for r in wanted.limit(most_items + 1).collect()]
+    if len(held) > most_items:
+        raise ValueError(f"more than {most_items} test items: search for them in parts")
     kind = documents.schema[id_col].dataType.simpleString()
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    context = documents.sparkSession.sparkContext
 
     def scan(part: list[tuple[int, str]]) -> DataFrame:
+        shared, key = context.broadcast(part), uuid.uuid4().hex  # at most ``block`` passages
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(part, rule)
+            index = _index(key, shared.value, rule)
             for whole in batches:
                 for at in range(0, whole.num_rows, 2_000):
                     batch = whole.slice(at, 2_000)
                     if len(index.mark) > 500_000:
                         index.mark.clear()
                     found = index.scan(batch.column(1).to_pylist())
-                    columns = [pa.array([f[j] for f in found], pa.int64() if j == 0 else pa.int32()) for j in range(4)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "words", "edits"])
+                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                    columns = [pa.array([f[j] for f in found], t) for j, t in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "kind", "words", "edits", "slots"])
 
-        return source.mapInArrow(run, f"doc_id {kind}, item_id int, words int, edits int")
+        return source.mapInArrow(run, f"doc_id {kind}, item_id int, kind string, words int, edits int, slots int")
 
     out = scan(held[:block])
     for at in range(block, len(held), block):

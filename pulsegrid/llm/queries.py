@@ -24,7 +24,12 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).filter("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """With the items that documents carry under other numbers, names or units."""
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +40,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(table(spark, folder, "documents")).select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p8_packed, p9_found, p10_found, p10_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p8_packed, p9_found, p9_kinds, p10_found, p10_shares)}
 
 _SHARES = r"""
 with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents),

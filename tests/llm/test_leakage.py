@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import leakage
 from pulsegrid.llm.leakage import Index, Rule, find_leaks, plain
 
 PASSAGE = (
@@ -71,3 +72,46 @@ def test_rows(spark):
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()) == want
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, items, block=1).collect()) == want
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
+
+
+QUESTION = (
+    "The report by Keller says that 40 ml were given at minute 12 and that the pressure fell below 65 after another 40 ml; by minute 30 Keller had "
+    "added 80 ml, written down 65 twice and called Osman, who came 5 minutes later and stopped it."
+)
+VALUES = {"Keller": "Brandt", "40": "25", "12": "7", "65": "58", "30": "44", "80": "120", "Osman": "Lindqvist", "5": "9", "ml": "mg"}
+
+
+def with_values(values):
+    return " ".join(values.get(w.strip(".,;"), w.strip(".,;")) + w[len(w.rstrip(".,;")) :] for w in QUESTION.split())
+
+
+def kinds(text):
+    return [(x[2], x[5]) for x in Index([(1, QUESTION)], Rule()).scan([f"{PAD} {text} {PAD}"])]
+
+
+def test_other_values_in_the_slots_are_a_reparameterised_question(monkeypatch):
+    assert kinds(QUESTION) == [("verbatim", 0)]
+    # Names of the passage are known to be such; those of a text can't be, so names are kept here.
+    numbers = with_values({k: v for k, v in VALUES.items() if k not in ("Keller", "Osman")})
+    assert kinds(numbers) == [("reparameterised", 7)]
+    # A passage value that stands for two values of the text is an edit for each further place.
+    at = numbers.index("25", numbers.index("25") + 2)
+    (one,) = Index([(1, QUESTION)], Rule()).scan([numbers])
+    (two,) = Index([(1, QUESTION)], Rule()).scan([numbers[:at] + "26" + numbers[at + 2 :]])
+    assert one[2:] == ("reparameterised", len(QUESTION.split()), 0, 7) and two[2] == "reparameterised" and two[4] == 1
+    # Without the template nothing of it is found.
+    monkeypatch.setattr(leakage, "template", lambda token, names: token)
+    assert kinds(QUESTION) == [("verbatim", 0)] and kinds(numbers) == []
+
+
+def test_a_fragment_before_a_stretch_does_not_hide_it():
+    """An exact run of 22 words, then 30 words of the same part with one edit in six: both are walked."""
+    rng = random.Random(1)
+    assert found(f"{PAD} {' '.join(WORDS[2:24])} as noted again here before {changed(WORDS[:32], 7, rng, 3)} {PAD}") == {1}
+
+
+def test_markup_of_any_length_does_not_count():
+    for n in (50, 190, 230, 5000):
+        tag = f'<span style="{"x" * n}">'
+        assert found(f"{' '.join(WORDS[:14])} {tag} {' '.join(WORDS[14:28])}") == {1}
+    assert plain("map < 65 and hr > 100") == "map < 65 and hr > 100"
