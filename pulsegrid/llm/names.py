@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -9,59 +10,33 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Usual short names of the entries, by canonical name, as typed at the bedside.
-ALIASES = {
-    "ARTERIAL LINE MAP": ["a-line mean", "art line mean bp", "iabp mean (a line)", "abp mean", "art map", "ibp mean"],
-    "ARTERIAL LINE SYSTOLIC": ["a-line sys", "art systolic", "sys a line", "abp sys", "ibp sys"],
-    "ARTERIAL LINE DIASTOLIC": ["a-line dia", "art diastolic", "dias a line", "abp dia", "ibp dia"],
-    "CUFF MEAN PRESSURE": ["nbp-m", "nibp mean", "noninvasive map", "cuff map", "nibp map", "nibp m"],
-    "CUFF SYSTOLIC PRESSURE": ["nbp-s", "nibp sys", "noninvasive systolic", "nibp s"],
-    "CUFF DIASTOLIC PRESSURE": ["nbp-d", "nibp dia", "noninvasive diastolic", "nibp d"],
-    "MAP CHARTED": ["charted mean arterial pressure", "mean bp (manual entry)", "manual map"],
-    "MAP GOAL": ["target map", "map aim", "map target"],
-    "MAP ALARM LIMIT": ["map alarm setting", "map alarm threshold"],
-    "CENTRAL VENOUS PRESSURE": ["cvp", "cvp mean"],
-    "PULMONARY ARTERY PRESSURE": ["pap", "pa pressure"],
-    "HEART RATE": ["hr", "cardiac rate bpm", "pulse rate"],
-    "PULSE OXIMETRY": ["spo2", "o2 sat", "saturation probe", "pulse ox", "sao2"],
-    "RESPIRATORY RATE": ["rr", "breaths per min", "resp rate"],
-    "END TIDAL CARBON DIOXIDE": ["etco2", "et-co2", "capnography et", "end tidal co2"],
-    "BODY TEMPERATURE": ["temp core", "core temp", "body temp"],
-    "SKIN TEMPERATURE": ["skin temp", "temp surface (skin)"],
-    "INSPIRED OXYGEN FRACTION": ["fio2", "insp o2", "fraction of inspired o2"],
-    "EXPIRED SEVOFLURANE": ["et sevo", "sevo exp"],
-    "EXPIRED DESFLURANE": ["et des", "des exp"],
-    "TIDAL VOLUME": ["vt", "tv exp"],
-    "PEAK AIRWAY PRESSURE": ["pip", "airway peak"],
-    "PLATEAU AIRWAY PRESSURE": ["pplat", "airway plateau"],
-    "POSITIVE END EXPIRATORY PRESSURE": ["peep", "set peep"],
-    "URINE OUTPUT": ["uop", "foley out"],
-    "ESTIMATED BLOOD LOSS": ["ebl", "blood loss est"],
-    "CRYSTALLOID INTAKE": ["iv crystalloid", "crystalloids in"],
-    "COLLOID INTAKE": ["albumin/colloid in", "colloids in"],
-    "BISPECTRAL INDEX": ["bis", "bis value"],
-    "TRAIN OF FOUR COUNT": ["tof", "tof count"],
-    "CARDIAC OUTPUT": ["c.o. thermo", "cardiac out", "co (l/min)", "co thermodilution"],
-    "STROKE VOLUME VARIATION": ["svv", "svv percent"],
-    "INTRACRANIAL PRESSURE": ["icp", "icp evd", "i/cranial pressure"],
-    "BLOOD GLUCOSE": ["poc gluc", "glucose bedside"],
-    "ARTERIAL PH": ["abg ph", "ph (art)"],
-    "ARTERIAL LACTATE": ["abg lactate", "lact art"],
-    "HEMOGLOBIN": ["hgb", "haemoglobin", "hb"],
-    "PAIN SCORE": ["pain 0-10", "nrs pain"],
-    "SEDATION SCORE": ["rass", "sedation scale"],
-    "PATIENT POSITIONING": ["pt position", "pt positioning", "patient position", "position on table"],
-    "ART": ["a line", "a-line", "arterial line", "art line", "radial art line", "artline", "art", "ibp", "invasive", "abp", "arterial"],
-    "NIBP": ["nibp cuff", "non-invasive", "noninvasive", "oscillometric cuff", "cuff bp", "n.i.b.p.", "cuff", "arm cuff", "nbp", "noninvasive cuff", "oscillometric"],
-    "DIRECT": ["direct entry", "charted direct", "direct chart", "direct"],
-}
-# What interfaces put before and after a name.
-AFFIX = re.compile(r"^(?:mon\d+ - |r(?=[ _-])[ _-]|phl: ?|\(auto\) ?|\* ?)+|(?: ?#\d+| ?\(r\)| ?\[or\]| - auto| ?\(auto\)| ?:| ?\*)+$", re.I)
+# Usual clinical abbreviations and synonyms as the words they stand for; | parts alternatives. A general word list:
+# it names no entry of any reference list, and words that a list doesn't use are left out when it is applied.
+LEXICON = {
+    "a": "arterial", "abg": "arterial blood gas", "abp": "arterial line pressure", "aim": "goal", "airways": "airway", "albumin": "colloid", "art": "arterial line|arterial", "aw": "airway",
+    "bedside": "point of care", "bis": "bispectral index", "bp": "blood pressure", "bpm": "heart rate", "breaths": "respiratory rate", "bt": "body temperature",
+    "capnography": "carbon dioxide", "cardiac": "heart", "ci": "cardiac index", "co": "cardiac output", "co2": "carbon dioxide", "cranial": "intracranial", "cuff": "non invasive cuff", "cvp": "central venous pressure",
+    "d": "diastolic", "dbp": "diastolic pressure", "des": "desflurane", "dia": "diastolic", "ebl": "estimated blood loss", "et": "end tidal|expired", "etco2": "end tidal carbon dioxide", "evd": "intracranial", "exp": "expired",
+    "fio2": "fraction inspired oxygen", "foley": "urine catheter", "gcs": "coma score", "glu": "glucose", "gluc": "glucose", "hb": "hemoglobin", "hct": "hematocrit", "hgb": "hemoglobin", "hr": "heart rate",
+    "iabp": "arterial line pressure", "ibp": "invasive arterial line pressure", "icp": "intracranial pressure", "idx": "index", "in": "intake", "insp": "inspired", "invasive": "invasive arterial line",
+    "lact": "lactate", "m": "mean", "manual": "charted", "map": "mean arterial pressure|mean pressure", "mbp": "mean pressure", "nbp": "non invasive cuff pressure", "nibp": "non invasive cuff pressure", "noninvasive": "non invasive cuff|non invasive",
+    "nrs": "numeric pain score", "o2": "oxygen", "oscillometric": "non invasive cuff", "out": "output", "pa": "pulmonary artery", "pap": "pulmonary artery pressure", "pcwp": "pulmonary wedge pressure", "peep": "positive end expiratory pressure",
+    "pip": "peak airway pressure", "plat": "plateau", "poc": "point of care", "pplat": "plateau airway pressure", "prs": "pressure", "pt": "patient", "radial": "arterial", "rass": "sedation score", "rr": "respiratory rate", "rt": "rate",
+    "s": "systolic", "sao2": "oxygen saturation", "sat": "saturation", "saturation": "peripheral oxygen saturation", "sbp": "systolic pressure", "scale": "score", "setting": "limit", "sevo": "sevoflurane", "spo2": "peripheral oxygen saturation",
+    "sv": "stroke volume", "svv": "stroke volume variation", "sys": "systolic", "target": "goal", "temp": "temperature", "thermo": "cardiac output", "thermodilution": "cardiac output", "threshold": "limit", "tof": "train of four",
+    "tv": "tidal volume", "uo": "urine output", "uop": "urine output", "vas": "pain score", "vent": "ventilator", "vol": "volume", "vt": "tidal volume",
+}
+# Words that say nothing about what is measured.
+EMPTY = frozenset("auto by entry for from iv left manually measured min of on or per percent probe reading right sensor set the value with".split())
 CODE = re.compile(r"^[a-z]{1,4}_?\d{3,}$", re.I)
+# A short tag before a colon or a dash between blanks, as interfaces put before a name; letters with dots between them are one word.
+TAG = re.compile(r"^\s*(\w{1,6})\s*(?::|\s-\s)\s*(?=\S)")
+INITIALS = re.compile(r"(?<![a-z0-9])[a-z](?:\.[a-z])+(?![a-z0-9])")
+MOST_MEMORY = 100_000  # texts or tokens a worker remembers
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -104,17 +79,54 @@ def shortens(short: str, word: str) -> bool:
     return all(c in letters for c in short) and (short[-1] in word[-3:] or not set(short[1:]) & set("aeiou"))
 
 
+@dataclass
+class Typed:
+    """A typed text as words: what it is written of, and which of its words may be an interface's addition."""
+
+    tokens: list[str]
+    aside: list[bool]
+
+
+def typed(text: str) -> Typed:
+    """Lower-case runs of letters and digits. Words in brackets, behind a spaced dash or before a colon stand aside: they count
+    where the list knows them and cost nothing where it doesn't."""
+    t = INITIALS.sub(lambda m: m.group().replace(".", ""), text.lower())
+    tag = TAG.match(t)
+    tokens, aside = [], []
+    depth, dashed = 0, False
+    for m in re.finditer(r"[a-z0-9]+|[(\[)\]]|\s-\s", t):
+        x = m.group()
+        if x in "([":
+            depth += 1
+        elif x in ")]":
+            depth = max(0, depth - 1)
+        elif x.strip() == "-":
+            dashed = dashed or (bool(tokens) and not (tag and m.start() < tag.end()))
+        else:
+            tokens.append(x)
+            aside.append(depth > 0 or dashed or bool(tag and m.end() <= tag.end()))
+    return Typed(tokens, aside)
+
+
+def words(text: str) -> list[str]:
+    return typed(text).tokens
+
+
 @dataclass
 class Matcher:
     """Entries of one list as phrases; ranks them for a typed text by soft TF-IDF over repaired tokens."""
 
     phrases: list[tuple[int, list[str]]]
+    lexicon: dict[str, str] = field(default_factory=dict)
     threshold: float = 0.68
-    memo: dict = field(default_factory=dict)
+    sure: float = 0.8  # for texts whose blanks were moved
 
     def __post_init__(self):
+        # Abbreviations in the entries themselves are read as the words they stand for, beside what is written.
+        more = [(ref, [w for t in tokens for w in self.lexicon.get(t, t).split("|")[0].split()]) for ref, tokens in self.phrases]
+        self.phrases = list({(ref, tuple(tokens)): (ref, tokens) for ref, tokens in [*self.phrases, *more]}.values())
         count = defaultdict(set)
-        for k, (ref, tokens) in enumerate(self.phrases):
+        for ref, tokens in self.phrases:
             for t in tokens:
                 count[t].add(ref)
         refs = len({ref for ref, _ in self.phrases})
@@ -124,9 +136,9 @@ class Matcher:
         for k, (_, tokens) in enumerate(self.phrases):
             for t in set(tokens):
                 self.at[t].append(k)
-        self.norm = [math.sqrt(sum(self.idf[t] ** 2 for t in tokens)) for _, tokens in self.phrases]
+        self.norm = [math.sqrt(sum(self.idf[t] ** 2 for t in set(tokens))) for _, tokens in self.phrases]
         self.near = defaultdict(set)
-        for t in self.idf:
+        for t in [*self.idf, *self.lexicon]:
             for d in _deletions(t, _allowed(len(t))):
                 self.near[d].add(t)
         self.solid = defaultdict(set)
@@ -139,10 +151,10 @@ class Matcher:
         self.repairs: dict[str, dict[str, float]] = {}
 
     def repair(self, token: str) -> dict[str, float]:
-        """Vocabulary tokens that a typed token can stand for, with their similarity."""
+        """The token's join with the vocabulary (of the list and the lexicon): words it can stand for, with their similarity."""
         if token in self.repairs:
             return self.repairs[token]
-        known = token in self.idf
+        known = token in self.idf or token in self.lexicon
         out = {token: 1.0} if known else {}
         for word in self.idf if len(token) <= 6 or not known else ():
             if shortens(token, word) and (not known or word.startswith(token)):
@@ -160,79 +172,105 @@ class Matcher:
                 for word in self.idf:
                     if len(word) > len(token) + 1 and word[0] == token[0] and distance(token, word[: len(token)], 1) <= 1:
                         out[word] = 0.75
+        if len(self.repairs) >= MOST_MEMORY:
+            self.repairs.clear()
         self.repairs[token] = out
         return out
 
+    def _readings(self, t: Typed) -> Iterator[list[tuple[dict[str, float], bool]]]:
+        """Ways to read the words: as they stand, and with abbreviations read as what they stand for. Each word as what it can be
+        repaired to, and whether it costs nothing if that is nothing."""
+        plain, long = [], []
+        for token, aside in zip(t.tokens, t.aside, strict=True):
+            sure = 1.0 if token in EMPTY else 0.92 if aside else 0.0  # no guess for what says nothing or stands aside
+            found = {w: s for w, s in self.repair(token).items() if s >= sure}
+            own = {w: s for w, s in found.items() if w in self.idf}
+            empty = aside or len(token) == 1 or token in EMPTY or any(c.isdigit() for c in token)
+            plain.append((own, empty))
+            short = max(((s, w) for w, s in found.items() if w in self.lexicon), default=None)
+            meant = [[w for w in way.split() if w in self.idf] for way in self.lexicon[short[1]].split("|")] if short else []
+            meant = [[({w: short[0]}, empty) for w in way] for way in meant if way]
+            long.append(meant or [[(own, empty)]])
+        yield plain
+        if any(way != [[p]] for way, p in zip(long, plain, strict=True)):
+            for ways in itertools.islice(itertools.product(*long), 8):
+                yield [w for way in ways for w in way]
+
     def best(self, text: str | None) -> tuple[int, float]:
         """(ref_id, score), ref_id 0 below the threshold. NULL and texts without letters or digits are (0, 0)."""
         if text is None:
             return 0, 0.0
-        if text not in self.memo:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[text] = self._best(text)
-        return self.memo[text]
-
-    def _best(self, text: str) -> tuple[int, float]:
-        tokens = words(text)
-        if not tokens:
+        ranked = self._ranked(typed(text))
+        if not ranked or max(ranked)[0] < self.threshold:
+            # Two words run together, and a blank that changed places with its neighbour; with less room for repairs.
+            others = [text[: k - 1] + " " + text[k - 1] + text[k + 1 :] for k, c in enumerate(text) if c == " " and 0 < k]
+            others += [text[:k] + text[k + 1] + " " + text[k + 2 :] for k, c in enumerate(text) if c == " " and k < len(text) - 1]
+            others += self._parted(text)
+            ranked += [r for o in others[:200] for r in self._ranked(typed(o)) if r[0] >= self.sure]
+        if not ranked:
             return 0, 0.0
-        solid = "".join(tokens)
+        score, _, ref = max(ranked, key=lambda r: (r[0], r[1], -r[2]))
+        return (ref if score >= self.threshold else 0), score
+
+    def _parted(self, text: str) -> list[str]:
+        """The text with a word parted in two, where both are of the vocabulary and the whole can't be repaired."""
+        out = []
+        for token in set(words(text)):
+            if 4 <= len(token) <= 40 and not self.repair(token):
+                cuts = (k for k in range(2, len(token) - 1) if all(x in self.idf or x in self.lexicon for x in (token[:k], token[k:])))
+                out += [re.sub(rf"(?i)(?<![a-z0-9]){token}(?![a-z0-9])", f"{token[:k]} {token[k:]}", text) for k in cuts]
+        return out
+
+    def _ranked(self, t: Typed) -> list[tuple[float, int, int]]:
+        if not t.tokens:
+            return []
+        solid = "".join(t.tokens)
         if len(self.solid.get(solid, ())) == 1:
-            return next(iter(self.solid[solid])), 1.0
-        gained = defaultdict(dict)
-        known = [self.repair(t) for t in tokens]
-        weight = [max((self.idf[w] for w in k), default=self.rare) for k in known]
-        for i, k in enumerate(known):
-            for word, s in k.items():
-                for p in self.at[word]:
-                    slot = gained[p].get(word)
-                    if slot is None or slot[1] < s:
-                        gained[p][word] = (i, s)
+            return [(1.0, 0, next(iter(self.solid[solid])))]
         ranked = []
-        for p, pairs in gained.items():
-            used, score, size = set(), 0.0, 0.0
-            for word, (i, s) in sorted(pairs.items(), key=lambda x: -x[1][1]):
-                if i not in used:
-                    used.add(i)
-                    score += s * self.idf[word] ** 2
-                    size += self.idf[word] ** 2
-            size += sum(w * w for i, w in enumerate(weight) if i not in used)
-            ranked.append((score / math.sqrt(size) / self.norm[p], -len(self.phrases[p][1]), self.phrases[p][0]))
+        for reading in self._readings(t):
+            gained = defaultdict(dict)
+            weight = [max((self.idf[w] for w in known), default=0.0 if empty else self.rare) for known, empty in reading]
+            for i, (known, _) in enumerate(reading):
+                for word, s in known.items():
+                    for p in self.at[word]:
+                        slot = gained[p].get(word)
+                        if slot is None or slot[1] < s:
+                            gained[p][word] = (i, s)
+            seen: dict[str, int] = {}  # a word typed twice counts once
+            again = [bool(known) and seen.setdefault(max(known, key=known.get), i) != i for i, (known, _) in enumerate(reading)]
+            for p, pairs in gained.items():
+                used, score, size = set(), 0.0, 0.0
+                for word, (i, s) in sorted(pairs.items(), key=lambda x: -x[1][1]):
+                    if i not in used:
+                        used.add(i)
+                        score += s * self.idf[word] ** 2
+                        size += self.idf[word] ** 2
+                size += sum(w * w for i, w in enumerate(weight) if i not in used and not again[i])
+                ranked.append((score / math.sqrt(size) / self.norm[p], -len(self.phrases[p][1]), self.phrases[p][0]))
         if len(solid) >= 4:
             for d in _deletions(solid, 1):
                 for s in self.solid_near.get(d, ()):
                     if len(self.solid[s]) == 1 and distance(solid, s, 1) <= 1:
                         ranked.append((1 - 0.5 / len(s), 0, next(iter(self.solid[s]))))
-        if not ranked:
-            return 0, 0.0
-        score, _, ref = max(ranked, key=lambda r: (r[0], r[1], -r[2]))
-        return (ref if score >= self.threshold else 0), score
+        return ranked
 
 
-def words(text: str) -> list[str]:
-    """Lower-case runs of letters and digits, without what interfaces put around a name."""
-    t = text.strip()
-    for _ in range(3):
-        shorter = AFFIX.sub("", t).strip()
-        if shorter == t or not shorter:
-            break
-        t = shorter
-    return re.findall(r"[a-z0-9]+", t.lower())
-
-
-def matcher(reference: list[tuple[int, str, str, str]], list_name: str, aliases: dict[str, list[str]] | None = None) -> Matcher:
-    """A matcher over the entries (ref_id, list_name, canonical_name, canonical_display) of one list and their aliases."""
-    aliases = ALIASES if aliases is None else aliases
+def matcher(reference: list[tuple[int, str, str, str]], list_name: str, aliases: dict[str, list[str]] | None = None, lexicon: dict[str, str] | None = None) -> Matcher:
+    """A matcher over the entries (ref_id, list_name, canonical_name, canonical_display) of one list, with a caller's further names
+    by canonical name (``aliases``) and abbreviations (``lexicon``, by default LEXICON)."""
     phrases = []
     for ref, named, name, display in reference:
         if named == list_name:
-            phrases += [(ref, words(p)) for p in dict.fromkeys([name, display, *aliases.get(name or "", [])]) if p and words(p)]
-    return Matcher(phrases)
+            phrases += [(ref, words(p)) for p in dict.fromkeys([name, display, *(aliases or {}).get(name or "", [])]) if p and words(p)]
+    return Matcher(phrases, LEXICON if lexicon is None else lexicon)
 
 
 def _is_code(name: str) -> bool:
-    return bool(CODE.match("".join(AFFIX.sub("", name.strip()).split())))
+    """Whether a name is nothing but a code: a few letters and three digits or more, whatever an interface put around it."""
+    t = typed(name)
+    kept = [x for x, aside in zip(t.tokens, t.aside, strict=True) if not aside and x not in EMPTY]
+    return bool(CODE.match("_".join(kept))) or (len(kept) > 1 and bool(CODE.match("".join(kept[-2:]))) and all(len(x) == 1 for x in kept[:-2]))
 
 
 def resolve_row(m: Matcher, name: str | None, display: str | None) -> int:
@@ -243,17 +281,19 @@ def resolve_row(m: Matcher, name: str | None, display: str | None) -> int:
     return ref or m.best(display)[0]
 
 
-def map_names(df: DataFrame, reference: DataFrame, list_name: str, id_col: str, name: str, display: str | None = None, aliases: dict[str, list[str]] | None = None, most_entries: int = 20_000) -> DataFrame:
+def map_names(df: DataFrame, reference: DataFrame, list_name: str, id_col: str, name: str, display: str | None = None, aliases: dict[str, list[str]] | None = None, lexicon: dict[str, str] | None = None, most_entries: int = 20_000) -> DataFrame:
     """row_id and ref_id (0: none) of every row whose name isn't letter for letter an entry of its list.
 
     Each distinct typed token is joined to the vocabulary of the list by edit distance (through deletion neighbourhoods, with
-    shortened words beside misspelt ones), and complete entries are ranked by soft TF-IDF over the repaired tokens; the run of
-    all letters covers misplaced blanks. NULL, empty, blank and code-like names are told by ``display``; without one they mean
-    none. Repeated rows come out each. Ties go to the entry with fewer tokens, then the lower id.
-
-    ``reference`` is a fixed list (at most ``most_entries``, checked) and goes to every worker; a longer one is an error. Rows
-    stay where they lie: each worker resolves a distinct text once and remembers it (the memory is bounded), so no value, however
-    frequent, gathers rows anywhere.
+    shortened words beside misspelt ones, and general abbreviations read as the words they stand for), and complete entries are ranked
+    by soft TF-IDF over the repaired tokens; the run of all letters covers misplaced blanks. NULL, empty, blank and code-like
+    names are told by ``display``; without one they mean none. Repeated rows come out each. Ties go to the entry with fewer
+    tokens, then the lower id.
+
+    ``aliases`` are further names of entries that a caller knows; there are none by default. ``reference`` is a fixed list (at
+    most ``most_entries``, checked) and goes to every worker; a longer one is an error. Rows stay where they lie: of each batch
+    only the distinct pairs of name and display are resolved, tokens that were joined before are remembered (up to MOST_MEMORY), and the
+    rows take their pair's entry, so no value, however frequent, gathers rows anywhere.
     """
     entries = [tuple(r) for r in reference.select("ref_id", "list_name", "canonical_name", "canonical_display").filter(F.col("list_name") == list_name).limit(most_entries + 1).collect()]
     if len(entries) > most_entries:
@@ -264,16 +304,21 @@ def map_names(df: DataFrame, reference: DataFrame, list_name: str, id_col: str,
     rows = df.filter(text.isNull() | ~text.isin(exact)) if exact else df
     rows = rows.select(F.col(id_col).alias("row_id"), text.alias("name"), shown.alias("display"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, memo = matcher(entries, list_name, aliases), {}
-        for frame in frames:
-            if len(memo) > 200_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, memo = matcher(entries, list_name, aliases, lexicon), {}
+        for batch in batches:
+            a, b = (batch.column(k).dictionary_encode(null_encoding="encode") for k in (1, 2))
+            codes = a.indices.to_numpy().astype(np.int64) * max(len(b.dictionary), 1) + b.indices.to_numpy()
+            pairs, rows_of = np.unique(codes, return_inverse=True)
+            left, right = a.dictionary.to_pylist(), b.dictionary.to_pylist()
+            if len(memo) > MOST_MEMORY:
                 memo.clear()
-            out = np.zeros(len(frame), np.int32)
-            for k, pair in enumerate(zip(frame["name"].tolist(), frame["display"].tolist(), strict=True)):
+            refs = np.zeros(len(pairs), np.int32)
+            for k, code in enumerate(pairs.tolist()):
+                pair = left[code // len(right)], right[code % len(right)]
                 if pair not in memo:
                     memo[pair] = resolve_row(m, *pair)
-                out[k] = memo[pair]
-            yield pd.DataFrame({"row_id": frame["row_id"], "ref_id": out})
+                refs[k] = memo[pair]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(refs[rows_of] if len(pairs) else refs)], names=["row_id", "ref_id"])
 
-    return rows.mapInPandas(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, ref_id int")
+    return rows.mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, ref_id int")
