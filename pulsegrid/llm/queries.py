@@ -33,7 +33,7 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.measure(table(spark, folder, "documents")).filter("mostly_repeated").select("doc_id")
+    return repetition.measure(table(spark, folder, "documents"), everything=False).filter("mostly_repeated").select("doc_id")
 
 
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:

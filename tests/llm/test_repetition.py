@@ -1,10 +1,11 @@
+import dataclasses
 import random
 import re
 
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.repetition import Settings, Words, fit, measure, repeated_share
+from pulsegrid.llm.repetition import Settings, Words, features, fit, measure, repeated_share
 from pulsegrid.sources.tables import table
 
 
@@ -37,8 +38,6 @@ def test_case_punctuation_and_spacing_do_not_count():
 def test_model_ranks_repetition_high():
     rng = random.Random(0)
     plain = [" ".join(rng.choice("abcdefghijklmnopqrst") * rng.randrange(1, 4) for _ in range(rng.randrange(20, 200))) for _ in range(300)]
-    from pulsegrid.llm.repetition import features
-
     m = fit(plain)
     held = [" ".join(rng.choice("abcdefghijklmnopqrst") * rng.randrange(1, 4) for _ in range(120)) for _ in range(40)]
     p = m.probability(features(held + [f"{t} {t}" for t in held], Words(held + [f"{t} {t}" for t in held]), Settings()))
@@ -58,3 +57,30 @@ def test_nomination_loses_none(spark):
     rows = measure(table(spark, SMALL, "documents")).collect()
     over = [r for r in rows if r.repeated_share >= 0.3]
     assert over and sum(r.mostly_repeated for r in over) == len(over)
+
+
+def test_long_texts_just_over_the_share_are_nominated(spark):
+    """Words of real documents in random order, with a copy of a part: shares of 0.31 on, from 4,000 to 400,000 characters."""
+    texts = [r.text for r in table(spark, SMALL, "documents").collect() if r.text]
+    rng = random.Random(5)
+    words = [w for t in texts for w in t.split()]
+    model = fit(texts)
+    for n in (500, 5_000, 50_000):
+        for share in (0.31, 0.35, 0.5):
+            base = [rng.choice(words) for _ in range(n)]
+            text = " ".join(base + base[: int(n * share / (1 - share)) + 8])
+            assert model.probability(features([text], Words([text]), Settings()))[0] >= 10 * Settings().nominate
+
+
+def test_the_model_decides_what_is_measured(spark):
+    """A model that finds nothing likely lists nothing, whatever the share; weights of single n-grams move the probability."""
+    once = "the flush system lost signal for nine minutes before the cart moved"
+    docs = spark.createDataFrame([(k, f"{once} {k}. {once} {k}.") for k in range(4)] + [(9, once)], "doc_id bigint, text string")
+    model = fit([once, f"{once} {once}"] * 20)
+    assert {r.doc_id for r in measure(docs, model=model, everything=False).collect() if r.mostly_repeated} == {0, 1, 2, 3}
+    never = dataclasses.replace(model, shift=-1e6)
+    rows = measure(docs, model=never, everything=False).collect()
+    assert not any(r.mostly_repeated for r in rows) and all(r.repeated_share is None for r in rows)
+    bare = dataclasses.replace(model, bag=model.bag * 0)
+    g = features([once], Words([once]), Settings())
+    assert len(model.bag) == 1 << 18 and abs(model.logit(g)[0] - bare.logit(g)[0]) > 0.01
