@@ -6,7 +6,7 @@ import html
 import re
 import uuid
 from collections import Counter, namedtuple
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from itertools import chain
@@ -59,18 +59,35 @@ def template(token: str, names: frozenset[str]) -> str:
 
 
 Block = namedtuple("Block", "a b size")
+PLACES = 2_000_000  # places of template windows looked at together
 
 
-class _Marks(dict):
-    """The hash of each token's template, made when first asked for; cleared when it has grown large."""
-
+class _Templates(dict):
     def __init__(self, templated):
         super().__init__()
         self.templated = templated
 
+    def __missing__(self, token: str) -> str:
+        self[token] = out = self.templated(token)
+        return out
+
+
+class _Ids(dict):
+    """A number for each token; beside it the hashes of the token and of its template. Cleared when it has grown large."""
+
+    def __init__(self, templated):
+        super().__init__()
+        self.templated, self.hashes = templated, ([], [])
+
     def __missing__(self, token: str) -> int:
-        self[token] = mark = hash(self.templated(token))
-        return mark
+        self[token] = n = len(self)
+        self.hashes[0].append(hash(token))
+        self.hashes[1].append(hash(self.templated(token)))
+        return n
+
+    def clear(self) -> None:
+        super().clear()
+        self.hashes = ([], [])
 
 
 @dataclass
@@ -98,15 +115,22 @@ class Index:
                 word_of += [w] * len(found)
                 w += bool(found)
             self.items.append(Item(item_id, held, [self.templated(t) for t in held], np.array(word_of, np.int64), w))
-        self.mark = _Marks(self.templated)
-        self.windows: dict[int, list[tuple[int, int, tuple[str, ...]]]] = {}
-        for k, item in enumerate(self.items):
-            for at, key in enumerate(self._keys(np.array([self.mark[t] for t in item.tokens], np.int64)).tolist()):
-                self.windows.setdefault(key, []).append((k, at, tuple(item.tokens[at : at + rule.window])))
-        self.keys = np.sort(np.fromiter(self.windows, np.int64, len(self.windows)))
+        self.ids, self.known = _Ids(self.templated), _Templates(self.templated)
+        # Windows of all passages, sorted by the key of their template: where each occurs, and the key of its own words.
+        places = [(key, own, k, at) for k, item in enumerate(self.items) for at, (own, key) in enumerate(zip(*(x.tolist() for x in self._keys_of(item.tokens)), strict=True))]
+        places.sort()
+        self.template, self.own, self.item_of, self.at = (np.array([x[j] for x in places], np.int64) for j in range(4))
+        self.keys, self.first = np.unique(self.template, return_index=True)
+        self.times = np.diff(np.append(self.first, len(places)))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.keys & (len(self.bits) - 1)] = True
 
+    def _keys_of(self, found: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all windows, by their words and by their template."""
+        ids = np.fromiter(map(self.ids.__getitem__, found), np.int64)
+        own, templated = (np.array(h, np.int64)[ids] for h in self.ids.hashes) if len(ids) else (ids, ids)
+        return self._keys(own), self._keys(templated)
+
     def templated(self, token: str) -> str:
         return template(token, self.names)
 
@@ -141,35 +165,51 @@ class Index:
         found = [tokens(t) for t in texts]
         sizes = np.array([len(f) for f in found], np.int64)
         doc = np.repeat(np.arange(len(found)), sizes)
-        marks = np.fromiter(map(self.mark.__getitem__, chain.from_iterable(found)), np.int64, len(doc))
-        keys = self._keys(marks)
+        own, keys = self._keys_of(chain.from_iterable(found))
         if not len(keys) or not len(self.keys):
             return []
         w = self.rule.window
         maybe = np.flatnonzero(self.bits[keys & (len(self.bits) - 1)] & (doc[: len(keys)] == doc[w - 1 :]))
-        at = np.searchsorted(self.keys, keys[maybe])
-        hits = maybe[self.keys[np.minimum(at, len(self.keys) - 1)] == keys[maybe]]
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        known = self.keys[at] == keys[maybe]
+        hits, at = maybe[known], at[known]
         begin = np.cumsum(sizes) - sizes
-        # By text and passage: windows of the same template, and those of them whose slots hold the same values.
-        by_pair: dict[tuple[int, int], tuple[list, list]] = {}
-        for h, d, k in zip(hits.tolist(), doc[hits].tolist(), keys[hits].tolist(), strict=True):
-            at_word, f = h - int(begin[d]), found[d]
-            here = tuple(f[at_word : at_word + w])
-            for k_item, p, slots in self.windows[k]:
-                pair = by_pair.get((d, k_item))
-                if pair is None:
-                    pair = by_pair[d, k_item] = ([], [])
-                pair[1].append((at_word, p))
-                if slots == here:
-                    pair[0].append((at_word, p))
         out = []
-        for (d, k), (same, alike) in by_pair.items():
-            item = self.items[k]
-            got = self._stretch(found[d], item.tokens, item, same) if same else None
+        # Each hit meets every place of its template; so many at once that the table of places stays small.
+        ends = np.cumsum(self.times[at])
+        low = 0
+        while low < len(hits):
+            high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PLACES, side="right")), low + 1)
+            while high < len(hits) and doc[hits[high]] == doc[hits[high - 1]]:
+                high += 1
+            out += self._settle(found, begin, doc, own, hits[low:high], at[low:high])
+            low = high
+        return out
+
+    def _settle(self, found: list[list[str]], begin: np.ndarray, doc: np.ndarray, own: np.ndarray, hits: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """The results of whole texts, given their hits and the templates these are of."""
+        times = self.times[at]
+        hit = np.repeat(hits, times)
+        place = np.repeat(self.first[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        pair = doc[hit] * len(self.items) + self.item_of[place]
+        order = np.argsort(pair, kind="stable")
+        pair, hit, place = pair[order], hit[order], place[order]
+        same = own[hit] == self.own[place]  # the slots hold the passage's values
+        word, spot = hit - begin[doc[hit]], self.at[place]
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        counts = np.diff(np.append(starts, len(pair)))
+        some = np.logical_or.reduceat(same, starts) if len(starts) else np.empty(0, bool)
+        out = []
+        for s, n in zip(starts[some | (counts >= self._least_alike)].tolist(), counts[some | (counts >= self._least_alike)].tolist(), strict=True):
+            d, k = divmod(int(pair[s]), len(self.items))
+            item, part = self.items[k], slice(s, s + n)
+            seeds = list(zip(word[part].tolist(), spot[part].tolist(), strict=True))
+            exact = [x for x, e in zip(seeds, same[part].tolist(), strict=True) if e]
+            got = self._stretch(found[d], item.tokens, item, exact) if exact else None
             if got:
                 out.append((d, item.item_id, "verbatim", *got[:2], 0))
-            elif self._alike_enough(alike):
-                got = self._with_other_values(found[d], item, alike)
+            elif self._alike_enough(seeds):
+                got = self._with_other_values(found[d], item, seeds)
                 if got:
                     out.append((d, item.item_id, "reparameterised", *got))
         return out
@@ -178,15 +218,19 @@ class Index:
         """(item_id, words, edits) of one text."""
         return [(x[1], x[3], x[4]) for x in self.scan([text]) if x[2] == kind]
 
-    def _alike_enough(self, alike: list[tuple[int, int]]) -> bool:
-        """Whether as many windows lie near one diagonal as a stretch of rule.words words must keep whole (no stretch has fewer)."""
+    @property
+    def _least_alike(self) -> int:
+        """Windows that a stretch with other values must keep whole."""
         rule = self.rule
-        edits = rule.words // rule.per_edit_alike
-        least = rule.words - rule.window + 1 - edits * rule.window
+        return max(1, rule.words - rule.window + 1 - rule.words // rule.per_edit_alike * rule.window)
+
+    def _alike_enough(self, alike: list[tuple[int, int]]) -> bool:
+        """Whether so many windows lie near one diagonal (no stretch has fewer)."""
+        least = self._least_alike
         if len(alike) < least:
             return False
         diagonal = sorted(d - p for d, p in alike)
-        return any(diagonal[k + least - 1] - diagonal[k] <= 2 * edits for k in range(len(diagonal) - least + 1))
+        return any(diagonal[k + least - 1] - diagonal[k] <= 2 * (self.rule.words // self.rule.per_edit_alike) for k in range(len(diagonal) - least + 1))
 
     def _with_other_values(self, found: list[str], item: Item, seeds: list[tuple[int, int]]) -> tuple[int, int, int] | None:
         """words, edits, slots of a stretch that has the passage's template with other values in its slots.
@@ -195,7 +239,7 @@ class Index:
         (each further place counts as an edit), and some value must differ.
         """
         low, high = max(0, min(d for d, _ in seeds) - len(item.tokens)), min(len(found), max(d for d, _ in seeds) + 2 * len(item.tokens))
-        got = self._stretch([self.templated(t) for t in found[low:high]], item.templated, item, [(d - low, p) for d, p in seeds])
+        got = self._stretch([self.known[t] for t in found[low:high]], item.templated, item, [(d - low, p) for d, p in seeds])
         if not got:
             return None
         words, edits, pairs = got
@@ -212,10 +256,26 @@ class Index:
         """The longest stretch of at least rule.words words around the seeds with at most one edit in rule.per_edit words, with its
         pairs of places. ``found`` and ``own`` are the tokens of text and passage, or the templates of both."""
         reach = len(own) + self.rule.edits * 2 + 8
+        seeds = sorted(seeds)
+        best, at = None, 0
+        while at < len(seeds):
+            # Seeds that one stretch could hold together.
+            end = at + 1
+            while end < len(seeds) and seeds[end][0] - seeds[end - 1][0] < reach:
+                end += 1
+            low, high = max(0, seeds[at][0] - reach), min(len(found), seeds[end - 1][0] + reach)
+            if self._promising(found[low:high], own, item):
+                got = self._within(found, own, item, seeds[at:end], reach)
+                if got and (best is None or got[:2] > best[:2]):
+                    best = got
+            at = end
+        return best
+
+    def _within(self, found: list[str], own: list[str], item: Item, seeds: list[tuple[int, int]], reach: int) -> tuple[int, int, list[tuple[int, int]]] | None:
         best = None
         walked: set[tuple[int, int]] = set()
         aligned_to = -1
-        for d, p in sorted(seeds):
+        for d, p in seeds:
             if (d, p) in walked:
                 continue
             # Walking from a seed settles most candidates; every seed that no walk has passed is the start of another.
@@ -243,13 +303,15 @@ class Index:
         return a != b and abs(len(a) - len(b)) <= 2 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.7
 
     def _promising(self, region: list[str], own: list[str], item: Item) -> bool:
-        """Whether some stretch of rule.words words of the passage has few enough words that the region lacks."""
-        held = set(region)
-        lacking = np.zeros(item.n_words + 1, np.int64)
-        lacking[1:] = np.bincount(item.word_of[[t not in held for t in own]], minlength=item.n_words) > 0
-        total = np.cumsum(lacking)
+        """Whether some stretch of the passage has at most one word in rule.per_edit that the region lacks; no leak is without one."""
         n = self.rule.words
-        return item.n_words >= n and bool((total[n:] - total[:-n] <= self.rule.edits).any())
+        if item.n_words < n:
+            return False
+        held = set(region)
+        lacking = np.bincount(item.word_of, [t not in held for t in own], minlength=item.n_words) > 0
+        # Over words i to j: lacking <= (j - i) / per_edit, so the excess at j isn't above some excess at i <= j - n.
+        excess = np.append(0, np.cumsum(lacking)) * self.rule.per_edit - np.arange(item.n_words + 1)
+        return bool((excess[n:] <= np.maximum.accumulate(excess)[:-n]).any())
 
     def _along(self, found: list[str], own: list[str], d: int, p: int) -> list:
         """Matching blocks got by walking from a seed both ways, skipping up to the allowed edits at once."""
@@ -313,20 +375,27 @@ class Index:
         total = np.concatenate([[0], np.cumsum(cost)])
         # A stretch may begin and end with a misspelt word; a changed one there can't be told from the text around it.
         begins = np.cumsum(sizes) - sizes
-        before = np.array([self._misspelt(found, shift + first[w] - 1, own, begins[w] - 1) for w in at], np.int64)
-        behind = np.array([self._misspelt(found, shift + last[w] + 1, own, begins[w] + sizes[w]) for w in at], np.int64)
+        ends: dict[tuple[int, int], bool] = {}
+
+        def misspelt(k: int, step: int) -> bool:
+            if (k, step) not in ends:
+                w = at[k]
+                ends[k, step] = self._misspelt(found, shift + (first[w] - 1 if step < 0 else last[w] + 1), own, begins[w] - 1 if step < 0 else begins[w] + sizes[w])
+            return ends[k, step]
+
         best = None
         for i in range(len(at)):
             for j in range(len(at) - 1, i, -1):
                 edits = int(total[j] - total[i])
                 span = int(at[j] - at[i]) + 1
                 # Each edited word taken in at an end counts as a word and as an edit.
-                add = min(max(0, rule.words - span), int(before[i] + behind[j]))
+                short = rule.words - span
+                add = min(short, misspelt(i, -1) + misspelt(j, 1)) if 0 < short <= 2 else 0
                 if span + add >= rule.words and edits + add <= (span + add) // rule.per_edit:
                     if best is None or span + add > best[0]:
                         best = (span + add, edits + add, i, j)
                     break
-                if best is not None and span + add <= best[0]:
+                if short > 2 or (best is not None and span + add <= best[0]):
                     break
         if best is None:
             return None
@@ -375,8 +444,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
             for whole in batches:
                 for at in range(0, whole.num_rows, 2_000):
                     batch = whole.slice(at, 2_000)
-                    if len(index.mark) > 500_000:
-                        index.mark.clear()
+                    if len(index.ids) > 500_000:
+                        index.ids.clear()
+                        index.known.clear()
                     found = index.scan(batch.column(1).to_pylist())
                     kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
                     columns = [pa.array([f[j] for f in found], t) for j, t in enumerate(kinds)]
