@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.metrics import quantiles
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -234,9 +236,10 @@ def calibration_curve(df: DataFrame, points: int = 101) -> list[tuple[float, flo
     from pulsegrid.functions.parse import logit
 
     rows = df.filter(F.col("p").isNotNull()).select("y", logit(F.col("p")).alias("lp"))
-    q = rows.agg(F.percentile("lp", F.array(*[F.lit(x) for x in (0.05, 0.35, 0.65, 0.95, 0.01, 0.99)])).alias("q")).first()["q"]
+    q = quantiles(rows, [], "lp", [0.05, 0.35, 0.65, 0.95, 0.01, 0.99]).first()
     if q is None:
         return []
+    q = q["q"]
     knots = [float(k) + 1e-8 * j for j, k in enumerate(q[:4])]
     names = ["s0", "s1", "s2"]
     fit = ridge_logistic(rows.select("y", *[c.alias(n) for c, n in zip(spline_columns(F.col("lp"), knots), names)]), names, 0.0)

@@ -1,8 +1,8 @@
 """Discrimination, calibration and utility of probabilities, as aggregates by any group columns, with optional weights.
 
 Frames hold ``y`` (0 or 1), ``p`` in [0, 1] and where needed ``w`` and ``patient_id``; groups are any further columns. Ranks over all
-scores are never taken in one task: scores lie in equal intervals, each interval is ranked by itself, and the totals of the
-intervals before it are added.
+scores are never taken in one task: distinct scores are parted into intervals of about equal numbers, each interval is ranked by itself,
+and the totals of the intervals before it are added. Quantiles are read off the same running counts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INTERVALS = 4096
+INTERVALS = 256  # into which the distinct values of a column are parted, whatever their distribution
 
 
 def _w(df: DataFrame, weight: str | None) -> Column:
@@ -27,11 +27,20 @@ def by_score(df: DataFrame, groups: list[str], weight: str | None = None) -> Dat
     return df.filter(F.col("p").isNotNull() & F.col("y").isNotNull()).groupBy(*groups, "p").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0.0)).alias("neg"))
 
 
-def running(df: DataFrame, groups: list[str], columns: list[str], descending: bool = False) -> DataFrame:
-    """``df`` with ``<column>_run``, the sum up to and including the row in order of ``p`` within its group."""
-    cut = F.least(F.floor(F.col("p") * INTERVALS), F.lit(INTERVALS - 1)).cast("int")
-    df = df.withColumn("_cut", cut)
-    order, cuts = (F.col("p").desc(), F.col("_cut").desc()) if descending else (F.col("p"), F.col("_cut"))
+def with_cut(df: DataFrame, column: str, out: str = "_cut") -> DataFrame:
+    """``df`` (one row per distinct value, in any number of groups) with the interval its value lies in: intervals hold about as many rows each.
+
+    Borders come from a bounded sketch of the column; they only say where intervals begin, so results stay exact.
+    """
+    at = F.array(*[F.lit(k / INTERVALS) for k in range(1, INTERVALS)])
+    borders = df.agg(F.array_distinct(F.percentile_approx(column, at, F.lit(10 * INTERVALS))).alias("_borders"))
+    return df.crossJoin(F.broadcast(borders)).withColumn(out, F.expr(f"coalesce(size(filter(_borders, x -> x < `{column}`)), 0)")).drop("_borders")  # one row of borders
+
+
+def running(df: DataFrame, groups: list[str], columns: list[str], descending: bool = False, by: str = "p") -> DataFrame:
+    """``df`` with ``<column>_run``, the sum up to and including the row in order of ``by`` within its group; one row per distinct value."""
+    df = with_cut(df, by)
+    order, cuts = (F.col(by).desc(), F.col("_cut").desc()) if descending else (F.col(by), F.col("_cut"))
     totals = df.groupBy(*groups, "_cut").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(cuts).rowsBetween(Window.unboundedPreceding, -1)  # INTERVALS rows a group
     totals = totals.withColumns({f"_b_{c}": F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0.0)) for c in columns})
@@ -43,6 +52,27 @@ def running(df: DataFrame, groups: list[str], columns: list[str], descending: bo
     return joined.withColumns({f"{c}_run": F.col(f"_r_{c}") + F.col(f"_b_{c}") for c in columns}).select(*[c for c in df.columns if not c.startswith("_")], *[f"{c}_run" for c in columns])
 
 
+def quantiles(df: DataFrame, groups: list[str], column: str, at: list[float]) -> DataFrame:
+    """groups, n and ``q``, the exact quantiles of a column (linear between neighbours), read off running counts: no task holds a group's values.
+
+    NULL and NaN are left out; a group of nothing else has no row.
+    """
+    v = F.col(column).cast("double")
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("_v")).agg(F.count("*").cast("double").alias("c"))
+    r = running(counts.withColumnRenamed("_v", "v"), groups, ["c"], by="v")
+    n = counts.groupBy(*[F.col(g).alias(f"_n_{g}") for g in groups]).agg(F.sum("c").alias("_n"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_n_{g}")) for g in groups], F.lit(True))
+    ends = r.join(F.broadcast(n) if not groups else n, same)
+    low, high = [], []
+    for q in at:
+        rank = (F.col("_n") - 1) * F.lit(float(q))
+        for side, k in ((low, F.floor(rank)), (high, F.ceil(rank))):
+            side.append(F.max(F.when((F.col("c_run") - F.col("c") <= k) & (k < F.col("c_run")), F.col("v"))))
+    share = lambda q: (F.col("_n") - 1) * F.lit(float(q)) - F.floor((F.col("_n") - 1) * F.lit(float(q)))
+    agg = ends.groupBy(*groups).agg(F.max("_n").alias("_n"), *[c.alias(f"_l{k}") for k, c in enumerate(low)], *[c.alias(f"_h{k}") for k, c in enumerate(high)])
+    return agg.select(*groups, F.col("_n").cast("bigint").alias("n"), F.array(*[F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * share(q) for k, q in enumerate(at)]).alias("q"))
+
+
 def auroc(df: DataFrame, groups: list[str] = [], weight: str | None = None) -> DataFrame:
     """Exact area under the ROC curve; ties count half; NULL with one class only."""
     r = running(by_score(df, groups, weight), groups, ["neg"])
@@ -86,7 +116,7 @@ def overall(df: DataFrame, groups: list[str] = [], weight: str | None = None, al
 
 def bin_edges(df: DataFrame, groups: list[str], bins: int = 10) -> DataFrame:
     """Groups and ``edges``, the distinct interpolated quantiles of p (unweighted)."""
-    return df.groupBy(*groups).agg(F.array_distinct(F.percentile("p", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges"))
+    return quantiles(df, groups, "p", [k / bins for k in range(bins + 1)]).select(*groups, F.array_distinct("q").alias("edges"))
 
 
 def calibration_bins(df: DataFrame, groups: list[str] = [], bins: int = 10, weight: str | None = None) -> DataFrame:
@@ -119,16 +149,27 @@ def score_group_error(df: DataFrame, groups: list[str] = []) -> DataFrame:
 def workload(df: DataFrame, thresholds: list[float], groups: list[str] = [], weight: str | None = None, patient: str | None = "patient_id") -> DataFrame:
     """Per threshold: alerts, TP, FP, FN, TN, rates and net benefit; ratios without a denominator are NULL.
 
-    Thresholds are a stated short list: each row meets them in one projection and is summed up where it lies.
+    A row is summed up under the number of thresholds at or below its score, so rows aren't multiplied by thresholds. A NULL score
+    is no alert, a NULL label no event.
     """
     w = _w(df, weight)
-    t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))
-    rows = df.withColumn("_w", w).withColumn("threshold", t).withColumn("_a", F.col("p") >= F.col("threshold"))
-    y = F.col("y") == 1
-    patients = [F.count_distinct(F.when(F.col("_a"), F.col(patient))).alias("patients_alerted"), F.count_distinct(F.when(F.col("_a") & y, F.col(patient))).alias("patients_captured")] if patient else []
-    a = rows.groupBy(*groups, "threshold").agg(
-        F.sum("_w").alias("n"), *[F.sum(F.when(c, F.col("_w")).otherwise(0.0)).alias(x) for x, c in (("tp", F.col("_a") & y), ("fp", F.col("_a") & ~y), ("fn", ~F.col("_a") & y), ("tn", ~F.col("_a") & ~y))], *patients
+    ts = sorted({float(x) for x in thresholds})
+    # The number of thresholds at or below a score; a row is summed up once, under it, and meets the thresholds afterwards.
+    rows = df.withColumn("_w", w).withColumn("_k", sum((F.coalesce(F.col("p") >= F.lit(t), F.lit(False)).cast("int") for t in ts), F.lit(0)))
+    y = F.coalesce(F.col("y") == 1, F.lit(False))
+    sums = rows.groupBy(*groups, "_k").agg(F.sum(F.when(y, F.col("_w")).otherwise(0.0)).alias("_p"), F.sum(F.when(y, F.lit(0.0)).otherwise(F.col("_w"))).alias("_q"))
+    each = sums.withColumn("_t", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold")) for k, t in enumerate(ts)])))
+    over = F.col("_k") > F.col("_t.k")
+    a = each.groupBy(*groups, F.col("_t.threshold").alias("threshold")).agg(
+        F.sum(F.col("_p") + F.col("_q")).alias("n"), *[F.sum(F.when(c, F.col(v)).otherwise(0.0)).alias(x) for x, v, c in (("tp", "_p", over), ("fp", "_q", over), ("fn", "_p", ~over), ("tn", "_q", ~over))]
     )
+    if patient:
+        # Per patient only the highest score counts, of all rows and of events.
+        own = rows.groupBy(*groups, patient).agg(F.max("_k").alias("_all"), F.max(F.when(y, F.col("_k"))).alias("_hit")).filter(F.col(patient).isNotNull())
+        told = own.withColumn("_t", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold")) for k, t in enumerate(ts)])))
+        told = told.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_t.threshold").alias("_at")).agg(F.count_if(F.col("_all") > F.col("_t.k")).alias("patients_alerted"), F.count_if(F.col("_hit") > F.col("_t.k")).alias("patients_captured"))
+        same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups], F.col("threshold") == F.col("_at"))
+        a = a.join(told, same, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("patients_alerted", "patients_captured")})
     odds = F.col("threshold") / (1 - F.col("threshold"))
     alerts, nb = F.col("tp") + F.col("fp"), F.try_divide(F.col("tp") - F.col("fp") * odds, F.col("n"))
     every = F.try_divide(F.col("tp") + F.col("fn") - (F.col("fp") + F.col("tn")) * odds, F.col("n"))

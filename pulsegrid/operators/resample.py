@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 CORE = ("auroc", "auprc", "brier", "log_loss")
 FACTORIAL = (*CORE, "calibration_slope", "calibration_in_the_large")
 PAIRED = (*FACTORIAL, "scaled_brier", "observed_expected_ratio", "ici")
-BLOCK = 50  # replicates a task makes of one group
+BLOCK = 100  # replicates that a task makes of one group
+INTERVALS = 1024  # of the score, by which replicates are added up
 CELLS = 2_000_000  # rows times replicates in memory at once
+MOST_GROUPS, MOST_HELD = 1_000, 6  # groups in all, and groups a task adds up at once
 _LIMITS = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)]))  # of a Poisson count of mean 1
 
 
@@ -138,32 +143,101 @@ def _in_the_large(lp: np.ndarray, y: np.ndarray, w: np.ndarray, some: np.ndarray
     return out
 
 
-def _replicated(df: DataFrame, groups: list[str], replicates: int, seed: int, patient: str, compute) -> DataFrame:
+def _edges(rows: DataFrame, groups: list[str], cuts: list[float]) -> dict[tuple, np.ndarray]:
+    """By group: ascending scores that begin intervals. All distinct scores if there are at most INTERVALS, else about as many of
+    equal frequency from a bounded sketch; ``cuts`` begin intervals in any case."""
+    at = F.array(*[F.lit(k / INTERVALS) for k in range(INTERVALS + 1)])
+    few = rows.groupBy(*groups).agg(F.count_distinct("_p").alias("n"), F.percentile_approx("_p", at, F.lit(20 * INTERVALS)).alias("q")).limit(MOST_GROUPS + 1).collect()
+    if len(few) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups to draw replicates of")
+    out = {tuple(r[g] for g in groups): {*r["q"]} for r in few if r["n"]}
+    small = [tuple(r[g] for g in groups) for r in few if 0 < r["n"] <= INTERVALS]
+    if small:  # at most INTERVALS rows for each of them
+        wanted = rows.sparkSession.createDataFrame([(*k, True) for k in small], ", ".join([*(f"`_g{j}` {rows.schema[g].dataType.simpleString()}" for j, g in enumerate(groups)), "_small boolean"]))
+        held = rows.select(*groups, "_p").distinct()
+        same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{j}")) for j, g in enumerate(groups)], F.lit(True))
+        for r in held.join(F.broadcast(wanted), same).select(*groups, "_p").collect():
+            out[tuple(r[g] for g in groups)].add(r["_p"])
+    return {k: np.array(sorted({*v, *cuts})) for k, v in out.items()}
+
+
+def _replicated(df: DataFrame, groups: list[str], replicates: int, seed: int, patient: str, compute, cuts: list[float] | tuple = ()) -> DataFrame:
     """groups, replicate (0: the sample itself), threshold, metric, value of ``compute(y, p, w)``, which yields threshold, metric, values.
 
-    Replicates are made in blocks: every block of a group is one task that holds the group's rows (hash, y and p) once and draws
-    its replicates in memory, so that rows are multiplied by the number of blocks only.
+    Rows stay where they lie: each task draws the counts of its rows and adds them up by interval of the score and block of
+    replicates, as vectors of events and of others. Only these sums are shuffled (at most INTERVALS rows a group, block and task, added
+    up before and after), and one task per group and block computes its replicates from INTERVALS rows, however many rows there are. While
+    a group has at most INTERVALS distinct scores every score is an interval of its own and nothing is lost; beyond, a score
+    counts as the mean of its interval.
     """
-    blocks = -(-replicates // BLOCK)
+    blocks = -(-(replicates + 1) // BLOCK)
     rows = df.filter(F.col("p").isNotNull() & F.col("y").isNotNull()).select(*groups, F.xxhash64(F.lit(seed), F.col(patient)).alias("_key"), F.col("y").cast("double").alias("_y"), F.col("p").cast("double").alias("_p"))
-    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kinds = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in groups)
+    result = f"{kinds}replicate int, threshold double, metric string, value double"
+    edges = _edges(rows, groups, list(cuts))
+    if not edges:
+        return df.sparkSession.createDataFrame([], result)
+    shared = df.sparkSession.sparkContext.broadcast(edges)  # INTERVALS numbers a group
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for key, sums in held.items():
+                some = np.flatnonzero(sums[:, 0, 0] + sums[:, 1, 0] > 0)
+                for block in range(blocks):
+                    part = sums[some, :, block * BLOCK : min((block + 1) * BLOCK, replicates + 1)]
+                    vectors = np.concatenate([part.reshape(len(some), -1), sums[some, :, -1]], axis=1)
+                    out = pd.DataFrame({"_block": block, "_bin": some, "_v": list(vectors)})
+                    for g, v in zip(groups, key, strict=True):
+                        out[g] = v
+                    yield out[[*groups, "_block", "_bin", "_v"]]
+            held.clear()
+
+        every = np.arange(replicates + 1)
+        for frame in frames:
+            parts = frame.groupby(groups, dropna=False, sort=False) if groups else [((), frame)]
+            for key, part in parts:
+                key = tuple(None if isinstance(k, float) and np.isnan(k) else k for k in key)
+                own = shared.value[key]
+                if key not in held:
+                    if len(held) >= MOST_HELD:
+                        yield from flush()
+                    held[key] = np.zeros((len(own), 2, replicates + 2))
+                sums = held[key]
+                p, y, hashed = part["_p"].to_numpy(), part["_y"].to_numpy(), part["_key"].to_numpy()
+                at = np.maximum(np.searchsorted(own, p, side="right") - 1, 0)
+                order = np.lexsort((y, at))
+                for k in range(0, len(order), CELLS // (replicates + 1) + 1):
+                    some = order[k : k + CELLS // (replicates + 1) + 1]
+                    w = draws(hashed[some], every)
+                    cell = at[some] * 2 + (y[some] != 1)
+                    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                    flat = sums.reshape(-1, replicates + 2)
+                    flat[cell[starts], :-1] += np.add.reduceat(w, starts, axis=0)
+                    flat[cell[starts], -1] += np.add.reduceat(p[some], starts)
+        yield from flush()
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["_p", "_y", "_key"])
-        y, p, hashed = f["_y"].to_numpy(), f["_p"].to_numpy(), f["_key"].to_numpy()
         block = int(key[-1])
-        wanted = np.arange(block * BLOCK + (block > 0), min((block + 1) * BLOCK, replicates) + 1)
-        parts, size = [], max(1, CELLS // len(f))
-        for k in range(0, len(wanted), size):
-            some = wanted[k : k + size]
-            parts += [pd.DataFrame({"replicate": some, "threshold": t, "metric": m, "value": v}) for t, m, v in compute(y, p, draws(hashed, some))]
-        out = pd.concat(parts)
+        wanted = np.arange(block * BLOCK, min((block + 1) * BLOCK, replicates + 1))
+        f = f.sort_values("_bin")
+        v = np.stack(f["_v"].to_numpy())
+        pos, neg = v[:, : len(wanted)], v[:, len(wanted) : 2 * len(wanted)]
+        n = f["_n"].to_numpy()
+        p = (v[:, -2] + v[:, -1]) / n
+        both = np.stack([pos, neg], axis=1).reshape(2 * len(p), -1)
+        out = pd.concat([pd.DataFrame({"replicate": wanted, "threshold": t, "metric": m, "value": x}) for t, m, x in compute(np.tile([1.0, 0.0], len(p)), np.repeat(p, 2), both)])
         for name, value in zip(groups, key):
             out[name] = value
         return out[[*groups, "replicate", "threshold", "metric", "value"]]
 
-    kinds = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in groups)
-    made = rows.groupBy(*groups, "_block").applyInPandas(run, f"{kinds}replicate int, threshold double, metric string, value double")
+    sums = rows.mapInPandas(add, f"{kinds}_block int, _bin int, _v array<double>")
+    total = sums.groupBy(*groups, "_block", "_bin").agg(vector_to_array(Summarizer.sum(array_to_vector("_v"))).alias("_v"))
+    # Each interval's number of rows is the sample's own count, which block 0 has in replicate 0.
+    counts = total.filter("_block = 0").select(*[F.col(g).alias(f"_g{j}") for j, g in enumerate(groups)], F.col("_bin").alias("_b"), (F.col("_v")[0] + F.col("_v")[min(BLOCK, replicates + 1)]).alias("_n"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{j}")) for j, g in enumerate(groups)], F.col("_bin") == F.col("_b"))
+    made = total.join(counts, same).select(*groups, "_block", "_bin", "_v", "_n").groupBy(*groups, "_block").applyInPandas(run, result)
     return made.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value")))
 
 
@@ -216,7 +290,7 @@ def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int
                 out += [(t, "alert_rate", (tp + fp) / total), (t, "sensitivity", tp / events), (t, "ppv", tp / (tp + fp)), (t, "net_benefit", (tp - fp * t / (1 - t)) / total)]
         return out
 
-    return _intervals(_replicated(df, [], replicates, seed, "patient_id", compute), ["threshold"], replicates, alpha, 0.8)
+    return _intervals(_replicated(df, [], replicates, seed, "patient_id", compute, thresholds), ["threshold"], replicates, alpha, 0.8)
 
 
 def bootstrap_callable(df: DataFrame, metric, columns: list[str], replicates: int = 200, seed: int = 7, most_rows: int = 1_000_000, blocks: int = 16) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.parse import sigmoid
 from pulsegrid.operators.landmark import FEATURES
+from pulsegrid.operators.metrics import quantiles
 
 # The frozen 18-feature model on the raw scale.
 INTERCEPT = -20.759969012587476
@@ -56,9 +57,11 @@ MEDIANS = {
 
 
 def medians(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
-    """feature, median (exact) of each; a feature without any value has NULL."""
-    one = df.agg(*[F.median(f).alias(f) for f in features])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("median")) for f in features])).alias("r")).select("r.feature", "r.median")
+    """feature, median (exact, from running counts) of each; a feature without any value has NULL."""
+    names = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("r")
+    got = quantiles(df.select(names).select("r.feature", "r.value"), ["feature"], "value", [0.5]).select("feature", F.col("q")[0].alias("median"))
+    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return every.join(got, "feature", "left")
 
 
 def require_some_values(df: DataFrame, features: tuple[str, ...] = FEATURES) -> None:

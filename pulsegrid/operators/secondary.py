@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.metrics import INTERVALS
+from pulsegrid.operators.metrics import quantiles, running
 
 
 def long_features(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -19,14 +19,14 @@ def drift(a: DataFrame, b: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """Per feature: means and deviations of both cohorts, their standardised difference, missing shares, share of b outside a's p01 to p99."""
 
     def summary(df: DataFrame, side: str) -> DataFrame:
-        q = [F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q")] if side == "a" else []
-        return long_features(df, features).groupBy("feature").agg(F.avg("value").alias(f"mean_{side}"), F.stddev_samp("value").alias(f"sd_{side}"), F.try_divide(100.0 * F.count_if(F.col("value").isNull()), F.count("*")).alias(f"missing_pct_{side}"), *q)
+        return long_features(df, features).groupBy("feature").agg(F.avg("value").alias(f"mean_{side}"), F.stddev_samp("value").alias(f"sd_{side}"), F.try_divide(100.0 * F.count_if(F.col("value").isNull()), F.count("*")).alias(f"missing_pct_{side}"))
 
     left, right = summary(a, "a"), summary(b, "b")
-    out = long_features(b, features).join(F.broadcast(left.select("feature", "q")), "feature")  # one row per feature
+    q = quantiles(long_features(a, features), ["feature"], "value", [0.01, 0.99]).select("feature", "q")
+    out = long_features(b, features).join(F.broadcast(q), "feature")  # one row per feature
     outside = out.filter(F.col("value").isNotNull()).groupBy("feature").agg(F.try_divide(100.0 * F.count_if((F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[1])), F.count("*")).alias("outside_pct"))
     pooled = F.sqrt((F.col("sd_a") * F.col("sd_a") + F.col("sd_b") * F.col("sd_b")) / 2)
-    return left.drop("q").join(right, "feature").join(outside, "feature", "left").select("feature", "mean_a", "sd_a", "mean_b", "sd_b", F.try_divide(F.col("mean_b") - F.col("mean_a"), F.when(pooled > 0, pooled)).alias("smd"), "missing_pct_a", "missing_pct_b", "outside_pct")
+    return left.join(right, "feature").join(outside, "feature", "left").select("feature", "mean_a", "sd_a", "mean_b", "sd_b", F.try_divide(F.col("mean_b") - F.col("mean_a"), F.when(pooled > 0, pooled)).alias("smd"), "missing_pct_a", "missing_pct_b", "outside_pct")
 
 
 def subgroups(df: DataFrame, masks: dict[str, Column], least: int = 100, least_class: int = 20) -> DataFrame:
@@ -50,12 +50,9 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the average rank of a column of probabilities; ranked in equal intervals so that no task sees all values."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_cut", F.least(F.floor(F.col("_v") * INTERVALS), F.lit(INTERVALS - 1)).cast("int"))
-    totals = counts.groupBy("_cut").agg(F.sum("_c").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = counts.withColumn("_r", F.sum("_c").over(Window.partitionBy("_cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    ranks = within.join(totals.select("_cut", "_before"), "_cut").select("_v", (F.col("_before") + F.col("_r") - (F.col("_c") - 1) / 2).alias(out))
+    """``df`` with the average rank of a column, from running counts of its distinct values so that no task sees them all."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").cast("double").alias("c"))
+    ranks = running(counts, [], ["c"], by="v").select(F.col("v").alias("_v"), (F.col("c_run") - (F.col("c") - 1) / 2).alias(out))
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
@@ -83,7 +80,7 @@ def overlap(a: DataFrame, b: DataFrame, entity: str, row: str) -> DataFrame:
 # Name patterns of drugs that raise blood pressure, and of routes that don't.
 VASOPRESSOR = r"(?i)phenylephrine|neo[- ]?synephrine|ephedrine|norepinephrine|levophed|\bepinephrine\b|adrenaline|vasopressin|\bdopamine\b|\bdobutamine\b"
 EXCLUDED = r"(?i)lidocaine|bupivacaine|ropivacaine|tumescent|nasal|topical|infiltration|subcutaneous|ophthalmic|nebul|local"
-AGENTS = (("norepinephrine", r"(?i)norepinephrine|levophed"), ("phenylephrine", r"(?i)phenylephrine|neo[- ]?synephrine"), ("ephedrine", r"(?i)ephedrine"), ("epinephrine", r"(?i)\bepinephrine\b|adrenaline"), ("vasopressin", r"(?i)vasopressin"), ("dopamine", r"(?i)\bdopamine\b"), ("dobutamine", r"(?i)\bdobutamine\b"))
+AGENTS = (("phenylephrine", r"(?i)phenylephrine|neo[- ]?synephrine"), ("ephedrine", r"(?i)ephedrine"), ("norepinephrine", r"(?i)norepinephrine|levophed"), ("epinephrine", r"(?i)\bepinephrine\b|adrenaline"), ("vasopressin", r"(?i)vasopressin"), ("dopamine", r"(?i)\bdopamine\b"), ("dobutamine", r"(?i)\bdobutamine\b"))
 
 
 def agent(text: Column) -> Column:

@@ -801,7 +801,8 @@ def ipw_balance(spark: SparkSession, folder: str) -> DataFrame:
     for f, b in zip(features, r.coefficients):
         z = z + F.lit(float(b)) * F.col(f)
     weighted = rows.withColumn("w", 1 / F.greatest(F.least(parse.sigmoid(z), F.lit(0.99)), F.lit(0.01)))
-    low, high = weighted.filter("y = 1").agg(F.percentile("w", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"] or (0.0, 1.0)
+    q = metrics.quantiles(weighted.filter("y = 1"), [], "w", [0.01, 0.99]).first()
+    low, high = q["q"] if q else (0.0, 1.0)
     return secondary.weighted_balance(weighted.withColumn("w", F.greatest(F.least(F.col("w"), F.lit(high)), F.lit(low))), tuple(features), "y", "w")
 
 

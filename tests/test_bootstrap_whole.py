@@ -48,3 +48,26 @@ def test_queries_draw_as_often_as_the_reference():
     assert reference.REPLICATES >= 2000
     for f in (reference.bootstrap_ci, reference.factorial_2x2, reference.two_stage_boot):
         assert "replicates=REPLICATES" in inspect.getsource(f)
+
+
+def test_replicates_do_not_depend_on_where_rows_lie(spark):
+    y, p, df = sample(spark)
+    a, b = (
+        {(r.replicate, r.metric): r.value for r in resample._replicated(d, [], 40, 7, "patient_id", resample._metrics(resample.PAIRED)).collect()}
+        for d in (df.repartition(1), df.repartition(7, "p"))
+    )
+    assert len(a) == 41 * 9 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_intervals_stand_in_for_many_scores(spark, monkeypatch):
+    """With fewer intervals than scores the metrics stay close to those of the rows, and thresholds are met exactly."""
+    y, p, df = sample(spark, 2000)
+    df = df.withColumn("p", df.p + (df.y * 0.001 + 0.0001))
+    whole = {r.metric: r for r in resample.bootstrap(df, [], 30, metrics=resample.PAIRED).collect()}
+    exact = {r.threshold: r.alert_rate for r in metrics.workload(df, [0.15, 0.333], patient=None).collect()}
+    monkeypatch.setattr(resample, "INTERVALS", 64)
+    some = {r.metric: r for r in resample.bootstrap(df, [], 30, metrics=resample.PAIRED).collect()}
+    for m in ("auroc", "brier", "log_loss", "observed_expected_ratio", "calibration_slope"):
+        assert abs(whole[m].estimate - some[m].estimate) < (0.03 if m == "calibration_slope" else 0.01), m
+    got = {r.threshold: r.estimate for r in resample.bootstrap_thresholds(df, [0.15, 0.333], 20).collect() if r.metric == "alert_rate"}
+    assert all(abs(got[t] - exact[t]) < 1e-12 for t in exact)
