@@ -278,19 +278,133 @@ def contrasts(df: DataFrame, group: str, effects: dict[str, dict[str, float]], r
     return _intervals(summed, ["effect"], replicates, alpha, min_valid)
 
 
-def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """threshold, metric, estimate, lower, upper, sd, n_valid of alert rate, sensitivity, PPV and net benefit."""
-
+# Metrics of a threshold, as functions of the sums of true and false alerts, events, others and the threshold's odds.
+THRESHOLD = {
+    "alert_rate": lambda tp, fp, e, o, odds: (tp + fp) / (e + o),
+    "alerts_per_1000": lambda tp, fp, e, o, odds: 1000 * (tp + fp) / (e + o),
+    "true_alerts_per_1000": lambda tp, fp, e, o, odds: 1000 * tp / (e + o),
+    "false_alerts_per_1000": lambda tp, fp, e, o, odds: 1000 * fp / (e + o),
+    "sensitivity": lambda tp, fp, e, o, odds: tp / e,
+    "specificity": lambda tp, fp, e, o, odds: 1 - fp / o,
+    "ppv": lambda tp, fp, e, o, odds: tp / (tp + fp),
+    "alerts_per_tp": lambda tp, fp, e, o, odds: (tp + fp) / tp,
+    "false_alerts_per_tp": lambda tp, fp, e, o, odds: fp / tp,
+    "net_benefit": lambda tp, fp, e, o, odds: (tp - fp * odds) / (e + o),
+    "net_benefit_all": lambda tp, fp, e, o, odds: (e - o * odds) / (e + o),
+    "avoided_per_100": lambda tp, fp, e, o, odds: 100 * ((tp - fp * odds) - (e - o * odds)) / (e + o) / odds,
+}
+UTILITY = ("net_benefit", "net_benefit_all", "avoided_per_100")
+
+
+def _at_thresholds(thresholds: list[float], utility: list[float], names: tuple[str, ...]):
     def compute(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> list:
-        out, total, events = [], w.sum(0), y @ w
+        out, events, others = [], y @ w, (1 - y) @ w
         with np.errstate(all="ignore"):
             for t in thresholds:
                 a = (p >= t).astype(float)
-                tp, fp = (a * y) @ w, (a * (1 - y)) @ w
-                out += [(t, "alert_rate", (tp + fp) / total), (t, "sensitivity", tp / events), (t, "ppv", tp / (tp + fp)), (t, "net_benefit", (tp - fp * t / (1 - t)) / total)]
+                sums = (a * y) @ w, (a * (1 - y)) @ w, events, others, t / (1 - t)
+                out += [(t, m, THRESHOLD[m](*sums)) for m in names if m not in UTILITY or t in utility]
+        return out
+
+    return compute
+
+
+def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int = 200, seed: int = 7, alpha: float = 0.05, groups: list[str] = [], utility: list[float] | None = None, names: tuple[str, ...] = tuple(THRESHOLD)) -> DataFrame:
+    """groups, threshold, metric, estimate, lower, upper, sd, n_valid of the metrics ``names``; those of utility only at the thresholds ``utility``."""
+    ts = sorted({float(t) for t in thresholds})
+    compute = _at_thresholds(ts, ts if utility is None else [float(t) for t in utility], names)
+    return _intervals(_replicated(df, groups, replicates, seed, "patient_id", compute, ts), [*groups, "threshold"], replicates, alpha, 0.8)
+
+
+def _spline(lp: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    cube = lambda v: np.maximum(v, 0.0) ** 3
+    a, last, before = knots[:-2], knots[-1], knots[-2]
+    bent = [(cube(lp - k) - cube(lp - before) * (last - k) / (last - before) + cube(lp - last) * (before - k) / (last - before)) / (last - knots[0]) ** 2 for k in a]
+    return np.column_stack([np.ones_like(lp), lp, *bent])
+
+
+def _curves(y: np.ndarray, p: np.ndarray, w: np.ndarray, knots: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Observed probability on a grid of scores by a restricted cubic spline of logit(p), one column per column of ``w``; NaN without a fit."""
+    logit = lambda q: np.log(q) - np.log1p(-q)
+    x, at = (_spline(logit(np.clip(q, 1e-12, 1 - 1e-12)), knots) for q in (p, grid))
+    scale = np.abs(x).max(0)
+    scale[scale == 0] = 1.0
+    x, at = x / scale, at / scale
+    k, beta = x.shape[1], np.zeros((w.shape[1], x.shape[1]))
+    beta[:, 1] = scale[1]
+    live = np.arange(w.shape[1])
+    with np.errstate(all="ignore"):
+        for _ in range(40):
+            v = w[:, live]
+            q = 1 / (1 + np.exp(-(x @ beta[live].T)))
+            g = (v * (q - y[:, None])).T @ x
+            h = np.einsum("mr,mi,mj->rij", v * q * (1 - q), x, x, optimize=True)
+            ok = np.isfinite(h).all((1, 2)) & (np.linalg.matrix_rank(np.nan_to_num(h)) == k)
+            beta[live[~ok]] = np.nan
+            live, g, h, total = live[ok], g[ok], h[ok], v.sum(0)[ok]
+            if not len(live):
+                break
+            step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+            beta[live] -= step * np.minimum(1, 8 / np.maximum(np.abs(step).max(1), 1e-300))[:, None]
+            live = live[np.abs(g).max(1) / total >= 1e-9]
+            if not len(live):
+                break
+        beta[live] = np.nan
+        return 1 / (1 + np.exp(-(at @ beta.T)))
+
+
+def paired_validation(
+    df: DataFrame, model: str, primary: str, thresholds: list[float], utility: list[float], replicates: int = 2000, seed: int = 7, alpha: float = 0.05, min_valid: float = 0.95, curve: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
+    """model, versus, threshold, metric, estimate, lower, upper, sd, n_valid: all metrics of all models under the same draws.
+
+    Rows with ``versus`` are the difference of ``primary`` from that model, paired within each replicate. ``curve`` (knots on the logit
+    scale, grid of scores) adds the calibration curve of each model as metric ``curve`` with the score as its threshold. Estimates with
+    fewer than ``min_valid`` of their replicates defined have NULL limits; a patient must have one row per model.
+    """
+    repeated = df.groupBy(model, "patient_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError("a patient has more than one row")
+    ts = sorted({float(t) for t in thresholds})
+    at = _at_thresholds(ts, [float(t) for t in utility], ("alert_rate", "sensitivity", "ppv", "alerts_per_tp", "false_alerts_per_tp", "net_benefit"))
+
+    def compute(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> list:
+        out = [(None, m, v) for m, v in weighted_metrics(y, p, w, PAIRED).items()] + at(y, p, w)
+        if curve is not None:
+            out += [(float(x), "curve", v) for x, v in zip(curve[1], _curves(y, p, w, curve[0], curve[1]), strict=True)]
         return out
 
-    return _intervals(_replicated(df, [], replicates, seed, "patient_id", compute, thresholds), ["threshold"], replicates, alpha, 0.8)
+    reps = _replicated(df, [model], replicates, seed, "patient_id", compute, ts).withColumnRenamed(model, "model")
+    own = reps.select("model", F.lit(None).cast("string").alias("versus"), "threshold", "metric", "replicate", "value")
+    first = reps.filter((F.col("model") == primary) & (F.col("metric") != "curve")).select(F.col("threshold").alias("_t"), F.col("metric").alias("_m"), F.col("replicate").alias("_r"), F.col("value").alias("_v"))
+    other = reps.filter(F.col("model") != primary)
+    same = F.col("threshold").eqNullSafe(F.col("_t")) & (F.col("metric") == F.col("_m")) & (F.col("replicate") == F.col("_r"))
+    deltas = other.join(first, same).select(F.lit(primary).alias("model"), F.col("model").cast("string").alias("versus"), "threshold", "metric", "replicate", (F.col("_v") - F.col("value")).alias("value"))
+    return _intervals(own.unionByName(deltas), ["model", "versus", "threshold"], replicates, alpha, min_valid)
+
+
+def derived(reps: DataFrame) -> DataFrame:
+    """From stored replicates (replicate, threshold, metric, value) with alert_rate, sensitivity and net_benefit, what follows from them without
+    the rows: prevalence, true and false alerts per 1,000, specificity, avoided per 100, as mean, lower, upper, n_valid.
+
+    Sensitivity and net benefit at one threshold give the prevalence: net benefit = tp - (alert rate - tp) odds, tp = sensitivity
+    times prevalence. A replicate that leaves one of them undefined doesn't count.
+    """
+    wide = reps.filter("threshold is not null").groupBy("replicate", "threshold").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("alert_rate", "sensitivity", "net_benefit")])
+    odds = F.col("threshold") / (1 - F.col("threshold"))
+    tp = (F.col("net_benefit") + F.col("alert_rate") * odds) / (1 + odds)
+    prevalence = F.try_divide(tp, F.col("sensitivity"))
+    fp = F.col("alert_rate") - tp
+    values = {"prevalence": prevalence, "true_alerts_per_1000": 1000 * tp, "false_alerts_per_1000": 1000 * fp, "specificity": 1 - F.try_divide(fp, 1 - prevalence), "avoided_per_100": 100 * (F.col("net_benefit") - (prevalence - (1 - prevalence) * odds)) / odds}
+    long = wide.filter("replicate > 0").select("replicate", "threshold", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])).alias("r")).select("replicate", "threshold", "r.*")
+    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))  # of the replicates
+    return long.groupBy("threshold", "metric").agg(F.avg("value").alias("estimate"), q.alias("q"), F.count("value").alias("n_valid")).select("threshold", "metric", "estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "n_valid")
+
+
+def threshold_replicates(df: DataFrame, thresholds: list[float], replicates: int, seed: int = 7) -> DataFrame:
+    """replicate, threshold, metric, value of alert_rate, sensitivity and net_benefit: what :func:`derived` takes."""
+    ts = sorted({float(t) for t in thresholds})
+    return _replicated(df, [], replicates, seed, "patient_id", _at_thresholds(ts, ts, ("alert_rate", "sensitivity", "net_benefit")), ts)
 
 
 def bootstrap_callable(df: DataFrame, metric, columns: list[str], replicates: int = 200, seed: int = 7, most_rows: int = 1_000_000, blocks: int = 16) -> DataFrame:

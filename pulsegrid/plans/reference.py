@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import parse
-from pulsegrid.operators import fit, grid, keyed, landmark, metrics, planning, resample, score, secondary, units
+from pulsegrid.operators import fit, grid, keyed, landmark, metrics, performance, planning, resample, score, secondary, units
 from pulsegrid.plans import prep
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import table
 
-FILLED = ["age", "sex", "male", "height_m", "weight_kg", "asa", "anesthesia_start", "anesthesia_end"]
+FILLED = ["dataset", "age", "sex", "male", "height_m", "weight_kg", "asa", "emergency", "anesthesia_start", "anesthesia_end"]
 DYNAMIC = landmark.FEATURES[4:]
 CLINICAL = [0.10, 0.15, 0.20, 0.25]
 PENALTIES = [0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0]  # analysis.json lambda_grid
@@ -45,7 +45,7 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     one = keyed.most_complete(keyed.drop_conflicts(rows, "case_id", ["patient_id", "anesthesia_duration_min"]), "case_id", ["cohort_id"])
     return one.select(
         "case_id", "patient_id", F.col("age").alias("age_years"), parse.male_num(F.col("sex")).alias("male"), parse.bmi(parse.parse_weight_kg(F.col("weight_kg")), parse.parse_height_m(F.col("height_m"))).alias("bmi"),
-        "asa", F.col("anesthesia_duration_min").alias("duration_min"), F.unix_micros("loaded_at").alias("start_key"),
+        "asa", F.col("anesthesia_duration_min").alias("duration_min"), F.unix_micros("loaded_at").alias("start_key"), "dataset", F.col("emergency").cast("int").alias("emergency"),
     )
 
 
@@ -110,7 +110,7 @@ one as (select * from cohort where encounter_id is not null and encounter_id not
   qualify row_number() over (partition by encounter_id order by {" + ".join(f"({c} is not null)::int" for c in FILLED)} desc, cohort_id) = 1),
 sized as (select *, {_HEIGHT} as hm, {_WEIGHT} as kg from one),
 cases as (select encounter_id as case_id, patient_id, age as age_years, case when upper(trim(sex)) in ('M', 'MALE') then 1.0 when upper(trim(sex)) in ('F', 'FEMALE') then 0.0 end as male,
-  case when kg / (hm * hm) between 10 and 80 then kg / (hm * hm) end as bmi, asa, anesthesia_duration_min as duration_min, epoch_us(loaded_at) as start_key from sized)"""
+  case when kg / (hm * hm) between 10 and 80 then kg / (hm * hm) end as bmi, asa, anesthesia_duration_min as duration_min, epoch_us(loaded_at) as start_key, dataset, emergency::int as emergency from sized)"""
 _IN = lambda names: ", ".join(f"'{n}'" for n in names)
 _TOKEN = "upper(regexp_replace({}, '[^0-9A-Za-z]', '', 'g'))"
 _SOURCE = f"case when {_TOKEN} in ({_IN(parse.ART_TOKENS)}) then 'ART' when {_TOKEN} in ({_IN(parse.NIBP_TOKENS)}) then 'NIBP' end".replace("{}", "{0}")
@@ -307,22 +307,26 @@ def first_evaluable(spark: SparkSession, folder: str) -> DataFrame:
     return _first(spark, folder).select("patient_id", "case_id", "t0", "stage2", "outcome")
 
 
-_FLOW = ["with_event", "long_enough", "feature_evaluable", "outcome_evaluable", "fully_evaluable", "stage2", "stage2_events"]
+_FLOW = ["cases", "with_event", "long_enough", "feature_evaluable", "outcome_evaluable", "fully_evaluable", "first_per_patient", "stage1_alert", "stage2", "stage2_events"]
+_FLOW_COUNTS = f"""{_FIRST}, counts as (select (select count(*) from cases) as c0, (select count(*) from ev join cases using (case_id)) as c1, l.*, f.* from
+    (select count(*) as c2, count(*) filter (where feature_evaluable = 1) as c3, count(*) filter (where outcome_evaluable = 1) as c4, count(*) filter (where feature_evaluable = 1 and outcome_evaluable = 1) as c5 from lvl) l,
+    (select count(*) as c6, count(*) filter (where stage1_alert = 1) as c7, count(*) filter (where stage2 = 1) as c8, count(*) filter (where stage2 = 1 and outcome = 1) as c9 from first_of) f),
+  flow as ({" union all ".join(f"select {k} as step_no, '{s}' as step, c{k} as n from counts" for k, s in enumerate(_FLOW))})"""
 
 
-@query(
-    f"""with {_LEVEL}, counts as (select (select count(*) from ev join cases using (case_id)) as a, count(*) as b, count(*) filter (where feature_evaluable = 1) as c, count(*) filter (where outcome_evaluable = 1) as d,
-    count(*) filter (where feature_evaluable = 1 and outcome_evaluable = 1) as e, count(*) filter (where feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1) as f, count(*) filter (where feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1 and outcome = 1) as g from lvl)
-    """
-    + " union all ".join(f"select {k} as step_no, '{s}' as step, {c} as n from counts" for k, (s, c) in enumerate(zip(_FLOW, "abcdefg")))
-)
+@query(f"with {_FLOW_COUNTS} select * from flow")
 def cohort_flow(spark: SparkSession, folder: str) -> DataFrame:
-    found = landmark.windows(h5(spark, folder).filter("time_min <= 60")).join(cases(spark, folder), "case_id")
+    """Ten counts from all cases to second-stage events; from first_per_patient on they are of each patient's first fully evaluable case."""
+    every = cases(spark, folder)
+    # One row per case with an event, written once: counts of all of them and of first cases read it.
+    found = checkpointed(landmark.windows(h5(spark, folder).filter("time_min <= 60")).join(every, "case_id").select("case_id", "patient_id", "start_key", "t0", "duration_min", "feature_evaluable", "outcome_evaluable", "stage1_alert", "stage2", "outcome"))
     long = F.col("duration_min") >= F.col("t0") + 30
-    both = long & (F.col("feature_evaluable") == 1) & (F.col("outcome_evaluable") == 1)
-    conditions = [F.lit(True), long, long & (F.col("feature_evaluable") == 1), long & (F.col("outcome_evaluable") == 1), both, both & (F.col("stage2") == 1), both & (F.col("stage2") == 1) & (F.col("outcome") == 1)]
-    one = found.agg(*[F.count_if(c).alias(s) for s, c in zip(_FLOW, conditions)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("step_no"), F.lit(s).alias("step"), F.col(s).alias("n")) for k, s in enumerate(_FLOW)])).alias("r")).select("r.*")
+    known, judged = F.col("feature_evaluable") == 1, F.col("outcome_evaluable") == 1
+    a = found.agg(F.count("*").alias("c1"), F.count_if(long).alias("c2"), F.count_if(long & known).alias("c3"), F.count_if(long & judged).alias("c4"), F.count_if(long & known & judged).alias("c5"))
+    first = keyed.first_per(found.filter(long & known & judged), "patient_id", ["start_key", "case_id"])
+    b = first.agg(F.count("*").alias("c6"), F.count_if(F.col("stage1_alert") == 1).alias("c7"), F.count_if(F.col("stage2") == 1).alias("c8"), F.count_if((F.col("stage2") == 1) & (F.col("outcome") == 1)).alias("c9"))
+    one = every.agg(F.count("*").alias("c0")).crossJoin(a).crossJoin(b)  # one row each
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("step_no"), F.lit(s).alias("step"), F.col(f"c{k}").alias("n")) for k, s in enumerate(_FLOW)])).alias("r")).select("r.*")
 
 
 @query(f"with {_LEVEL} " + " union all ".join(f"select 'level' as scope, '{f}' as feature, count(*) as n, count(*) - count({f}) as missing_n, round(100.0 * (count(*) - count({f})) / nullif(count(*), 0), 6) as missing_pct, (count({f}) = 0)::int as structurally_missing from lvl" for f in landmark.FEATURES))
@@ -385,16 +389,47 @@ def cohort_signature(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.signature(table(spark, folder, "cohort"), ["encounter_id", "patient_id"])
 
 
-@query(
-    f"""with {_LEVEL}, {_grid_sql('r1', 1)} select 'coarse_labels_on_grid' as name, (count(*) filter (where time_min % 5 <> 0) = 0)::int as passed from h5
-    union all select 'fine_labels_on_grid', (count(*) filter (where time_min % 1 <> 0) = 0)::int from r1
-    union all select 'one_row_per_case', (count(*) = count(distinct case_id))::int from lvl union all select 'values_in_range', (count(*) filter (where map not between 20 and 200) = 0)::int from h5"""
-)
+_RANGES = {
+    "age_years": (18, 100, False), "bmi": (10, 80, True), "asa": (1, 6, True), "t0_map": (20, 65, False), "anesthesia_start_to_t0_min": (3, 30, False), "early_min_map_0_5": (20, 200, False), "early_mean_map_0_5": (20, 200, False),
+}
+_BINARY = ["male", "t0_arterial_source", "recovered_by_5min"]
+_QA_SQL = {
+    "values_in_range": "select count(*) from h5 where map not between 20 and 200", "sources_formal": "select count(*) from (select source from h5 union all select source from r1) where source not in ('ART', 'NIBP')",
+    "t0_in_search_window": "select count(*) from ev where not (t0 > 3 and t0 <= 30)", "ids_complete": "select count(*) from main where patient_id is null or case_id is null",
+    "one_row_per_patient": "select count(*) - count(distinct patient_id) from main", "one_row_per_case": "select count(*) - count(distinct case_id) from lvl",
+    "features_without_values": "select " + " + ".join(f"(count({f}) = 0)::int" for f in landmark.FEATURES) + " from main", "binary_features": "select " + " + ".join(f"count(*) filter (where {f} not in (0, 1))" for f in _BINARY) + " from main",
+    "features_plausible": "select count(*) from main where " + " or ".join(f"{c} not between {a} and {b}" if null else f"coalesce({c} not between {a} and {b}, true)" for c, (a, b, null) in _RANGES.items()),
+    "coarse_labels_on_grid": "select count(*) from h5 where time_min % 5 <> 0", "fine_labels_on_grid": "select count(*) from r1 where time_min % 1 <> 0", "outcome_binary": "select count(*) from main where coalesce(outcome not in (0, 1), true)",
+    "cases_in_events": "select count(*) from main where case_id not in (select case_id from ev)", "cases_in_coarse": "select count(*) from main where case_id not in (select case_id from h5)",
+    "cases_in_fine": "select count(*) from main where case_id not in (select case_id from r1)", "keys_unchanged": "select 0",
+}
+
+
+@query(f"with {_FIRST}, {_grid_sql('r1', 1)}, main as (select * from first_of where stage2 = 1) " + " union all ".join(f"select '{n}' as name, cast(({q}) as bigint) as violations, (({q}) = 0)::int as passed" for n, q in _QA_SQL.items()))
 def pre_model_qa(spark: SparkSession, folder: str) -> DataFrame:
-    c, f = h5(spark, folder), r1(spark, folder)
-    check = lambda df, name, bad: df.agg((F.count_if(bad) == 0).cast("int").alias("passed")).select(F.lit(name).alias("name"), "passed")
-    unique = level(spark, folder).agg((F.count("*") == F.count_distinct("case_id")).cast("int").alias("passed")).select(F.lit("one_row_per_case").alias("name"), "passed")
-    return secondary.union_all([check(c, "coarse_labels_on_grid", F.pmod(F.col("time_min"), F.lit(5.0)) != 0), check(f, "fine_labels_on_grid", F.pmod(F.col("time_min"), F.lit(1.0)) != 0), unique, check(c, "values_in_range", ~F.col("map").between(20, 200))])
+    """Sixteen checks of the series, the events and the model's cases, before any model or event rate is looked at."""
+    readings = checkpointed(raw(spark, folder))
+    c, f = grid.harmonize(readings, 5.0), grid.harmonize(readings, 1.0)
+    every = level(spark, folder, series=c)
+    main = checkpointed(keyed.first_per(evaluable(every), "patient_id", ["start_key", "case_id"]).filter("stage2 = 1"))
+    events = landmark.find_t0(c)
+    count = lambda df, bad, name: df.agg(F.count_if(bad).alias("v")).select(F.lit(name).alias("name"), F.col("v").cast("bigint").alias("violations"))
+    one = lambda df, value, name: df.agg(value.cast("bigint").alias("violations")).select(F.lit(name).alias("name"), F.coalesce("violations", F.lit(0)).alias("violations"))
+    implausible = F.lit(False)
+    for x, (a, b, null) in _RANGES.items():
+        implausible = implausible | F.coalesce(~F.col(x).between(a, b), F.lit(not null))
+    lacking = lambda other, name: main.select("case_id").join(other.select("case_id").distinct(), "case_id", "left_anti").agg(F.count("*").alias("violations")).select(F.lit(name).alias("name"), "violations")
+    both = c.select("source").unionByName(f.select("source"))
+    before = keyed.signature(main, ["case_id", "patient_id"]).first()
+    parts = [
+        count(c, ~F.col("map").between(20, 200), "values_in_range"), count(both, ~F.col("source").isin(*grid.PRIORITY), "sources_formal"), count(events, ~((F.col("t0") > 3) & (F.col("t0") <= 30)), "t0_in_search_window"),
+        count(main, F.col("patient_id").isNull() | F.col("case_id").isNull(), "ids_complete"), one(main, F.count("*") - F.count_distinct("patient_id"), "one_row_per_patient"), one(every, F.count("*") - F.count_distinct("case_id"), "one_row_per_case"),
+        one(main, sum(((F.count(x) == 0).cast("int") for x in landmark.FEATURES), F.lit(0)), "features_without_values"), one(main, sum((F.count_if(~F.col(x).isin(0.0, 1.0)) for x in _BINARY), F.lit(0)), "binary_features"),
+        count(main, implausible, "features_plausible"), count(c, F.pmod(F.col("time_min"), F.lit(5.0)) != 0, "coarse_labels_on_grid"), count(f, F.pmod(F.col("time_min"), F.lit(1.0)) != 0, "fine_labels_on_grid"),
+        count(main, F.coalesce(~F.col("outcome").isin(0, 1), F.lit(True)), "outcome_binary"), lacking(events, "cases_in_events"), lacking(c, "cases_in_coarse"), lacking(f, "cases_in_fine"),
+        keyed.signature(main, ["case_id", "patient_id"]).select(F.lit("keys_unchanged").alias("name"), (~(F.col("sum_a").eqNullSafe(F.lit(before["sum_a"])) & F.col("n").eqNullSafe(F.lit(before["n"])))).cast("bigint").alias("violations")),
+    ]
+    return secondary.union_all(parts).withColumn("passed", (F.col("violations") == 0).cast("int"))
 
 
 # --- scalars
@@ -600,7 +635,10 @@ def topk_capacity(spark: SparkSession, folder: str) -> DataFrame:
 # --- comparisons
 
 
-_MASKS = {"younger_65": "age_years < 65", "from_65": "age_years >= 65", "male": "male = 1", "female": "male = 0", "asa_1_2": "asa <= 2", "asa_3_up": "asa >= 3", "arterial": "t0_arterial_source = 1", "cuff": "t0_arterial_source = 0", "bmi_known": "bmi is not null", "bmi_missing": "bmi is null"}
+_MASKS = {
+    "younger_65": "age_years < 65", "from_65": "age_years >= 65", "female": "male = 0", "male": "male = 1", "asa_1_2": "asa <= 2", "asa_3_up": "asa >= 3", "bmi_below_25": "bmi < 25", "bmi_25_to_30": "bmi >= 25 and bmi < 30", "bmi_from_30": "bmi >= 30",
+    "arterial": "t0_arterial_source = 1", "cuff": "t0_arterial_source = 0", "early_t0": "t0 <= 10", "late_t0": "t0 > 10", "bmi_known": "bmi is not null", "bmi_missing": "bmi is null",
+}
 
 
 @query(f"with {_SCORED} select * from (" + " union all ".join(f"select '{g}' as subgroup, count(*) as n, sum(y)::bigint as events, (count(*) >= 100 and sum(y) >= 20 and count(*) - sum(y) >= 20)::int as estimable from pred where {m}" for g, m in _MASKS.items()) + ") where n > 0")
@@ -738,7 +776,7 @@ def landmark_rule(spark: SparkSession, folder: str) -> DataFrame:
 
 def _design(spark: SparkSession, folder: str) -> DataFrame:
     df = evaluable(level(spark, folder)).withColumn("y", F.col("outcome"))
-    return score.impute(df.select("case_id", "patient_id", "y", *landmark.FEATURES)).persist()
+    return checkpointed(score.impute(df.select("case_id", "patient_id", "y", *landmark.FEATURES)))
 
 
 @query()
@@ -756,21 +794,32 @@ def ridge_cv(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(r["l2"], r["mean_log_loss"], int(r["l2"] == best)) for r in rows], "l2 double, mean_log_loss double, chosen int")
 
 
-@query()
+def _newton_sql(rows: str, groups: str = "model") -> str:
+    """newton: groups, c (in the large), a and b (intercept and slope), from Newton steps over distinct scores of ``rows``."""
+    clip = "greatest(least(p, 1 - 1e-12), 1e-12)"
+    cap = lambda x: f"greatest(-2.0, least(2.0, {x}))"
+    return f"""pts as (select {groups}, ln({clip}) - ln(1 - {clip}) as lp, sum(y)::double as pos, count(*)::double as n from {rows} group by all),
+steps as (select {groups}, 0 as k, 0.0::double as c, 0.0::double as a, 1.0::double as b, 1.0::double as hc, 1.0::double as h00, 0.0::double as h01, 1.0::double as h11 from (select distinct {groups} from pts)
+  union all select {groups}, k + 1, c - {cap("gc / nullif(hc2, 0)")}, a - da * least(1.0, 2.0 / greatest(abs(da), abs(db), 1e-300)), b - db * least(1.0, 2.0 / greatest(abs(da), abs(db), 1e-300)), hc2, x00, x01, x11 from (
+    select *, (x11 * g0 - x01 * g1) / nullif(x00 * x11 - x01 * x01, 0) as da, (x00 * g1 - x01 * g0) / nullif(x00 * x11 - x01 * x01, 0) as db from (
+      select {groups}, k, c, a, b, sum(n * qc - pos) as gc, sum(n * qc * (1 - qc)) as hc2, sum(n * q - pos) as g0, sum((n * q - pos) * lp) as g1, sum(n * q * (1 - q)) as x00, sum(n * q * (1 - q) * lp) as x01, sum(n * q * (1 - q) * lp * lp) as x11
+      from (select w.*, lp, pos, n, 1 / (1 + exp(-(w.c + lp))) as qc, 1 / (1 + exp(-(w.a + w.b * lp))) as q from steps w join pts using ({groups})) group by {groups}, k, c, a, b)) where k < 40),
+newton as (select * from steps where k = 40)"""
+
+
+@query(f"with recursive {_MODELS}, {_newton_sql('models')} select model, round(c, 6) as citl, round(1 / sqrt(hc), 6) as citl_se from newton")
 def citl(spark: SparkSession, folder: str) -> DataFrame:
-    r = fit.calibration_in_the_large(scored(spark, folder).select("y", "p").persist())
-    return spark.createDataFrame([(r.intercept, float(r.covariance[0, 0]) ** 0.5)], "citl double, se double")
+    return rounded(performance.calibration(models(spark, folder), ["model"]).select("model", "citl", "citl_se"))
 
 
-@query()
+@query(f"with recursive {_MODELS}, {_newton_sql('models')} select model, round(a, 6) as intercept, round(b, 6) as slope, round(sqrt(h00 / (h00 * h11 - h01 * h01)), 6) as slope_se from newton")
 def cal_slope(spark: SparkSession, folder: str) -> DataFrame:
-    r, _ = fit.calibration_slope(scored(spark, folder).select("y", "p").persist())
-    return spark.createDataFrame([(r.intercept, float(r.coefficients[0]), float(r.covariance[1, 1]) ** 0.5)], "intercept double, slope double, slope_se double")
+    return rounded(performance.calibration(models(spark, folder), ["model"]).select("model", "intercept", "slope", "slope_se"))
 
 
 @query()
 def rcs_curve(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(fit.calibration_curve(scored(spark, folder).select("y", "p").persist()), "predicted double, observed double")
+    return spark.createDataFrame(fit.calibration_curve(checkpointed(scored(spark, folder).select("y", "p"))), "predicted double, observed double")
 
 
 @query()
@@ -778,24 +827,33 @@ def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     return resample.bootstrap(models(spark, folder).select("model", "patient_id", "y", "p"), ["model"], replicates=REPLICATES, metrics=resample.PAIRED)
 
 
-@query()
+_HALF = "(cast('0x' || substr(sha256('study|update_split|' || patient_id), 1, 8) as bigint) % 2 = 0)"
+_LP = "(ln(greatest(least(p, 1 - 1e-12), 1e-12)) - ln(1 - greatest(least(p, 1 - 1e-12), 1e-12)))"
+
+
+@query(
+    f"""with recursive {_SCORED}, up as (select 'all' as model, y, p from pred where {_HALF}), held as (select * from pred where not {_HALF}), {_newton_sql("up")},
+    models as (select 'none' as model, y, p from held union all select 'intercept', y, 1 / (1 + exp(-({_LP} + c))) from held, newton union all select 'intercept_slope', y, 1 / (1 + exp(-({_LP} * b + a))) from held, newton),
+    m as ({_OVERALL}) select model as state, n, events, {_round("brier scaled_brier log_loss oe_ratio")} from m"""
+)
 def recalibrate(spark: SparkSession, folder: str) -> DataFrame:
     """Intercept, then intercept and slope, fitted on one half of the patients and evaluated on the other."""
     head = F.conv(F.substring(parse.sha_identifier("study", "update_split", F.col("patient_id")), 1, 8), 16, 10).cast("bigint")
-    rows = scored(spark, folder).select("patient_id", "y", "p", (F.pmod(head, F.lit(2)) == 0).alias("half")).persist()
+    rows = checkpointed(scored(spark, folder).select("patient_id", "y", "p", (F.pmod(head, F.lit(2)) == 0).alias("half")))
     up, held = rows.filter("half"), rows.filter("not half")
-    one = fit.calibration_in_the_large(up)
-    two, _ = fit.calibration_slope(up)
+    c = performance.calibration(up).first()
+    if c is None or c["citl"] is None or c["slope"] is None:
+        raise ValueError("the update half has no calibration: one class, one score or no convergence")
     lp = parse.logit(F.col("p"))
-    both = [held.withColumn("state", F.lit("none")), held.withColumn("p", parse.sigmoid(lp + one.intercept)).withColumn("state", F.lit("intercept")), held.withColumn("p", parse.sigmoid(lp * float(two.coefficients[0]) + two.intercept)).withColumn("state", F.lit("intercept_slope"))]
-    return metrics.overall(secondary.union_all(both), ["state"])
+    both = [held.withColumn("state", F.lit("none")), held.withColumn("p", parse.sigmoid(lp + c["citl"])).withColumn("state", F.lit("intercept")), held.withColumn("p", parse.sigmoid(lp * c["slope"] + c["intercept"])).withColumn("state", F.lit("intercept_slope"))]
+    return rounded(metrics.overall(secondary.union_all(both), ["state"]).select("state", "n", "events", "brier", "scaled_brier", "log_loss", "oe_ratio"))
 
 
-@query()
-def ipw_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """Standardised differences before and after weighting evaluable cases by the inverse of their modelled chance to be so."""
+def weighted_target(spark: SparkSession, folder: str) -> DataFrame:
+    """The target cases with ``w``: the inverse of the modelled chance (kept within 0.01 to 0.99) to be evaluable, cut at its 1st and 99th percentile."""
     features = [f for f in landmark.FEATURES if f != "early_map_record_count_0_5"]
-    rows = score.impute(_target(spark, folder).select("case_id", "outcome_evaluable", *landmark.FEATURES)).withColumn("y", F.col("outcome_evaluable")).persist()
+    target = _target(spark, folder)
+    rows = checkpointed(score.score(score.impute(target.select("case_id", "patient_id", "outcome_evaluable", "outcome", *landmark.FEATURES))).withColumn("y", F.col("outcome_evaluable")))
     r = fit.ridge_logistic(rows, features, 0.1)
     z = F.lit(r.intercept)
     for f, b in zip(features, r.coefficients):
@@ -803,7 +861,30 @@ def ipw_balance(spark: SparkSession, folder: str) -> DataFrame:
     weighted = rows.withColumn("w", 1 / F.greatest(F.least(parse.sigmoid(z), F.lit(0.99)), F.lit(0.01)))
     q = metrics.quantiles(weighted.filter("y = 1"), [], "w", [0.01, 0.99]).first()
     low, high = q["q"] if q else (0.0, 1.0)
-    return secondary.weighted_balance(weighted.withColumn("w", F.greatest(F.least(F.col("w"), F.lit(high)), F.lit(low))), tuple(features), "y", "w")
+    return weighted.withColumn("w", F.greatest(F.least(F.col("w"), F.lit(high)), F.lit(low)))
+
+
+@query()
+def ipw_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Standardised differences before and after weighting evaluable cases by the inverse of their modelled chance to be so."""
+    features = tuple(f for f in landmark.FEATURES if f != "early_map_record_count_0_5")
+    return secondary.weighted_balance(weighted_target(spark, folder), features, "y", "w")
+
+
+@query()
+def ipw_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """n, selected, the sum, least and largest weight of the selected, and their effective number (sum squared over sum of squares)."""
+    s = F.col("y") == 1
+    w = F.when(s, F.col("w"))
+    return rounded(weighted_target(spark, folder).agg(F.count("*").alias("n"), F.count_if(s).alias("selected"), F.sum(w).alias("sum_w"), F.min(w).alias("min_w"), F.max(w).alias("max_w"), F.try_divide(F.sum(w) * F.sum(w), F.sum(w * w)).alias("effective_n")))
+
+
+@query()
+def weighted_performance(spark: SparkSession, folder: str) -> DataFrame:
+    """All metrics of the evaluable target cases without and with the inverse weights."""
+    rows = checkpointed(weighted_target(spark, folder).filter("y = 1").select(F.col("outcome").alias("y"), "p", "w"))
+    one = performance.point_performance(rows).withColumn("weights", F.lit("none"))
+    return rounded(one.unionByName(performance.point_performance(rows, weight="w").withColumn("weights", F.lit("inverse_chance"))))
 
 
 _CELL = {(f, o): f"{f}_input_{o}_outcome" for f in ("coarse", "fine") for o in ("coarse", "fine")}
