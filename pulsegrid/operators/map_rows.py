@@ -23,12 +23,13 @@ def in_window(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return j.select(*rows.columns, F.col("_c.patient_id").alias("patient_id"), minute.alias("minute_from_anesthesia_start"))
 
 
-def from_vitals(vitals: DataFrame, cases: DataFrame, low: float = grid.LOW, high: float = grid.HIGH) -> DataFrame:
-    """Readings of the two mean-pressure items of a vitals table on a relative clock: encounter_id, at, map_value, map_source, raw_name, ..."""
+def from_vitals(vitals: DataFrame, cases: DataFrame, low: float = grid.LOW, high: float = grid.HIGH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Readings of the two mean-pressure items of a vitals table on a relative clock: encounter_id, at, map_value, map_source, raw_name,
+    patient_id, minute_from_anesthesia_start, and the columns ``keep``."""
     require_columns(vitals, ["op_id", "chart_time", "item_name", "value"], "vitals")
     name, value = F.lower(F.trim("item_name")), F.col("value").cast("string").try_cast("double")
     source = F.when(name == "art_mbp", "ART").when(name == "nibp_mbp", "NIBP")
-    rows = vitals.select(F.col("op_id").cast("string").alias("encounter_id"), F.col("chart_time").cast("string").try_cast("double").alias("at"), value.alias("map_value"), source.alias("map_source"), name.alias("raw_name"))
+    rows = vitals.select(*keep, F.col("op_id").cast("string").alias("encounter_id"), F.col("chart_time").cast("string").try_cast("double").alias("at"), value.alias("map_value"), source.alias("map_source"), name.alias("raw_name"))
     return in_window(rows.filter(F.col("map_source").isNotNull() & F.col("map_value").between(low, high) & ~F.isnan("map_value") & F.col("at").isNotNull() & ~F.isnan("at")), cases)
 
 

@@ -44,7 +44,7 @@ def case_mix(df: DataFrame, cohort: str, left: str, right: str, rows: list[Row])
     def shown(p: str, side: str) -> Column:
         n, m, s, t = (F.col(f"{x}_{p}") for x in ("n", "m", "s", "t"))
         share = F.concat(F.format_number(t, 0), F.lit(" ("), F.format_string("%.1f", F.round(100 * m, 1)), F.lit("%)"))
-        text = F.when(F.col("binary"), share).otherwise(F.concat(fixed(m), F.lit(" ("), F.coalesce(fixed(s), F.lit("not estimable")), F.lit(")")))
+        text = F.when(F.col("binary"), share).otherwise(F.concat(fixed(m), F.lit(" ("), F.when(s.isNotNull(), fixed(s)).otherwise("not estimable"), F.lit(")")))
         return F.when(F.col("un") == side, "not available").when(F.coalesce(n, F.lit(0)) == 0, "not estimable").otherwise(text)
 
     ma, mb = F.col("m_a"), F.col("m_b")
@@ -53,7 +53,7 @@ def case_mix(df: DataFrame, cohort: str, left: str, right: str, rows: list[Row])
     missing = lambda p: F.round(100 * (1 - F.coalesce(F.col(f"n_{p}"), F.lit(0)) / F.col(f"all_{p}")), 1)
     return wide.select(
         F.col("k").alias("order_no"), "section", "characteristic", "level", F.when(F.col("binary"), "n (%)").otherwise("Mean (SD)").alias("statistic"), F.coalesce("n_a", F.lit(0)).alias("left_n"), shown("a", left).alias("left_value"), missing("a").alias("left_missing_pct"),
-        F.coalesce("n_b", F.lit(0)).alias("right_n"), shown("b", right).alias("right_value"), missing("b").alias("right_missing_pct"), F.coalesce(F.format_string("%.3f", F.round(smd, 3)), F.lit("not estimable")).alias("absolute_smd"),
+        F.coalesce("n_b", F.lit(0)).alias("right_n"), shown("b", right).alias("right_value"), missing("b").alias("right_missing_pct"), F.when(smd.isNotNull(), F.format_string("%.3f", F.round(smd, 3))).otherwise("not estimable").alias("absolute_smd"),
     )
 
 

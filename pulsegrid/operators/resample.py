@@ -227,7 +227,9 @@ def _replicated(df: DataFrame, groups: list[str], replicates: int, seed: int, pa
         n = f["_n"].to_numpy()
         p = (v[:, -2] + v[:, -1]) / n
         both = np.stack([pos, neg], axis=1).reshape(2 * len(p), -1)
-        out = pd.concat([pd.DataFrame({"replicate": wanted, "threshold": t, "metric": m, "value": x}) for t, m, x in compute(np.tile([1.0, 0.0], len(p)), np.repeat(p, 2), both)])
+        made = compute(np.tile([1.0, 0.0], len(p)), np.repeat(p, 2), both)
+        each = lambda values: np.repeat(np.array(values), len(wanted))
+        out = pd.DataFrame({"replicate": np.tile(wanted, len(made)), "threshold": each([np.nan if t is None else t for t, _, _ in made]), "metric": each([m for _, m, _ in made]), "value": np.concatenate([x for _, _, x in made])})
         for name, value in zip(groups, key):
             out[name] = value
         return out[[*groups, "replicate", "threshold", "metric", "value"]]

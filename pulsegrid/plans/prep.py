@@ -155,7 +155,48 @@ _SIZES = " union all ".join(
     ]
 )
 
+# Minutes from UTC of the zone abbreviations of the sites.
+_ABBREVIATIONS = "(values ('PST', -480), ('PDT', -420), ('EST', -300), ('EDT', -240), ('CET', 60), ('CEST', 120), ('ACST', 570), ('ACDT', 630), ('IST', 330), ('KST', 540)) as v (short, ahead)"
+
+
+def _instants_sql(name: str, rows: str) -> str:
+    """``name``: id, us and twice (the clock reads it twice) of ``rows`` with id, t, tz, day_first, origin and expected (micros)."""
+    return rf"""{name}_a as (select *, trim(t) as x, regexp_extract(trim(t), '\[(.*)\]$', 1) as named, regexp_extract(trim(t), ' ([A-Z]{{3,5}})$', 1) as short from ({rows}) where t is not null),
+{name}_b as (select *, case when named <> '' then named else coalesce(tz, 'UTC') end as z, case
+    when regexp_full_match(x, '\d{{4}}-\d{{2}}-\d{{2}}[T ].*') then try_cast(replace(regexp_replace(x, '(\[.*\]|Z|[+-]\d{{2}}:?\d{{2}})$', ''), 'T', ' ') as timestamp)
+    when regexp_full_match(x, '\d{{8}}T\d{{6}}.*') then try_strptime(substr(x, 1, 15), '%Y%m%dT%H%M%S') + to_microseconds(cast(rpad(regexp_extract(x, 'T\d{{6}}\.(\d+)', 1), 6, '0') as bigint))
+    when contains(x, '/') and coalesce(day_first, false) then try_strptime(x, ['%d/%m/%Y %I:%M:%S %p', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y %H:%M'])
+    when contains(x, '/') then try_strptime(x, ['%m/%d/%Y %I:%M:%S %p', '%m/%d/%Y %H:%M:%S', '%m/%d/%Y %H:%M'])
+    when regexp_full_match(x, '\d{{1,2}}\.\d{{1,2}}\.\d{{4}} .*') then try_strptime(x, ['%d.%m.%Y %H:%M:%S', '%d.%m.%Y %H:%M'])
+    when regexp_full_match(x, '[A-Z][a-z]{{2}} .*') then try_strptime(regexp_replace(x, ' [A-Z]{{3,5}}$', ''), ['%b %d, %Y %I:%M:%S %p', '%b %d, %Y %H:%M:%S']) end as l,
+  case when regexp_full_match(x, '\d{{10}}') then cast(x as bigint) * 1000000 when regexp_full_match(x, '\d{{13}}') then cast(x as bigint) * 1000 when regexp_full_match(x, '\d{{16}}') then cast(x as bigint)
+    when regexp_full_match(x, '[+-]?\d{{1,8}}(\.\d+)?( min)?') then epoch_us(origin) + cast(round(cast(regexp_extract(x, '^[+-]?[0-9.]+') as double) * 6e7) as bigint) end as direct,
+  case when regexp_matches(x, '\d.*Z$') then 0 when regexp_matches(x, '\d{{2}}([+-]\d{{2}}):?(\d{{2}})$|\.\d+([+-]\d{{4}})$') then
+    (case when contains(regexp_extract(x, '[+-]\d{{2}}:?\d{{2}}$'), '-') then -1 else 1 end) * (cast(substr(regexp_extract(x, '[+-]\d{{2}}:?\d{{2}}$'), 2, 2) as int) * 60 + cast(right(x, 2) as int)) end as ahead from {name}_a),
+{name}_c as (select b.*, v.ahead as by_name, epoch_us(l) + epoch_us(timezone(z, l - interval 1 day)) - epoch_us(l - interval 1 day) as c1, epoch_us(l) + epoch_us(timezone(z, l + interval 1 day)) - epoch_us(l + interval 1 day) as c2 from {name}_b b left join {_ABBREVIATIONS} using (short)),
+{name}_d as (select *, timezone(z, make_timestamptz(c1)) = l as ok1, timezone(z, make_timestamptz(c2)) = l as ok2 from {name}_c),
+{name} as (select id, coalesce(ok1 and ok2 and c1 <> c2, false) and direct is null and by_name is null as twice, case when direct is not null then direct when by_name is not null then epoch_us(l) - by_name * 60000000::bigint
+    when regexp_full_match(x, '\d{{4}}-?\d{{2}}-?\d{{2}}[T ].*') and named = '' and {name}_d.ahead is not null then epoch_us(l) - {name}_d.ahead * 60000000::bigint
+    when ok1 and ok2 and c1 <> c2 then case when abs(c1 - expected) < abs(c2 - expected) then c1 when abs(c1 - expected) > abs(c2 - expected) then c2 else least(c1, c2) end when ok1 then c1 when ok2 then c2 else c1 end as us from {name}_d)"""
+
+
+_SITED = "from cohort left join (select site_code, any_value(tz_name) as tz, any_value(day_first) as day_first from sites group by 1) using (site_code)"
+_CLOCKS = f"""with {_instants_sql("ends", f"select cohort_id as id, anesthesia_end as t, tz, day_first, clock_origin as origin, cast(null as bigint) as expected {_SITED}")},
+lasts as (select cohort_id, case when not twice then us end - cast(anesthesia_duration_min * 60000000 as bigint) as expected from cohort left join ends on id = cohort_id),
+{_instants_sql("begins", f"select cohort_id as id, anesthesia_start as t, tz, day_first, clock_origin as origin, expected {_SITED} join lasts using (cohort_id)")},
+starts as (select id as cohort_id, us from begins)"""
+_READ = _instants_sql(
+    "reads",
+    r"""select obs_id as id, observed_time as t, c.tz, c.day_first, c.origin, coalesce(c.start_us + cast(minute_from_anesthesia_start * 60000000 as bigint), epoch_us(loaded_at)) as expected
+    from map_observations left join (select encounter_id, struct_extract(m, 'z') as tz, struct_extract(m, 'f') as day_first, struct_extract(m, 'o') as origin, struct_extract(m, 's') as start_us
+      from (select encounter_id, arg_min({'z': tz, 'f': day_first, 'o': clock_origin, 's': starts.us}, {'a': starts.us is null, 'b': starts.us, 'c': cohort.cohort_id}) as m """ + _SITED.replace("from cohort ", "from cohort left join starts using (cohort_id) ") + r""" where encounter_id is not null group by 1)) c using (encounter_id)
+    where not regexp_full_match(observed_time, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z')""",
+)
+_CANONICAL = r"'\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z'"
+
 SQL: dict[str, str] = {
+    "p5_found": f"""{_CLOCKS}, {_READ} select 'cohort' as src_table, cohort_id as row_id, us as utc_us from starts join cohort using (cohort_id) where us is not null and not regexp_full_match(anesthesia_start, {_CANONICAL})
+      union all select 'map_observations', id, us from reads where us is not null""",
     "p1_found": _LINES + "select line_id, reason from judged where reason is not null",
     "p1_rows": _LINES + "select line_id, " + ", ".join(f"v[{k + 1}] as {f.lower()}" for k, f in enumerate(rejects.FLOWSHEET_FIELDS)) + " from judged where reason is null",
     "p2_found": f"""with {_CELLS},

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import parse
-from pulsegrid.operators import fit, grid, keyed, landmark, metrics, performance, planning, resample, score, secondary, units
+from pulsegrid.operators import fit, grid, instants, keyed, landmark, metrics, performance, planning, resample, score, secondary, units
 from pulsegrid.plans import prep
 from pulsegrid.session import checkpointed
 from pulsegrid.sources.tables import table
@@ -23,14 +23,22 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
+def keeper(queries: dict[str, Query], texts: dict[str, str]):
+    """A decorator that registers a query, with its SQL if it is given."""
 
-    return keep
+    def query(sql: str | None = None):
+        def keep(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql is not None:
+                texts[f.__name__] = sql
+            return f
+
+        return keep
+
+    return query
+
+
+query = keeper(QUERIES, SQL)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -78,6 +86,15 @@ def level(spark: SparkSession, folder: str, w: landmark.Windows = landmark.Windo
     return checkpointed(found.join(cases(spark, folder), "case_id").filter(F.col("duration_min") >= F.col("t0") + w.horizon))
 
 
+def timed_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """encounter_id, patient_id, start and end as instants; the end is the start and the whole minutes of the case."""
+    starts = instants.cohort_instants(table(spark, folder, "cohort"), table(spark, folder, "sites")).select("cohort_id", "encounter_id", "utc_us", "anesthesia_duration_min")
+    who = table(spark, folder, "cohort").select(F.col("cohort_id").alias("_c"), "patient_id")
+    rows = starts.filter("utc_us is not null and anesthesia_duration_min is not null").join(who, F.col("cohort_id") == F.col("_c"))
+    end = F.col("utc_us") + F.col("anesthesia_duration_min").cast("bigint") * 60_000_000
+    return rows.select("encounter_id", "patient_id", F.timestamp_micros("utc_us").alias("start"), F.timestamp_micros(end).alias("end"))
+
+
 def evaluable(df: DataFrame) -> DataFrame:
     return df.filter("feature_evaluable = 1 and outcome_evaluable = 1")
 
