@@ -129,13 +129,17 @@ select id as feature_id, field_name, case when a is null or tb <= ta then b.v el
 """
 
 
-def _sizes_sql(quantity: str, column: str, stated: list[tuple[str, str]], noted: list[tuple[str, str]], subject: str, bare: str) -> str:
+def _sizes_sql(quantity: str, column: str, stated: list[tuple[str, str]], noted: list[tuple[str, str]], subject: str, bare: str, factors: str, pair: str, low: float, high: float) -> str:
     text = f"trim({column})"
     one = " ".join(f"when regexp_matches(lower({text}), '{p}') then '{u}'" for u, p in stated)
     two = " ".join(f"when len(list_filter(string_split(lower(measure_note), ';'), lambda x: regexp_matches(x, '\\b{subject}\\b') and regexp_matches(x, '\\b{p}\\b') and not regexp_matches(x, '[0-9]'))) > 0 then '{u}'" for u, p in noted)
-    number = f"try_cast(replace(regexp_extract({text}, '[0-9]+([.,][0-9]+)?'), ',', '.') as double)"
-    return f"""select cohort_id as row_id, '{quantity}' as quantity, coalesce(case {one} end, case {two} end, {bare.replace("NUM", number)}) as unit_code
-      from cohort left join sites using (site_code) where {column} is not null and {text} <> ''"""
+    plain = f"case when regexp_matches({text}, '[0-9],[0-9]{{{{3}}}}(,[0-9]{{{{3}}}}|[.][0-9])') then replace({text}, ',', '') else replace({text}, ',', '.') end".replace("{{", "{").replace("}}", "}")
+    number = "try_cast(regexp_extract(plain, '[0-9]+([.][0-9]+)?') as double)"
+    return f"""select row_id, quantity, unit_code, unit_from, case when g between {low} and {high} and not coalesce(v between {low} and {high}, false) then g else v end as value from (
+      select *, case when unit_code = '{pair.split()[0]}' then NUM * {pair.split()[1]} + coalesce(try_cast(regexp_extract_all(plain, '[0-9]+([.][0-9]+)?')[2] as double), 0) * {pair.split()[2]} else NUM * {factors} end as v, try_cast(replace(nullif(regexp_extract(x, '^[^0-9]*([0-9]+,[0-9]{{3}})([^0-9]|$)', 1), ''), ',', '') as double) * {factors} as g
+      from (select *, case when NUM is not null then coalesce(stated, noted, bare) end as unit_code, case when NUM is null then 'none' when stated is not null then 'value' when noted is not null then 'note' when bare is not null then 'history' else 'none' end as unit_from
+        from (select cohort_id as row_id, '{quantity}' as quantity, {text} as x, {plain} as plain, case {one} end as stated, case {two} end as noted, default_height_unit, default_weight_unit, {bare.replace("NUM", number.replace("plain", f"({plain})"))} as bare
+          from cohort left join sites using (site_code) where {column} is not null and {text} <> '')))""".replace("NUM", number)
 
 
 _SIZES = " union all ".join(
@@ -145,12 +149,14 @@ _SIZES = " union all ".join(
             [("ft_in", r"\d\s*(ft|feet|foot|''|′)"), ("cm", r"(^|[\d\s.,])(cm|centimet)"), ("mm", r"(^|[\d\s.,])(mm|millimet)"), ("in", r"(^|[\d\s.,])(in|inch|inches)\b"), ("m", r"(^|[\d\s.,])(m|metres?)\b")],
             [("cm", r"(cms?|centimet(er|re)s?)"), ("in", r"(inch|inches)")], r"(ht|height|stature)",
             "case when NUM * case default_height_unit when 'cm' then 0.01 when 'in' then 0.0254 else 1.0 end between 1.2 and 2.3 then default_height_unit when NUM between 1.2 and 2.3 then 'm' when NUM between 120 and 230 then 'cm' when NUM between 1200 and 2300 then 'mm' when NUM between 47.3 and 90.5 then 'in' end",
+            "case unit_code when 'm' then 1.0 when 'cm' then 0.01 when 'mm' then 0.001 when 'in' then 0.0254 when 'ft_in' then 0.3048 end", "ft_in 0.3048 0.0254", 1.2, 2.3,
         ),
         _sizes_sql(
             "weight", "weight_kg",
             [("st_lb", r"\d\s*(st|stone)\b"), ("kg", r"(^|[\d\s.,])(kg|kilogram)"), ("lb", r"(^|[\d\s.,])(lbs?|pounds?)\b"), ("oz", r"(^|[\d\s.,])(oz|ounces?)\b"), ("g", r"(^|[\d\s.,])(g|gm|grams?)\b")],
             [("kg", r"(kgs?|kilograms?)"), ("lb", r"(lbs?|pounds?)"), ("oz", r"(oz|ounces?)"), ("g", r"grams?")], r"(wt|weight)",
             "case when NUM * case default_weight_unit when 'lb' then 0.45359237 when 'oz' then 0.028349523125 when 'g' then 0.001 else 1.0 end between 25 and 300 then default_weight_unit when NUM between 25 and 300 then 'kg' end",
+            "case unit_code when 'kg' then 1.0 when 'lb' then 0.45359237 when 'oz' then 0.028349523125 when 'g' then 0.001 when 'st_lb' then 6.35029318 end", "st_lb 6.35029318 0.45359237", 25.0, 300.0,
         ),
     ]
 )
@@ -219,6 +225,7 @@ SQL: dict[str, str] = {
       from said""",
     "p3_found": _MISSING,
     "p3_filled": _DECK,
+    "p6_sizes": f"select row_id, quantity, unit_code, unit_from, round(value, 4) as value from ({_SIZES})",
     "p6_found": _UNITS + f""", sizes as ({_SIZES})
       select 'cohort' as src_table, row_id, quantity, unit_code from sizes where unit_code not in ('m', 'kg')
       union all select 'map_observations', obs_id, 'map', unit_code from unit_of where unit_code <> 'mmhg'""",
