@@ -29,20 +29,29 @@ def is_measure(text: Column) -> Column:
 def recorded_instant(text: Column) -> Column:
     """The time a text states, or NULL if it is no real date and time of the two allowed notations. No zone means UTC."""
 
-    def part(pattern: str, k: int) -> Column:
-        return F.regexp_extract(text, pattern, k).try_cast("int")
-
-    iso, us = text.rlike(ISO_TIME), text.rlike(US_TIME)
-    hour12 = part(US_TIME, 4)
-    hour = F.when(hour12.between(1, 12), hour12 % 12 + F.when(F.upper(F.regexp_extract(text, US_TIME, 6)) == "PM", 12).otherwise(0))
-    seconds = F.regexp_extract(text, ISO_TIME, 6).try_cast("decimal(8,6)") + F.coalesce(F.concat(F.lit("0"), F.regexp_extract(text, ISO_TIME, 7)).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
-    zone = F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})?\s*$", 1)
-    zone_minutes = (part(ISO_TIME, 8) * 60 + F.coalesce(part(ISO_TIME, 9), F.lit(0))) * F.when(zone == "-", -1).otherwise(1)
-    legal = (part(ISO_TIME, 4) < 24) & (part(ISO_TIME, 5) < 60) & (part(ISO_TIME, 6) < 60) & F.coalesce(F.abs(zone_minutes) <= 18 * 60, F.lit(True))
-    from_iso = F.when(legal, F.try_make_timestamp_ltz(part(ISO_TIME, 1), part(ISO_TIME, 2), part(ISO_TIME, 3), part(ISO_TIME, 4), part(ISO_TIME, 5), seconds.cast("decimal(16,6)"), F.lit("UTC")))
-    from_iso = F.timestamp_micros(F.unix_micros(from_iso) - F.coalesce(zone_minutes, F.lit(0)).cast("bigint") * 60_000_000)
-    from_us = F.when(part(US_TIME, 5) < 60, F.try_make_timestamp_ltz(part(US_TIME, 3), part(US_TIME, 1), part(US_TIME, 2), hour, part(US_TIME, 5), F.lit(0).cast("decimal(16,6)"), F.lit("UTC")))
-    return F.when(iso, from_iso).when(us, from_us)
+    def number(at: int, n: int) -> Column:
+        return F.substring(t, at, n).try_cast("int")
+
+    def part(k: int) -> Column:
+        return F.regexp_extract(t, US_TIME, k).try_cast("int")
+
+    t = F.when(text.rlike(r"^\s|\s$"), F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(text)
+    # The notation fixes where each part stands, so one match settles the text and the parts are cut out by place.
+    rest = F.substring(t, 20, 64)
+    more = F.length(t) > 19
+    fraction = F.when(more, F.regexp_extract(rest, r"^\.\d+", 0)).otherwise("")
+    seconds = F.concat(F.substring(t, 18, 2), F.substring(fraction, 1, 7)).try_cast("decimal(16,6)")
+    ahead = F.when(more, F.regexp_extract(rest, r"([+-]\d{2}:?(?:\d{2})?)$", 1)).otherwise("")
+    zone_minutes = F.when(ahead == "", 0).otherwise(
+        F.when(F.substring(ahead, 1, 1) == "-", -1).otherwise(1) * (F.substring(ahead, 2, 2).try_cast("int") * 60 + F.coalesce(F.regexp_extract(ahead, r"^.\d{2}:?(\d{2})$", 1).try_cast("int"), F.lit(0)))
+    )
+    legal = (number(12, 2) < 24) & (number(15, 2) < 60) & (number(18, 2) < 60) & (F.abs(zone_minutes) <= 18 * 60)
+    from_iso = F.when(legal, F.try_make_timestamp_ltz(number(1, 4), number(6, 2), number(9, 2), number(12, 2), number(15, 2), seconds, F.lit("UTC")))
+    from_iso = F.when(ahead == "", from_iso).otherwise(F.timestamp_micros(F.unix_micros(from_iso) - zone_minutes.cast("bigint") * 60_000_000))
+    hour12 = part(4)
+    hour = F.when(hour12.between(1, 12), hour12 % 12 + F.when(F.upper(F.regexp_extract(t, US_TIME, 6)) == "PM", 12).otherwise(0))
+    from_us = F.when(part(5) < 60, F.try_make_timestamp_ltz(part(3), part(1), part(2), hour, part(5), F.lit(0).cast("decimal(16,6)"), F.lit("UTC")))
+    return F.when(text.rlike(ISO_TIME), from_iso).when(text.rlike(US_TIME), from_us)
 
 
 def _tokenizer(width: int, chunk: int | None):
@@ -106,10 +115,14 @@ def parse_records(df: DataFrame, raw: str, fields: Sequence[str] = FLOWSHEET_FIE
         .when(~is_measure(F.col("meas_value")), "meas_value")
         .when(F.col("recorded_at").isNull(), "recorded_time")
     )
+    judged = checked.withColumn("reason", reason).withColumn("_blank", blank).withColumn("_header", header)
+    kind = F.when(F.col("_blank"), "blank").when(F.col("_header"), "header").when(F.col("reason").isNotNull(), "reject").otherwise("row")
+    # An array of one: a filter on the verdict stays above it, so that no record is judged a second time for the filter.
+    verdict = F.explode(F.array(F.struct(kind.alias("kind"), "reason"))).alias("_verdict")
+    told = judged.drop("reason", "_blank", "_header").columns
+    out = judged.select(*told, verdict).select(*told, "_verdict.reason", "_verdict.kind")
     return (
-        checked.withColumn("reason", reason)
-        .withColumn("kind", F.when(blank, "blank").when(header, "header").when(F.col("reason").isNotNull(), "reject").otherwise("row"))
-        .withColumn("error_offset", F.when(F.col("reason") == "quoting", F.col("error_offset")).when(F.col("reason") == "column_count", 0).when(F.col("reason").isNotNull(), -1))
+        out.withColumn("error_offset", F.when(F.col("reason") == "quoting", F.col("error_offset")).when(F.col("reason") == "column_count", 0).when(F.col("reason").isNotNull(), -1))
         .withColumn("meas_number", F.when(F.col("kind") == "row", F.regexp_extract("meas_value", NUMBER, 0).try_cast("double")))
         .drop("bad_quotes", text)
     )
