@@ -156,3 +156,27 @@ def fixed_number(c: Column, digits: int = 2) -> Column:
     """A number with fixed digits, ``not estimable`` for NULL, and no minus before zero."""
     v = F.round(c, digits)
     return F.when(c.isNull(), "not estimable").otherwise(F.format_string(f"%.{digits}f", F.when(v == 0, F.lit(0.0)).otherwise(v)))
+
+
+def emergency_flag(patient_class: Column) -> Column:
+    """Whether a patient class names an emergency; NULL does not."""
+    return F.coalesce(patient_class.rlike(r"(?i)emergency|urgent|\bed\b"), F.lit(False))
+
+
+def mean_sd_text(mean: Column, sd: Column, digits: int = 1) -> Column:
+    """``12.3 (4.5)``; a mean or deviation that is missing shows as not estimable."""
+    return F.concat(fixed_number(mean, digits), F.lit(" ("), fixed_number(sd, digits), F.lit(")"))
+
+
+def n_percent_text(n: Column, of: Column, digits: int = 1) -> Column:
+    """``1,234 (56.7%)``; not estimable without anything to count."""
+    share = fixed_number(100 * F.try_divide(n, of), digits)
+    return F.when(of > 0, F.concat(F.format_number(n.cast("bigint"), 0), F.lit(" ("), share, F.lit("%)"))).otherwise("not estimable")
+
+
+def estimate_text(estimate: Column, lower: Column, upper: Column, digits: int = 3) -> Column:
+    """``0.714 (0.698 to 0.729)``; not estimable if one of the three is missing, NaN or infinite."""
+    fine = F.lit(True)
+    for c in (estimate, lower, upper):
+        fine = fine & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    return F.when(fine, F.concat(fixed_number(estimate, digits), F.lit(" ("), fixed_number(lower, digits), F.lit(" to "), fixed_number(upper, digits), F.lit(")"))).otherwise("not estimable")

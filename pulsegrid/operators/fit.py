@@ -126,23 +126,66 @@ def calibration_in_the_large(df: DataFrame, weight: str | None = None) -> Fit:
     return ridge_logistic(df.select("y", logit(F.col("p")).alias("lp"), *([weight] if weight else [])), [], 0.0, weight=weight, offset="lp")
 
 
+MOST_SIZES = 1_000_000
+
+
+def deal(histogram: list[tuple[int, int]], folds: int) -> dict[int, list[int]]:
+    """How many groups of each size go to each fold, if the largest come first and each goes to the fold with the fewest rows, then the
+    fewest groups. Groups of one size are alike, so they are dealt by arithmetic: level the folds, then in turn."""
+    rows, groups, out = [0] * folds, [0] * folds, {}
+    for size, left in sorted(histogram, reverse=True):
+        counts = [0] * folds
+
+        def give(f: int, k: int) -> None:
+            counts[f] += k
+            rows[f] += k * size
+            groups[f] += k
+
+        level = [(max(rows) - r) // size for r in rows]
+        if sum(level) <= left:
+            for f, k in enumerate(level):
+                give(f, k)
+            left -= sum(level)
+            for f in range(folds):
+                give(f, left // folds)
+            left %= folds
+        for _ in range(left):
+            give(min(range(folds), key=lambda f: (rows[f], groups[f], f)), 1)
+        out[size] = counts
+    return out
+
+
 def grouped_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """group, fold: whole groups spread over folds by a hash of the group in a fixed order of sizes.
+    """group, fold: whole groups dealt to folds, the largest first, each to the fold with the fewest rows, then the fewest groups.
 
-    Groups are dealt out in turn within each size, which balances rows as the greedy rule does without collecting groups: the turn
-    is the rank within 64 salted parts of a size, so that no part gathers all groups.
+    The histogram of sizes decides how many groups of each size a fold gets (:func:`deal`; at most MOST_SIZES different sizes, checked); which
+    ones they are follows from a hash of the group. Ranks within a size are taken in 64 parts of known counts, so no task ranks
+    all groups. NULL groups are left out.
     """
     from pyspark.sql import Window
 
-    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("n", F.pmod(F.xxhash64(group), F.lit(64))).orderBy(group)
-    return sizes.withColumn("_turn", F.row_number().over(w)).select(group, F.pmod(F.col("_turn") + F.pmod(F.xxhash64(group), F.lit(64)), F.lit(folds)).cast("int").alias("fold"))
-
-
-def _fold_sums(df: DataFrame, features: list[str], folds: int, fits: list[tuple[int, np.ndarray]], mean: np.ndarray, scale: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, float, float]]:
-    """Per (fold, beta): loss, gradient and Hessian over the rows outside the fold, and weight and loss inside it; one pass for all."""
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n")).withColumn("_h", F.xxhash64(group)).withColumn("_part", F.pmod("_h", F.lit(64)))
+    parts = sizes.groupBy("_n", "_part").agg(F.count("*").alias("_c"))
+    histogram = [(r["_n"], r["m"]) for r in parts.groupBy("_n").agg(F.sum("_c").alias("m")).limit(MOST_SIZES + 1).collect()]
+    if len(histogram) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} different group sizes")
+    rows = []
+    for size, counts in deal(histogram, folds).items():
+        at = 0
+        for fold, k in enumerate(counts):
+            rows.append((size, fold, at, at + k))
+            at += k
+    shares = df.sparkSession.createDataFrame(rows, "_s bigint, fold int, _from bigint, _to bigint")
+    before = parts.select(F.col("_n").alias("_bn"), F.col("_part").alias("_bp"), (F.sum("_c").over(Window.partitionBy("_n").orderBy("_part")) - F.col("_c")).alias("_before"))
+    ranked = sizes.withColumn("_r", F.row_number().over(Window.partitionBy("_n", "_part").orderBy("_h", group)) - 1)
+    ranked = ranked.join(before, (F.col("_n") == F.col("_bn")) & (F.col("_part") == F.col("_bp"))).withColumn("_r", F.col("_r") + F.col("_before"))
+    return ranked.join(F.broadcast(shares), (F.col("_n") == F.col("_s")) & (F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_to"))).select(group, "fold")  # sizes times folds
+
+
+def _fold_sums(df: DataFrame, features: list[str], folds: int, fits: list[tuple[int, np.ndarray]], mean: np.ndarray, scale: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, float, np.ndarray]]:
+    """Per (fold, beta): loss, gradient and Hessian over the rows outside the fold, and weight, log loss and squared error inside it; one pass for all."""
     k = len(features) + 1
-    size = 3 + k + k * k
+    size = 4 + k + k * k
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(fits), size))
@@ -155,19 +198,19 @@ def _fold_sums(df: DataFrame, features: list[str], folds: int, fits: list[tuple[
                 losses = np.logaddexp(0, z) - y * z
                 p = np.exp(-np.logaddexp(0, -z))
                 t, e, h = x[~held], (p - y)[~held], (p * (1 - p))[~held]
-                total[j, :3] += losses[~held].sum(), held.sum(), losses[held].sum()
-                total[j, 3 : 3 + k] += t.T @ e
-                total[j, 3 + k :] += ((t * h[:, None]).T @ t).ravel()
+                total[j, :4] += losses[~held].sum(), held.sum(), losses[held].sum(), ((p - y)[held] ** 2).sum()
+                total[j, 4 : 4 + k] += t.T @ e
+                total[j, 4 + k :] += ((t * h[:, None]).T @ t).ravel()
         yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
 
     flat = np.zeros(len(fits) * size)
     for r in df.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         flat[r["i"]] = r["v"]
-    return [(t[0], t[3 : 3 + k], t[3 + k :].reshape(k, k), t[1], t[2]) for t in flat.reshape(len(fits), size)]
+    return [(t[0], t[4 : 4 + k], t[4 + k :].reshape(k, k), t[1], t[2:4]) for t in flat.reshape(len(fits), size)]
 
 
-def ridge_cv(df: DataFrame, features: list[str], grid: list[float], *, group: str = "patient_id", folds: int = 5, max_steps: int = 100, tol: float = 1e-10) -> tuple[list[dict], float]:
-    """Mean log loss of each penalty over grouped folds, and the best penalty (the smallest within 1e-12).
+def ridge_cv(df: DataFrame, features: list[str], grid: list[float], *, group: str = "patient_id", folds: int = 5, max_steps: int = 100, tol: float = 1e-10, scoring: str = "log_loss") -> tuple[list[dict], float]:
+    """Mean and deviation of log loss and Brier score of each penalty over grouped folds, and the best penalty by ``scoring`` (the smallest within 1e-12).
 
     The fits of all folds and penalties advance together, one pass over the rows for a step of each, as
     :func:`ridge_logistic` does for one: damped Newton on features standardised by the fold's training rows.
@@ -190,7 +233,7 @@ def ridge_cv(df: DataFrame, features: list[str], grid: list[float], *, group: st
         penalty = [np.append(0.0, np.full(k - 1, l2)) for _, l2 in fits]
         beta = [np.zeros(k) for _ in fits]
         score, step, size = [np.inf] * len(fits), [np.zeros(k) for _ in fits], [1.0] * len(fits)
-        held, open_ = [(0.0, 0.0)] * len(fits), list(range(len(fits)))
+        held, open_ = [(0.0, np.zeros(2))] * len(fits), list(range(len(fits)))
         for _ in range(max_steps):
             if not open_:
                 break
@@ -215,10 +258,13 @@ def ridge_cv(df: DataFrame, features: list[str], grid: list[float], *, group: st
         data.unpersist()
     out = []
     for l2 in grid:
-        losses = [inside / weight for (_, q), (weight, inside) in zip(fits, held) if q == float(l2) and weight]
-        out.append({"l2": float(l2), "mean_log_loss": float(np.mean(losses)), "sd_log_loss": float(np.std(losses, ddof=1)) if len(losses) > 1 else None})
-    least = min(r["mean_log_loss"] for r in out)
-    return out, min(r["l2"] for r in out if np.isclose(r["mean_log_loss"], least, rtol=1e-12))
+        row = {"l2": float(l2)}
+        for j, name in enumerate(("log_loss", "brier")):
+            values = [inside[j] / weight for (_, q), (weight, inside) in zip(fits, held) if q == float(l2) and weight]
+            row |= {f"mean_{name}": float(np.mean(values)), f"sd_{name}": float(np.std(values, ddof=1)) if len(values) > 1 else None}
+        out.append(row)
+    least = min(r[f"mean_{scoring}"] for r in out)
+    return out, min(r["l2"] for r in out if np.isclose(r[f"mean_{scoring}"], least, rtol=1e-12))
 
 
 def spline_columns(x, knots: list[float]):

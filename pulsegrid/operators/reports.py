@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.parse import estimate_text
+
 
 @dataclass(frozen=True)
 class Row:
@@ -57,13 +59,6 @@ def case_mix(df: DataFrame, cohort: str, left: str, right: str, rows: list[Row])
     )
 
 
-def estimate_ci(estimate: Column, lower: Column, upper: Column, digits: int = 3) -> Column:
-    """``0.714 (0.698 to 0.729)``, or ``not estimable`` if one of the three is missing or infinite; no minus before a zero."""
-    ok = reduce(Column.__and__, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (estimate, lower, upper)])
-    text = lambda c: F.format_string(f"%.{digits}f", F.when(F.round(c, digits) == 0, F.lit(0.0)).otherwise(c))
-    return F.when(ok, F.concat(text(estimate), F.lit(" ("), text(lower), F.lit(" to "), text(upper), F.lit(")"))).otherwise("not estimable")
-
-
 def performance_table(point: DataFrame, intervals: DataFrame, model: str, primary: str, tolerance: float = 1e-9) -> DataFrame:
     """metric and one column of ``estimate (interval)`` per model, with the paired difference of ``primary`` from each other model.
 
@@ -74,7 +69,7 @@ def performance_table(point: DataFrame, intervals: DataFrame, model: str, primar
     off = own.join(point.withColumnRenamed("value", "_point"), ["model", "metric"]).filter(F.abs(F.col("estimate") - F.col("_point")) > tolerance).select("model", "metric").limit(5).collect()
     if off:
         raise ValueError("point and bootstrap estimates differ: " + ", ".join(f"{r['model']} {r['metric']}" for r in off))
-    text = estimate_ci(F.col("estimate"), F.col("lower"), F.col("upper"))
+    text = estimate_text(F.col("estimate"), F.col("lower"), F.col("upper"))
     label = F.when(F.col("versus").isNull(), F.col("model")).otherwise(F.concat(F.lit(f"{primary} - "), F.col("versus")))
     return intervals.select("metric", label.alias("column"), text.alias("shown"))
 

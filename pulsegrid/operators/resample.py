@@ -311,8 +311,8 @@ def _at_thresholds(thresholds: list[float], utility: list[float], names: tuple[s
     return compute
 
 
-def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int = 200, seed: int = 7, alpha: float = 0.05, groups: list[str] = [], utility: list[float] | None = None, names: tuple[str, ...] = tuple(THRESHOLD)) -> DataFrame:
-    """groups, threshold, metric, estimate, lower, upper, sd, n_valid of the metrics ``names``; those of utility only at the thresholds ``utility``."""
+def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int = 200, seed: int = 7, alpha: float = 0.05, groups: list[str] = [], utility: list[float] | None = None, names: tuple[str, ...] = ("alert_rate", "sensitivity", "ppv", "net_benefit")) -> DataFrame:
+    """groups, threshold, metric, estimate, lower, upper, sd, n_valid of the metrics ``names`` (of THRESHOLD); those of utility only at the thresholds ``utility``."""
     ts = sorted({float(t) for t in thresholds})
     compute = _at_thresholds(ts, ts if utility is None else [float(t) for t in utility], names)
     return _intervals(_replicated(df, groups, replicates, seed, "patient_id", compute, ts), [*groups, "threshold"], replicates, alpha, 0.8)

@@ -417,7 +417,7 @@ def performance_report(spark: SparkSession, folder: str) -> DataFrame:
 def _threshold_intervals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     first = checkpointed(score.score(ref._first(spark, folder).withColumn("y", F.col("outcome"))).select("patient_id", "y", "p", "stage1_alert", "stage2"))
     both = first.withColumn("p", F.when(F.col("stage1_alert") == 1, 1.0).otherwise(F.col("p")))
-    run = lambda df: resample.bootstrap_thresholds(df.select("patient_id", "y", "p"), CLINICAL, replicates=REPLICATES)
+    run = lambda df: resample.bootstrap_thresholds(df.select("patient_id", "y", "p"), CLINICAL, replicates=REPLICATES, names=tuple(resample.THRESHOLD))
     return run(first.filter("stage2 = 1")), run(both)
 
 

@@ -937,7 +937,7 @@ def factorial_2x2(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def two_stage_boot(spark: SparkSession, folder: str) -> DataFrame:
     rows = scored(spark, folder).withColumn("p", F.when(F.col("stage1_alert") == 1, 1.0).otherwise(F.col("p")))
-    return resample.bootstrap_thresholds(rows.select("patient_id", "y", "p"), CLINICAL, replicates=REPLICATES)
+    return resample.bootstrap_thresholds(rows.select("patient_id", "y", "p"), CLINICAL, replicates=REPLICATES, names=tuple(resample.THRESHOLD))
 
 
 @query()

@@ -126,7 +126,7 @@ def test_replicates_give_what_follows_from_them(spark):
     df = sample(spark, 200, models_=("a",))
     reps = resample.threshold_replicates(df, [0.3], 40)
     got = {r.metric: r for r in resample.derived(reps).collect()}
-    want = {r.metric: r for r in resample.bootstrap_thresholds(df, [0.3], 40).collect()}
+    want = {r.metric: r for r in resample.bootstrap_thresholds(df, [0.3], 40, names=tuple(resample.THRESHOLD)).collect()}
     for m in ("true_alerts_per_1000", "false_alerts_per_1000", "specificity", "avoided_per_100"):
         assert abs(got[m].lower - want[m].lower) < 1e-9 and abs(got[m].upper - want[m].upper) < 1e-9, m
     assert got["prevalence"].n_valid == 40

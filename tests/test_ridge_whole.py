@@ -41,3 +41,41 @@ def test_capacity_follows_the_rule(spark, monkeypatch):
     monkeypatch.setattr(reference, "scored", lambda *_: rows)
     r = reference.topk_capacity(spark, "").first()
     assert (r.k, r.events) == (33, 17)
+
+
+def test_groups_are_dealt_largest_first():
+    """Against the plain greedy rule, group by group."""
+    import random
+
+    from pulsegrid.operators.fit import deal
+
+    rng = random.Random(3)
+    for _ in range(30):
+        histogram = [(s, rng.randrange(1, 40)) for s in rng.sample(range(1, 30), rng.randrange(1, 6))]
+        rows, groups = [0] * 5, [0] * 5
+        for size, m in sorted(histogram, reverse=True):
+            for _ in range(m):
+                f = min(range(5), key=lambda f: (rows[f], groups[f], f))
+                rows[f] += size
+                groups[f] += 1
+        got = deal(histogram, 5)
+        assert sorted(sum(s * c[f] for s, c in got.items()) for f in range(5)) == sorted(rows)
+        assert all(sum(got[s]) == m for s, m in histogram)
+
+
+def test_folds_hold_whole_groups_and_balance(spark):
+    from pyspark.sql import functions as F
+
+    from pulsegrid.operators.fit import grouped_folds
+
+    df = spark.range(3000).select(F.concat(F.lit("P"), F.floor(F.sqrt("id"))).alias("patient_id"))
+    folds = grouped_folds(df, "patient_id").collect()
+    assert len(folds) == df.distinct().count() == len({r.patient_id for r in folds})
+    n = {r.patient_id: r["count"] for r in df.groupBy("patient_id").count().collect()}
+    loads = [sum(n[r.patient_id] for r in folds if r.fold == f) for f in range(5)]
+    rows, groups = [0] * 5, [0] * 5
+    for size in sorted(n.values(), reverse=True):
+        f = min(range(5), key=lambda f: (rows[f], groups[f], f))
+        rows[f] += size
+        groups[f] += 1
+    assert sorted(loads) == sorted(rows)

@@ -120,3 +120,29 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 60
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_emergency_and_texts(spark):
+    from pyspark.sql import functions as F
+
+    from pulsegrid.functions import parse
+
+    df = spark.createDataFrame([("Emergency dept", 12.345, 1.0, 1234, 2000), ("came by ED", -0.0001, None, 0, 0), ("edema clinic", float("inf"), 2.0, 1, 3), (None, None, None, None, None)], "c string, m double, s double, n int, of int")
+    r = df.select(
+        parse.emergency_flag(F.col("c")).alias("e"), parse.mean_sd_text(F.col("m"), F.col("s")).alias("a"), parse.n_percent_text(F.col("n"), F.col("of")).alias("b"), parse.estimate_text(F.col("m"), F.col("m"), F.col("m")).alias("d")
+    ).collect()
+    assert [x.e for x in r] == [True, True, False, False] and [x.b for x in r] == ["1,234 (61.7%)", "not estimable", "1 (33.3%)", "not estimable"]
+    assert r[0].a == "12.3 (1.0)" and r[1].a == "0.0 (not estimable)" and [x.d for x in r] == ["12.345 (12.345 to 12.345)", "0.000 (0.000 to 0.000)", "not estimable", "not estimable"]
+
+
+def test_contract_that_cannot_be_read_raises(spark, tmp_path):
+    from pulsegrid.sources import archives
+
+    out = f"{tmp_path}/kept"
+    assert archives.write_once(spark.range(3), out, {"v": "1"}).count() == 3
+    for f in tmp_path.glob("kept.contract/part-*"):
+        f.write_text("{broken")
+    for f in tmp_path.glob("kept.contract/.part-*"):
+        f.unlink()
+    with pytest.raises(ValueError):
+        archives.write_once(spark.range(9), out, {"v": "1"})
