@@ -121,7 +121,8 @@ def source_of_token(c: Column, art: tuple[str, ...] = ART_TOKENS, nibp: tuple[st
 
 def device_of(c: Column) -> Column:
     """ART or NIBP for a device label: by its token, else by the label patterns (ART first); NULL for any other and for NULL."""
-    return F.coalesce(source_of_token(c), F.when(c.rlike(ART_LABEL), "ART").when(c.rlike(NIBP_LABEL), "NIBP"))
+    told = F.coalesce(source_of_token(c), F.when(c.rlike(ART_LABEL), "ART").when(c.rlike(NIBP_LABEL), "NIBP"))
+    return F.when(c.isin("ART", "NIBP"), c).otherwise(told)  # most labels are written as they should be
 
 
 def binary_parse(c: Column) -> Column:

@@ -13,20 +13,21 @@ from pulsegrid.functions.zones import abbreviation_offsets, local_intervals
 # Notations, as fixed patterns.
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?"
+# No text is of two of them; the frequent ones stand first because they are tried in this order.
 FORMS = (
+    ("minutes", r"^[+-]?\d{1,8}(\.\d+)?( ?min)?$"),
     ("iso_zone", ISO + r" ?(Z|[+-]\d{2}(:?\d{2})?)$"),
-    ("iso_named", ISO + r"\[[A-Za-z_]+(/[A-Za-z0-9_+-]+)*\]$"),
     ("iso_local", ISO + r"$"),
-    ("iso_abbr", ISO + r" [A-Za-z]{2,5}$"),
-    ("basic_zone", r"^\d{8}T\d{4}(\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"),
-    ("basic_local", r"^\d{8}T\d{4}(\d{2}(\.\d+)?)?$"),
     ("slashed", r"^\d{1,2}/\d{1,2}/\d{4},? \d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( [A-Za-z]{2,5})?$"),
-    ("dotted", r"^\d{1,2}\.\d{1,2}\.\d{4},? \d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( [A-Za-z]{2,5})?$"),
-    ("month_name", r"^[A-Za-z]{3,9} \d{1,2}, \d{4},? \d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( [A-Za-z]{2,5})?$"),
     ("epoch_s", r"^\d{9,10}(\.\d+)?$"),
+    ("basic_zone", r"^\d{8}T\d{4}(\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"),
+    ("month_name", r"^[A-Za-z]{3,9} \d{1,2}, \d{4},? \d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( [A-Za-z]{2,5})?$"),
     ("epoch_ms", r"^\d{12,13}$"),
+    ("dotted", r"^\d{1,2}\.\d{1,2}\.\d{4},? \d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( [A-Za-z]{2,5})?$"),
+    ("iso_named", ISO + r"\[[A-Za-z_]+(/[A-Za-z0-9_+-]+)*\]$"),
+    ("iso_abbr", ISO + r" [A-Za-z]{2,5}$"),
+    ("basic_local", r"^\d{8}T\d{4}(\d{2}(\.\d+)?)?$"),
     ("epoch_us", r"^\d{15,16}$"),
-    ("minutes", r"^[+-]?\d{1,8}(\.\d+)?( ?min)?$"),
 )
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 

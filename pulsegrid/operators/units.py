@@ -34,7 +34,8 @@ def pressure_unit(text: Column) -> Column:
     """The pressure unit a text names, or NULL."""
     t = F.lower(text)
     return (
-        F.when(t.rlike(r"mm ?\[?hg|\btorr\b|millimet(er|re)s? of mercury"), "mmhg")
+        F.when(text.isin("mmHg", "mmhg"), "mmhg")
+        .when(t.rlike(r"mm ?\[?hg|\btorr\b|millimet(er|re)s? of mercury"), "mmhg")
         .when(t.rlike(r"\bkpa\b|kilopascal"), "kpa")
         .when(t.rlike(r"cm ?\[?h2o|centimet(er|re)s? of water"), "cmh2o")
         .when(t.rlike(r"\bhpa\b|hectopascal|\bmbar\b|millibar"), "hpa")
