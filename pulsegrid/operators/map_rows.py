@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import parse
 from pulsegrid.operators import grid
+from pulsegrid.sources.archives import collect_parts
 from pulsegrid.sources.tables import require_columns
 
 
@@ -44,6 +45,15 @@ def from_flowsheet(flowsheet: DataFrame, cases: DataFrame, low: float = grid.LOW
     return in_window(rows.filter(F.col("map_value").between(low, high) & F.col("at").isNotNull()), cases)
 
 
+def extract(flowsheet: DataFrame, cases: DataFrame, part: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The readings of a flowsheet, and by part (``part`` names its column; all rows are one part without it) the rows it delivered and those
+    retained. Neither is computed before it is used."""
+    own = flowsheet.withColumn("_part", F.col(part) if part else F.lit("all"))
+    rows = from_flowsheet(flowsheet, cases)
+    kept = own.select("flow_id", "_part").join(rows.select("flow_id"), "flow_id", "left_semi")
+    return rows, collect_parts(own, kept, "_part").withColumnRenamed("_part", "part")
+
+
 def processes(raw: DataFrame, kind: str) -> dict[str, DataFrame]:
     """The series made of readings (case_id, t, map, source): ``published`` keeps exact times, ``irregular`` gives coarse and fine grids.
 

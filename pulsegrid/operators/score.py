@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.parse import sigmoid
 from pulsegrid.operators.landmark import FEATURES
 from pulsegrid.operators.metrics import quantiles
+from pulsegrid.sources.tables import require_columns
 
 # The frozen 18-feature model on the raw scale.
 INTERCEPT = -20.759969012587476
@@ -65,15 +66,21 @@ def medians(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
 
 
 def require_some_values(df: DataFrame, features: tuple[str, ...] = FEATURES) -> None:
-    """Raises ValueError naming the features that are missing in every row."""
-    one = df.agg(*[F.count(f).alias(f) for f in features]).first()
+    """Raises ValueError naming the features that ``df`` lacks, or else those that are missing in every row."""
+    require_columns(df, list(features), "the features")
+    one = df.agg(*[F.count(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f) for f in features]).first()
     empty = [f for f in features if not one[f]]
     if empty:
         raise ValueError(f"features without any value: {', '.join(empty)}")
 
 
-def impute(df: DataFrame, values: dict[str, float] = MEDIANS) -> DataFrame:
-    """``df`` with NULL and NaN features filled from given medians."""
+def impute(df: DataFrame, values: dict[str, float] = MEDIANS, *, enforce: bool = False) -> DataFrame:
+    """``df`` with NULL and NaN features filled from given medians; with ``enforce`` a feature that is absent or missing in every row
+    raises, as do medians that aren't finite."""
+    if not all(map(math.isfinite, values.values())):
+        raise ValueError("all medians must be finite")
+    if enforce:
+        require_some_values(df, tuple(values))
     return df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(float(v))) for f, v in values.items() if f in df.columns})
 
 

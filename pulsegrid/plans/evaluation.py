@@ -311,6 +311,33 @@ def operation_selection(spark: SparkSession, folder: str) -> DataFrame:
     return performance._joined(_shown(rows, ["selection"]), who, ["selection"]).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("patients", "patients_with_more")})
 
 
+_MASKED = " union all ".join(f"select '{g}' as model, y, p from pred where {m}" for g, m in ref._MASKS.items())
+
+
+@query(
+    f"""with {ref._SCORED}, every as ({_MASKED}), models as (select * from every where model in (select model from every group by 1 having count(*) >= 100 and sum(y) >= 20 and count(*) - sum(y) >= 20)), {_RATED}, {_BUNDLE}
+    select model as subgroup, n, events, {_round("auroc brier log_loss oe_ratio")} from bundle"""
+)
+def subgroup_performance(spark: SparkSession, folder: str) -> DataFrame:
+    """The frozen model in each subgroup of 100 cases or more with 20 events and 20 others; a case is in every group it belongs to."""
+    each = F.explode(F.array_compact(F.array(*[F.when(F.expr(m), F.lit(g)) for g, m in ref._MASKS.items()]))).alias("subgroup")
+    rows = checkpointed(ref.scored(spark, folder).select(each, "y", "p"))
+    sizes = rows.groupBy(F.col("subgroup").alias("_g")).agg(F.count("*").alias("n"), F.sum("y").alias("e")).filter("n >= 100 and e >= 20 and n - e >= 20")
+    return _shown(rows.join(F.broadcast(sizes.select("_g")), F.col("subgroup") == F.col("_g"), "left_semi"), ["subgroup"])  # one row a subgroup
+
+
+@query(
+    f"""with {ref._CELLS}, a as (select b.case_id, coalesce(f.feature_evaluable, 0) as fe, coalesce(f.outcome_evaluable, 0) as oe from base b left join fine f using (case_id))
+    select count(*) as cases, count(*) filter (where fe = 1) as fine_features, count(*) filter (where oe = 1) as fine_outcome, count(*) filter (where fe = 1 and oe = 1) as complete from a"""
+)
+def cells_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the fixed cases the fine grid can judge: features, outcome, and both, which is the intersection of the four cells."""
+    cells = ref.cells_2x2(spark, folder).groupBy("case_id").agg(
+        F.max(F.when(F.col("cell") == "fine_input_coarse_outcome", F.col("feature_evaluable"))).alias("fe"), F.max(F.when(F.col("cell") == "coarse_input_fine_outcome", F.col("outcome_evaluable"))).alias("oe")
+    )
+    return cells.agg(F.count("*").alias("cases"), F.count_if(F.col("fe") == 1).alias("fine_features"), F.count_if(F.col("oe") == 1).alias("fine_outcome"), F.count_if((F.col("fe") == 1) & (F.col("oe") == 1)).alias("complete"))
+
+
 # --- resampled, without SQL
 
 

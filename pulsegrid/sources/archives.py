@@ -11,6 +11,7 @@ import tarfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
@@ -34,11 +35,31 @@ def find_member(path: str, wanted: str) -> str:
     return found[0]
 
 
+class _Forward(io.RawIOBase):
+    """Bytes of a stream that can only be read on."""
+
+    def __init__(self, raw):
+        self.raw = raw
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        got = self.raw.read(len(into))
+        into[: len(got)] = got
+        return len(got)
+
+
 def _open(path: str, member: str) -> io.TextIOWrapper:
+    """A member as text. A TAR is read forwards only, from a plain stream, so that it needs no seeking (a pipe or object store will do)."""
     if zipfile.is_zipfile(path):
         raw = zipfile.ZipFile(path).open(member)
     else:
-        raw = tarfile.open(path).extractfile(member)
+        tar = tarfile.open(fileobj=open(path, "rb"), mode="r|*")  # noqa: SIM115 - closed with the member
+        raw = next((tar.extractfile(m) for m in tar if m.name == member), None)
+        if raw is None:
+            raise ValueError(f"{path} lacks {member}")
+        raw = io.BufferedReader(_Forward(raw), 1 << 20)
     return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if member.endswith(".gz") else raw, encoding="utf-8", newline="")
 
 
@@ -136,9 +157,35 @@ def write_once(df: DataFrame, folder: str, contract: dict[str, str]) -> DataFram
     return spark.read.parquet(held["data"])
 
 
+def write_shards(shards: dict[str, DataFrame], folder: str, contract: dict[str, str]) -> DataFrame:
+    """All shards as one table with ``shard``: each is written once under the contract and its name, so an interrupted run goes on where it
+    stopped. What lies there already is read again and held against the rows and the order-free hash of its values that were noted
+    when it was written; a difference raises ValueError.
+    """
+    parts = []
+    for name, df in shards.items():
+        safe = "".join(c if c.isalnum() or c in "-_." else "_" for c in name)
+        if not safe.strip("."):
+            raise ValueError(f"{name!r} is no name of a shard")
+        got = write_once(df, f"{folder.rstrip('/')}/{safe}", {**contract, "shard": name})
+        note = f"{folder.rstrip('/')}/{safe}.sums"
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in got.columns])
+        now = got.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias("h")).first()
+        sums = {"rows": int(now["n"]), "hash": int(now["h"])}
+        held = _held_contract(df.sparkSession, note)
+        if held is None:
+            df.sparkSession.createDataFrame([(json.dumps(sums, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(note)
+        elif held != sums:
+            raise ValueError(f"the shard {name} isn't what was written")
+        parts.append(got.withColumn("shard", F.lit(name)))
+    if not parts:
+        raise ValueError("no shards")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def collect_parts(rows: DataFrame, kept: DataFrame, part: str = "part") -> DataFrame:
     """part, raw_rows, retained_rows, retained_pct: what each part delivered and what is left of it; parts with nothing left count 0."""
     a = rows.groupBy(part).agg(F.count("*").alias("raw_rows"))
-    b = kept.groupBy(F.col(part).alias("_part")).agg(F.count("*").alias("_kept"))
+    b = kept.groupBy(F.col(part).alias("_of_kept")).agg(F.count("*").alias("_kept"))
     n = F.coalesce(F.col("_kept"), F.lit(0))
-    return a.join(b, F.col(part).eqNullSafe(F.col("_part")), "left").select(part, "raw_rows", n.cast("bigint").alias("retained_rows"), F.round(100 * F.try_divide(n, F.col("raw_rows")), 6).alias("retained_pct"))
+    return a.join(b, F.col(part).eqNullSafe(F.col("_of_kept")), "left").select(part, "raw_rows", n.cast("bigint").alias("retained_rows"), F.round(100 * F.try_divide(n, F.col("raw_rows")), 6).alias("retained_pct"))

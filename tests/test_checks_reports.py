@@ -241,3 +241,37 @@ def test_rows_of_a_source(spark):
     assert set(map_rows.processes(raw, "irregular")) == {"coarse", "fine"} and map_rows.processes(raw, "published")["coarse"].count() == 2
     with pytest.raises(ValueError, match="formal"):
         map_rows.processes(raw.withColumn("source", F.lit("DIRECT")), "irregular")
+
+
+def test_extract_shards_and_gates(spark, tmp_path):
+    from pulsegrid.sources import archives
+
+    f = spark.createDataFrame([(1, "E1", "MAP", None, "2024-01-01 08:05:00", "60", "p1"), (2, "E1", "HR", None, "2024-01-01 08:05:00", "60", "p1"), (3, "E1", "HR", None, "2024-01-01 08:05:00", "60", "p2")], "flow_id int, log_id string, flo_name string, flo_display_name string, recorded_time string, meas_value string, part_file string")
+    cases = spark.createDataFrame([("E1", "P1", T0, T0 + datetime.timedelta(minutes=60))], "encounter_id string, patient_id string, start timestamp, end timestamp")
+    rows, told = map_rows.extract(f, cases, "part_file")
+    assert rows.count() == 1 and {r.part: (r.raw_rows, r.retained_rows, r.retained_pct) for r in told.collect()} == {"p1": (2, 1, 50.0), "p2": (1, 0, 0.0)}
+    one = lambda n: spark.range(n).withColumn("v", F.col("id") * 2)
+    assert archives.write_shards({"a": one(3), "b/c": one(4)}, f"{tmp_path}/s", {"v": "1"}).groupBy("shard").count().count() == 2
+    assert archives.write_shards({"a": one(9), "b/c": one(9)}, f"{tmp_path}/s", {"v": "1"}).count() == 7
+    (note,) = (tmp_path / "s" / "a.sums").glob("part-*")
+    for crc in (tmp_path / "s" / "a.sums").glob(".part-*"):
+        crc.unlink()
+    note.write_text('{"hash": 1, "rows": 3}')
+    with pytest.raises(ValueError, match="shard a"):
+        archives.write_shards({"a": one(3)}, f"{tmp_path}/s", {"v": "1"})
+    with pytest.raises(ValueError, match="lacks"):
+        score.impute(f, {"bmi": 20.0}, enforce=True)
+    with pytest.raises(ValueError, match="bmi"):
+        score.impute(f.withColumn("bmi", F.lit(float("nan"))), {"bmi": 20.0}, enforce=True)
+    with pytest.raises(ValueError, match="finite"):
+        score.impute(f, {"bmi": math.inf})
+    b = spark.createDataFrame([(0.0, None), (1.0, 1), (2.0, 0)], "x double, y int")
+    assert passed(checks.binary_columns(b, ["x", "y"])) == {"x_is_0_or_1": (1, 0), "y_is_0_or_1": (1, 0)} and passed(checks.binary_columns(b, ["y"], nullable=True)) == {"y_is_0_or_1": (0, 1)}
+
+
+def test_subgroups_that_can_be_estimated(spark):
+    from pulsegrid.operators import secondary
+
+    df = spark.range(240).select((F.col("id") % 4 == 0).cast("int").alias("y"), F.col("id").alias("k"))
+    got = {r.subgroup: (r.n, r.events, r.estimable) for r in secondary.subgroups(df, {"big": F.col("k") < 120, "few_events": F.col("k") < 76, "none": F.col("k") > 500}).collect()}
+    assert got == {"big": (120, 30, 1), "few_events": (76, 19, 0)}
