@@ -45,6 +45,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return implausible.flag_readings(table(spark, folder, "map_observations")).select("obs_id", "kind")
 
 
+def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Those flags that rules of single values and runs decide, without the forest."""
+    return p4_found(spark, folder).filter("kind <> 'spike'")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return instants.restated_instants(table(spark, folder, "cohort"), table(spark, folder, "map_observations"), table(spark, folder, "sites"))
 
@@ -58,7 +63,7 @@ def p6_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.select("row_id", "quantity", "unit_code", "unit_from", F.round("value", 4).alias("value"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rows, p2_found, p2_grid, p3_found, p3_filled, p4_found, p5_found, p6_found, p6_sizes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rows, p2_found, p2_grid, p3_found, p3_filled, p4_found, p4_limits, p5_found, p6_found, p6_sizes)}
 
 _FIELD = r"""("(?:[^"]|"")*"|[^",\r\n]*)"""
 _NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
@@ -225,6 +230,12 @@ SQL: dict[str, str] = {
       from said""",
     "p3_found": _MISSING,
     "p3_filled": _DECK,
+    "p4_limits": f"""with {_UNIT_ROWS}, k as (select obs_id, ek as e, sk as s, case when not isnan(m) then m end as m, v, case u when 'mmhg' then 1.0 when 'kpa' then 7.50061683 when 'cmh2o' then 0.73555924 when 'hpa' then 0.750061683 end as f from stated),
+      once as (select e, s, m, v, max(f) as f from k group by all), scaled as (select *, v * coalesce(f, max(f) over w, case when median(case when v > 0 then v end) over w < 25 then 7.50061683 else 1.0 end) as x from once window w as (partition by e, s)),
+      steps as (select *, (lag(x) over o is distinct from x)::int as step from scaled where x > 0 and x <= 300 and m is not null window o as (partition by e, s order by m, v)),
+      runs as (select *, sum(step) over (partition by e, s order by m, v) as run from steps), long as (select *, count(*) over (partition by e, s, run) as n from runs),
+      found as (select e, s, m, v, 'impossible' as kind from scaled where not (x > 0 and x <= 300) union all select e, s, m, v, 'stuck' from long where n >= 8)
+      select obs_id, kind from k join found using (e, s, v) where k.m is not distinct from found.m""",
     "p6_sizes": f"select row_id, quantity, unit_code, unit_from, round(value, 4) as value from ({_SIZES})",
     "p6_found": _UNITS + f""", sizes as ({_SIZES})
       select 'cohort' as src_table, row_id, quantity, unit_code from sizes where unit_code not in ('m', 'kg')
