@@ -13,6 +13,9 @@ from pulsegrid.llm.tokens import TOKENIZER, token_counts
 from pulsegrid.session import checkpointed
 
 
+MOST_TABLE = 1 << 28  # bytes of first numbers by length and salt, of all capacities together, that go to every worker
+
+
 def best_multiset(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
     """A multiset of lengths, each used at most its count, whose sum is the largest that ``capacity`` allows (minimum bin slack).
 
@@ -92,13 +95,15 @@ def pack(documents: DataFrame, capacities: DataFrame, *, id_col: str = "doc_id",
     texts) fill nothing and are left out. Repeated rows are packed each. Ties among equal lengths are by id within a salt.
 
     Containers are planned from the histogram of lengths, which has at most ``capacity`` rows whatever the corpus holds
-    (``most_capacity`` is checked), by minimum bin slack; full pieces are containers of their own and take no part. Documents of one
+    (``most_capacity`` and the size of all capacities' tables, MOST_TABLE, are checked), by minimum bin slack; full pieces are containers of their own and take no part. Documents of one
     length may be a third of all: they are numbered within salted groups, whose sizes (at most salts for each length) give
     each group its first number. Only histogram and plan, both bounded by the capacity, pass through the driver.
     """
     wanted = [(int(r[0]), int(r[1])) for r in capacities.select("capacity_id", "capacity_tokens").distinct().limit(1001).collect() if r[0] is not None and r[1] is not None]
     if any(not 0 < c <= most_capacity for _, c in wanted) or len(wanted) > 1000:
         raise ValueError(f"capacities must be between 1 and {most_capacity}, and at most 1000")
+    if sum(c for _, c in wanted) * salts * 16 > MOST_TABLE:
+        raise ValueError(f"the capacities together need tables of more than {MOST_TABLE} bytes: pack in parts")
     sized = token_counts(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", tokenizer).filter("tokens > 0")
     # One row per document and capacity: the rest after full pieces, with a salt that numbers equal lengths apart.
     sized = checkpointed(sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")))

@@ -102,3 +102,9 @@ def test_whole_table_leaves_little_unused(spark):
     fill = {r.capacity_id: r for r in container_fill(pack(table(spark, SMALL, "documents"), caps), caps).collect()}
     sizes = {r.capacity_id: r.capacity_tokens for r in caps.collect()}
     assert all(f.containers <= -(-f.tokens // sizes[c]) + 1 for c, f in fill.items())
+
+
+def test_tables_of_all_capacities_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="in parts"):
+        pack(docs, spark.createDataFrame([(k, 65_000) for k in range(10)], "capacity_id int, capacity_tokens int"))
