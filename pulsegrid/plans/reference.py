@@ -16,8 +16,8 @@ from pulsegrid.sources.tables import table
 FILLED = ["dataset", "age", "sex", "male", "height_m", "weight_kg", "asa", "emergency", "anesthesia_start", "anesthesia_end"]
 DYNAMIC = landmark.FEATURES[4:]
 CLINICAL = [0.10, 0.15, 0.20, 0.25]
-PENALTIES = [0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0]  # analysis.json lambda_grid
-REPLICATES = 2000  # analysis.json minimum_patient_bootstrap_repetitions
+PENALTIES = [0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0]
+REPLICATES = 2000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -940,6 +940,17 @@ def two_stage_boot(spark: SparkSession, folder: str) -> DataFrame:
     return resample.bootstrap_thresholds(rows.select("patient_id", "y", "p"), CLINICAL, replicates=REPLICATES, names=tuple(resample.THRESHOLD))
 
 
-@query()
+_PLAN = f"""with recursive {_SCORED}, lps as (select {_LP} as lp from pred), shifts as (select 0 as k, 0.0::double as a union all select k + 1, a - (m - 0.12) / d from (
+    select k, a, avg(1 / (1 + exp(-(lp + a)))) as m, avg(1 / (1 + exp(-(lp + a))) * (1 - 1 / (1 + exp(-(lp + a))))) as d from shifts, lps group by k, a) where k < 50),
+  rows as (select lp, 1 / (1 + exp(-(lp + a))) as q from lps, shifts where k = 50), odds as (select 0.15 / 0.85 as o),
+  m as (select avg(q * (1 - q)) as a, avg(q * (1 - q) * lp) as b, avg(q * (1 - q) * lp * lp) as c, avg((q >= 0.15)::int * q * (1 - q) * (1 + o) * (1 + o)) as within_, coalesce(var_samp((q >= 0.15)::int * (q - (1 - q) * o)), 0) as between_ from rows, odds),
+  widths as (select n, pos, n - pos as neg, 0.7 / 1.3 as x, 2 * 0.49 / 1.7 as y from (select n, greatest(2, round(n * 0.12)) as pos from range(200, 100000) t(n))),
+  sizes as (select ceil(power(2 * 1.96 * sqrt(a / (a * c - b * b)) / 0.2, 2))::bigint as slope, ceil(ceil(greatest(power(1.96 / ln(1.1), 2), power(1.96 / ln(0.9), 2))) / 0.12)::bigint as oe,
+    (select min(n) from widths where 2 * 1.96 * sqrt((0.21 + (pos - 1) * (x - 0.49) + (neg - 1) * (y - 0.49)) / (pos * neg)) <= 0.05) as auc, within_, between_ from m)
+  select 'calibration_slope' as target, slope as required_n, null::double as width from sizes union all select 'observed_to_expected', oe, null from sizes union all select 'auroc', auc, null from sizes union all select 'largest', greatest(slope, oe, auc), null from sizes
+  union all select 'net_benefit_width_at_largest', greatest(slope, oe, auc), round(2 * 1.96 * sqrt((within_ + between_) / greatest(slope, oe, auc)), 6) from sizes"""
+
+
+@query(_PLAN)
 def precision_plan(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(planning.precision_plan(scored(spark, folder).select("p")), "target string, required_n bigint, width double")
+    return spark.createDataFrame(planning.precision_plan(checkpointed(scored(spark, folder).select("p"))), "target string, required_n bigint, width double")
