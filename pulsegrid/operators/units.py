@@ -27,6 +27,7 @@ BARE = {"height": ("m", "cm", "mm", "in"), "weight": ("kg", "lb", "oz", "g"), "m
 PENALTY = 0.5
 SUSTAINED = 24  # values a segment must have to be compared with its neighbour
 TOLERANCE = 0.08  # of the log of a level shift from that of a ratio of units
+LONGEST = 2048  # values of a history that are searched together
 SPREAD = 4  # parts of one source's month, each a history of its own
 
 
@@ -152,7 +153,8 @@ def _segmented(quantity: str):
             level, chosen = np.empty(len(x)), np.empty(len(x), np.int64)
             ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(x))
             for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
-                cuts = segments(x[a:b], PENALTY)
+                # A long history is searched piece by piece, so that the search stays linear in its length.
+                cuts = np.concatenate([at - a + segments(x[at : min(at + LONGEST, b)], PENALTY) for at in range(a, b, LONGEST)])
                 size = np.diff(np.append(cuts, b - a))
                 of_segment = np.add.reduceat(x[a:b], cuts) / size
                 level[a:b] = np.repeat(of_segment, size)
@@ -173,7 +175,7 @@ def bare_units(df: DataFrame, quantity: str) -> DataFrame:
     """Units of numbers that state none, from the levels of their source's history.
 
     ``df``: row_id, source, at (time), level (positive), default_unit. Each source's history, in blocks of a month that are split at
-    fixed hashes into at most SPREAD parts, is cut by exact penalised changepoint search on log levels; the segments get their units
+    fixed hashes into SPREAD parts, is cut by exact penalised changepoint search on log levels (in pieces of LONGEST values); the segments get their units
     by :func:`segment_units`. The rows of a block are those of its source, month and hash and no others, in order of time and
     id, however rows are partitioned or batched, so the result depends on neither. A source may hold a third of all rows: its
     months and hashes are spread over tasks. Rows without a positive level are left out; a NULL source is a source of its own.

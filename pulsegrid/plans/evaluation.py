@@ -89,6 +89,23 @@ def collect_stream(spark: SparkSession, folder: str) -> DataFrame:
     return archives.collect_parts(lines, rejects.loaded(parsed))
 
 
+_ONE = "printf('%.1f', round({0}, 1))"
+
+
+@query(f"""select cohort_id, round(case when try_cast(weight_kg as double) between 20 and 400 then try_cast(weight_kg as double) end, 6) as weight_plain, case when emergency is null then null when emergency then 1.0 else 0.0 end as emergency_number,
+    coalesce(regexp_matches(surgical_service, '(?i)emergency|urgent|\\bed\\b'), false)::int as emergency_class, coalesce({_ONE.format("age")}, 'not estimable') as age_text, coalesce({_ONE.format("age")}, 'not estimable') || ' (' || coalesce({_ONE.format("asa")}, 'not estimable') || ')' as mean_sd_text,
+    case when age > 0 then format('{{:,}}', cast(asa * 1000 as bigint)) || ' (' || {_ONE.format("100 * asa * 1000 / age")} || '%)' else 'not estimable' end as n_percent_text,
+    case when age is not null and asa is not null then printf('%.3f', round(age, 3)) || ' (' || printf('%.3f', round(asa, 3)) || ' to ' || printf('%.3f', round(age, 3)) || ')' else 'not estimable' end as estimate_text from cohort""".replace("\\\\b", "\\b"))
+def scalar_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain numbers and flags of texts, and numbers as they are printed."""
+    age, asa = F.col("age"), F.col("asa")
+    rows = table(spark, folder, "cohort").select(
+        "cohort_id", ref.parse.weight_kg_plain(F.col("weight_kg")).alias("weight_plain"), ref.parse.binary_parse(F.col("emergency")).alias("emergency_number"), ref.parse.emergency_flag(F.col("surgical_service")).cast("int").alias("emergency_class"), ref.parse.fixed_number(age, 1).alias("age_text"),
+        ref.parse.mean_sd_text(age, asa).alias("mean_sd_text"), F.when(asa.isNotNull() | ~F.coalesce(age > 0, F.lit(False)), ref.parse.n_percent_text(asa * 1000, age)).alias("n_percent_text"), ref.parse.estimate_text(age, asa, age).alias("estimate_text"),
+    )
+    return rounded(rows)
+
+
 # --- readings of a source
 
 
