@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
@@ -23,6 +23,7 @@ class Settings:
     bins: int = 1 << 18  # of hashed n-grams, each with a weight of its own
     sample_documents: int = 2_000  # most labelled rows for training
     sample_chars: int = 500_000  # longest text among them
+    sample_total: int = 5_000_000  # characters of all of them
     nominate: float = 0.0001  # calibrated probability from which a document is nominated
     ridge: float = 1e-3
     bag_ridge: float = 1e-2
@@ -146,10 +147,22 @@ def features(texts: list[str | None], words: Words, s: Settings) -> Grams:
     share = np.bincount(of[again], minlength=n) / np.maximum(np.bincount(of, minlength=n), 1)
     bins.append(2 * part + (key % np.uint64(part)).astype(np.int64) + part * again)
     doc.append(of)
-    bins, doc = np.concatenate(bins), np.concatenate(doc)
+    bins, doc = np.concatenate(bins).astype(np.int32), np.concatenate(doc).astype(np.int32)
     return Grams(np.column_stack([*dense, share]), bins, doc, np.bincount(doc, minlength=n))
 
 
+def _labelled(texts: list[str], s: Settings, at_once: int = 250) -> tuple[Grams, np.ndarray]:
+    """Features and labels of many texts, made a few at a time: only bins and texts' numbers stay in memory."""
+    parts, labels = [], []
+    for at in range(0, len(texts), at_once):
+        words = Words(texts[at : at + at_once])
+        g = features(texts[at : at + at_once], words, s)
+        parts.append(Grams(g.dense, g.bins, g.doc + np.int32(at), g.per_doc))
+        labels.append(repeated_share(words, s.copy_words) >= s.share)
+    joined = Grams(*[np.concatenate([getattr(g, f) for g in parts]) for f in ("dense", "bins", "doc", "per_doc")])
+    return joined, np.concatenate(labels).astype(float)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -221,13 +234,11 @@ def fit(texts: list[str], s: Settings = Settings()) -> Model:
     # Long texts that repeat nothing but one stretch, on both sides of the threshold: words of several texts in random order.
     draw = np.random.default_rng(7)
     pool = np.array([w for t in texts[:: max(1, len(texts) // 200)] for w in t.split()[:400]] or ["a"], object)
-    for k in range(96):
-        part, share = draw.choice(pool, (300, 1200, 5000)[k % 3]), s.share * (0.7 + 0.1 * (k // 3 % 8))
+    for k in range(72):
+        part, share = draw.choice(pool, (300, 1200, 3000)[k % 3]), s.share * (0.7 + 0.1 * (k // 3 % 8))
         more.append(" ".join([*part, *part[: int(len(part) * share / (1 - share)) + s.copy_words]]))
     rows = texts + more + ["one two three four five six seven", "one two three four five six one two three four five six"]
-    words = Words(rows)
-    y = (repeated_share(words, s.copy_words) >= s.share).astype(float)
-    g = features(rows, words, s)
+    g, y = _labelled(rows, s)
     half = np.arange(len(rows)) % 3 != 0
     if len(set(y[half])) < 2 or len(set(y[~half])) < 2:
         half = np.ones(len(rows), bool)
@@ -244,11 +255,14 @@ def fit(texts: list[str], s: Settings = Settings()) -> Model:
 
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> Model:
-    """Fits on a bounded sample of documents, chosen by a hash of their id: at most s.sample_documents texts of up to s.sample_chars."""
+    """Fits on a bounded sample of documents, chosen by a hash of their id: at most s.sample_documents texts of up to s.sample_chars, and
+    s.sample_total characters in all."""
     total = documents.count()
     share = max(1, -(-total // s.sample_documents))
-    rows = documents.filter((F.length(text_col) > 0) & (F.length(text_col) <= s.sample_chars) & (F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)).select(text_col).limit(s.sample_documents).collect()
-    return fit([r[0] for r in rows], s)
+    size = F.length(text_col)
+    rows = documents.filter((size > 0) & (size <= s.sample_chars) & (F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)).select(F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h")).limit(s.sample_documents)
+    so_far = F.sum(F.length("t")).over(Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, 0))  # of the sample
+    return fit([r["t"] for r in rows.withColumn("_c", so_far).filter(F.col("_c") <= s.sample_total).select("t").collect()], s)
 
 
 def measure(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings(), model: Model | None = None, everything: bool = True) -> DataFrame:
