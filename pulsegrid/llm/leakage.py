@@ -77,7 +77,7 @@ class _Ids(dict):
 
     def __init__(self, templated):
         super().__init__()
-        self.templated, self.hashes = templated, ([], [])
+        self.templated, self.hashes, self.since = templated, ([], []), 0
 
     def __missing__(self, token: str) -> int:
         self[token] = n = len(self)
@@ -88,6 +88,7 @@ class _Ids(dict):
     def clear(self) -> None:
         super().clear()
         self.hashes = ([], [])
+        self.since += 1
 
 
 @dataclass
@@ -97,6 +98,7 @@ class Item:
     templated: list[str]
     word_of: np.ndarray  # the passage's word that each token belongs to
     n_words: int
+    ids: tuple[int, np.ndarray] | None = None  # numbers of the tokens, and since which clearing they hold
 
 
 class Index:
@@ -117,7 +119,7 @@ class Index:
             self.items.append(Item(item_id, held, [self.templated(t) for t in held], np.array(word_of, np.int64), w))
         self.ids, self.known = _Ids(self.templated), _Templates(self.templated)
         # Windows of all passages, sorted by the key of their template: where each occurs, and the key of its own words.
-        places = [(key, own, k, at) for k, item in enumerate(self.items) for at, (own, key) in enumerate(zip(*(x.tolist() for x in self._keys_of(item.tokens)), strict=True))]
+        places = [(key, own, k, at) for k, item in enumerate(self.items) for at, (own, key) in enumerate(zip(*(x.tolist() for x in self._keys_of(item.tokens)[:2]), strict=True))]
         places.sort()
         self.template, self.own, self.item_of, self.at = (np.array([x[j] for x in places], np.int64) for j in range(4))
         self.keys, self.first = np.unique(self.template, return_index=True)
@@ -125,11 +127,16 @@ class Index:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.keys & (len(self.bits) - 1)] = True
 
-    def _keys_of(self, found: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of all windows, by their words and by their template."""
+    def _keys_of(self, found: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of all windows, by their words and by their template, and the numbers of the words."""
         ids = np.fromiter(map(self.ids.__getitem__, found), np.int64)
         own, templated = (np.array(h, np.int64)[ids] for h in self.ids.hashes) if len(ids) else (ids, ids)
-        return self._keys(own), self._keys(templated)
+        return self._keys(own), self._keys(templated), ids
+
+    def _ids_of(self, item: Item) -> np.ndarray:
+        if item.ids is None or item.ids[0] != self.ids.since:
+            item.ids = self.ids.since, np.fromiter(map(self.ids.__getitem__, item.tokens), np.int64)
+        return item.ids[1]
 
     def templated(self, token: str) -> str:
         return template(token, self.names)
@@ -165,7 +172,7 @@ class Index:
         found = [tokens(t) for t in texts]
         sizes = np.array([len(f) for f in found], np.int64)
         doc = np.repeat(np.arange(len(found)), sizes)
-        own, keys = self._keys_of(chain.from_iterable(found))
+        own, keys, ids = self._keys_of(chain.from_iterable(found))
         if not len(keys) or not len(self.keys):
             return []
         w = self.rule.window
@@ -182,11 +189,11 @@ class Index:
             high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PLACES, side="right")), low + 1)
             while high < len(hits) and doc[hits[high]] == doc[hits[high - 1]]:
                 high += 1
-            out += self._settle(found, begin, doc, own, hits[low:high], at[low:high])
+            out += self._settle(found, begin, doc, own, ids, hits[low:high], at[low:high])
             low = high
         return out
 
-    def _settle(self, found: list[list[str]], begin: np.ndarray, doc: np.ndarray, own: np.ndarray, hits: np.ndarray, at: np.ndarray) -> list[tuple]:
+    def _settle(self, found: list[list[str]], begin: np.ndarray, doc: np.ndarray, own: np.ndarray, ids: np.ndarray, hits: np.ndarray, at: np.ndarray) -> list[tuple]:
         """The results of whole texts, given their hits and the templates these are of."""
         times = self.times[at]
         hit = np.repeat(hits, times)
@@ -199,10 +206,22 @@ class Index:
         starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         counts = np.diff(np.append(starts, len(pair)))
         some = np.logical_or.reduceat(same, starts) if len(starts) else np.empty(0, bool)
+        for k in np.unique(self.item_of[place]).tolist():
+            self._ids_of(self.items[k])
+        held = np.zeros(len(self.ids), bool)  # of all words, those of the text at hand
+        held_of = -1
         out = []
         for s, n in zip(starts[some | (counts >= self._least_alike)].tolist(), counts[some | (counts >= self._least_alike)].tolist(), strict=True):
             d, k = divmod(int(pair[s]), len(self.items))
             item, part = self.items[k], slice(s, s + n)
+            if d != held_of:
+                if held_of >= 0:
+                    held[ids[begin[held_of] : begin[held_of] + len(found[held_of])]] = False
+                held[ids[begin[d] : begin[d] + len(found[d])]] = True
+                held_of = d
+            enough = n >= self._least_alike
+            if not enough and not self._few_lacking(~held[self._ids_of(item)], item):
+                continue  # the whole text lacks too many of the passage's words
             seeds = list(zip(word[part].tolist(), spot[part].tolist(), strict=True))
             exact = [x for x, e in zip(seeds, same[part].tolist(), strict=True) if e]
             got = self._stretch(found[d], item.tokens, item, exact) if exact else None
@@ -225,21 +244,27 @@ class Index:
         return max(1, rule.words - rule.window + 1 - rule.words // rule.per_edit_alike * rule.window)
 
     def _alike_enough(self, alike: list[tuple[int, int]]) -> bool:
-        """Whether so many windows lie near one diagonal (no stretch has fewer)."""
-        least = self._least_alike
+        """Whether so many windows lie together near one diagonal: within the tokens of rule.words words (two tokens a word at most)."""
+        least, drift, span = self._least_alike, 2 * (self.rule.words // self.rule.per_edit_alike), 2 * self.rule.words
         if len(alike) < least:
             return False
-        diagonal = sorted(d - p for d, p in alike)
-        return any(diagonal[k + least - 1] - diagonal[k] <= 2 * (self.rule.words // self.rule.per_edit_alike) for k in range(len(diagonal) - least + 1))
+        near: dict[int, list[int]] = {}
+        for d, p in alike:
+            near.setdefault(d - p, []).append(d)
+        for low in near:
+            at = sorted({d for x in range(low, low + drift + 1) for d in near.get(x, ())})
+            if any(at[k + least - 1] - at[k] <= span for k in range(len(at) - least + 1)):
+                return True
+        return False
 
     def _with_other_values(self, found: list[str], item: Item, seeds: list[tuple[int, int]]) -> tuple[int, int, int] | None:
-        """words, edits, slots of a stretch that has the passage's template with other values in its slots.
+        """words, edits, slots of a stretch that has the passage's template with other values in its slots, walking from its windows.
 
         Slots must be consistent: a value of the passage stands for one value of the text wherever it occurs in the stretch
         (each further place counts as an edit), and some value must differ.
         """
         low, high = max(0, min(d for d, _ in seeds) - len(item.tokens)), min(len(found), max(d for d, _ in seeds) + 2 * len(item.tokens))
-        got = self._stretch([self.known[t] for t in found[low:high]], item.templated, item, [(d - low, p) for d, p in seeds])
+        got = self._stretch([self.known[t] for t in found[low:high]], item.templated, item, [(d - low, p) for d, p in seeds], walks_only=True)
         if not got:
             return None
         words, edits, pairs = got
@@ -252,7 +277,7 @@ class Index:
         slots = sum(own != there for own, (there, _) in usual.items())
         return (words, edits, slots) if slots and edits <= words // self.rule.per_edit_alike else None
 
-    def _stretch(self, found: list[str], own: list[str], item: Item, seeds: list[tuple[int, int]]) -> tuple[int, int, list[tuple[int, int]]] | None:
+    def _stretch(self, found: list[str], own: list[str], item: Item, seeds: list[tuple[int, int]], walks_only: bool = False) -> tuple[int, int, list[tuple[int, int]]] | None:
         """The longest stretch of at least rule.words words around the seeds with at most one edit in rule.per_edit words, with its
         pairs of places. ``found`` and ``own`` are the tokens of text and passage, or the templates of both."""
         reach = len(own) + self.rule.edits * 2 + 8
@@ -265,16 +290,19 @@ class Index:
                 end += 1
             low, high = max(0, seeds[at][0] - reach), min(len(found), seeds[end - 1][0] + reach)
             if self._promising(found[low:high], own, item):
-                got = self._within(found, own, item, seeds[at:end], reach)
+                got = self._within(found, own, item, seeds[at:end], walks_only)
                 if got and (best is None or got[:2] > best[:2]):
                     best = got
             at = end
         return best
 
-    def _within(self, found: list[str], own: list[str], item: Item, seeds: list[tuple[int, int]], reach: int) -> tuple[int, int, list[tuple[int, int]]] | None:
+    def _within(self, found: list[str], own: list[str], item: Item, seeds: list[tuple[int, int]], walks_only: bool) -> tuple[int, int, list[tuple[int, int]]] | None:
         best = None
         walked: set[tuple[int, int]] = set()
-        aligned_to = -1
+        aligned: list[int] = []
+        # A stretch through a seed leaves its diagonal by its edits at most; so do stretches through seeds of diagonals close by.
+        close = 8
+        slack = len(own) // self.rule.per_edit + 2 * close
         for d, p in seeds:
             if (d, p) in walked:
                 continue
@@ -282,12 +310,10 @@ class Index:
             blocks = self._along(found, own, d, p)
             walked.update((b.a + j, b.b + j) for b in blocks for j in range(b.size))
             got = self._judge(blocks, item, own, found, 0)
-            if got is None and d >= aligned_to:
-                # The rest are aligned over the whole region.
-                low = max(0, d - reach)
-                later = [x for x, _ in seeds if d <= x < d + reach]
-                high = min(len(found), max(later) + reach)
-                aligned_to = max(later) + 1
+            if got is None and not walks_only and all(abs(d - p - x) > close for x in aligned):
+                # The rest are aligned over all that a stretch through the seed can reach.
+                aligned.append(d - p)
+                low, high = max(0, d - p - slack), min(len(found), d - p + len(own) + slack)
                 if self._promising(found[low:high], own, item):
                     got = self._judge([b for b in SequenceMatcher(None, found[low:high], own, autojunk=False).get_matching_blocks() if b.size], item, own, found, low)
             if got and (best is None or got[:2] > best[:2]):
@@ -304,11 +330,14 @@ class Index:
 
     def _promising(self, region: list[str], own: list[str], item: Item) -> bool:
         """Whether some stretch of the passage has at most one word in rule.per_edit that the region lacks; no leak is without one."""
+        held = set(region)
+        return self._few_lacking([t not in held for t in own], item)
+
+    def _few_lacking(self, tokens: np.ndarray | list[bool], item: Item) -> bool:
         n = self.rule.words
         if item.n_words < n:
             return False
-        held = set(region)
-        lacking = np.bincount(item.word_of, [t not in held for t in own], minlength=item.n_words) > 0
+        lacking = np.bincount(item.word_of, tokens, minlength=item.n_words) > 0
         # Over words i to j: lacking <= (j - i) / per_edit, so the excess at j isn't above some excess at i <= j - n.
         excess = np.append(0, np.cumsum(lacking)) * self.rule.per_edit - np.arange(item.n_words + 1)
         return bool((excess[n:] <= np.maximum.accumulate(excess)[:-n]).any())
