@@ -36,6 +36,7 @@ CODE = re.compile(r"^[a-z]{1,4}_?\d{3,}$", re.I)
 # A short tag before a colon or a dash between blanks, as interfaces put before a name; letters with dots between them are one word.
 TAG = re.compile(r"^\s*(\w{1,6})\s*(?::|\s-\s)\s*(?=\S)")
 INITIALS = re.compile(r"(?<![a-z0-9])[a-z](?:\.[a-z])+(?![a-z0-9])")
+LONGEST_NAME = 200  # characters of a text whose blanks may be misplaced; a longer one is no name with a slip of the finger
 MOST_MEMORY = 100_000  # texts or tokens a worker remembers
 
 
@@ -144,6 +145,7 @@ class Matcher:
         self.solid = defaultdict(set)
         for ref, tokens in self.phrases:
             self.solid["".join(tokens)].add(ref)
+        self.longest, self.longest_word = max(map(len, self.solid), default=0), max(map(len, [*self.idf, *self.lexicon]), default=0)
         self.solid_near = defaultdict(set)
         for s in self.solid:
             for d in _deletions(s, 1):
@@ -161,7 +163,7 @@ class Matcher:
                 out[word] = 0.92 if word.startswith(token) else 0.85
         if not known:
             most = _allowed(len(token))
-            if most:
+            if most and len(token) <= self.longest_word + most:  # a longer one is no misspelt word of the list
                 for d in _deletions(token, most):
                     for word in self.near.get(d, ()):
                         e = distance(token, word, max(most, _allowed(len(word))))
@@ -201,12 +203,12 @@ class Matcher:
         if text is None:
             return 0, 0.0
         ranked = self._ranked(typed(text))
-        if not ranked or max(ranked)[0] < self.threshold:
+        if len(text) <= LONGEST_NAME and (not ranked or max(ranked)[0] < self.threshold):
             # Two words run together, and a blank that changed places with its neighbour; with less room for repairs.
             others = [text[: k - 1] + " " + text[k - 1] + text[k + 1 :] for k, c in enumerate(text) if c == " " and 0 < k]
             others += [text[:k] + text[k + 1] + " " + text[k + 2 :] for k, c in enumerate(text) if c == " " and k < len(text) - 1]
             others += self._parted(text)
-            ranked += [r for o in others[:200] for r in self._ranked(typed(o)) if r[0] >= self.sure]
+            ranked += [r for o in others for r in self._ranked(typed(o)) if r[0] >= self.sure]
         if not ranked:
             return 0, 0.0
         score, _, ref = max(ranked, key=lambda r: (r[0], r[1], -r[2]))
@@ -239,6 +241,7 @@ class Matcher:
                             gained[p][word] = (i, s)
             seen: dict[str, int] = {}  # a word typed twice counts once
             again = [bool(known) and seen.setdefault(max(known, key=known.get), i) != i for i, (known, _) in enumerate(reading)]
+            total = sum(w * w for w, a in zip(weight, again, strict=True) if not a)
             for p, pairs in gained.items():
                 used, score, size = set(), 0.0, 0.0
                 for word, (i, s) in sorted(pairs.items(), key=lambda x: -x[1][1]):
@@ -246,9 +249,9 @@ class Matcher:
                         used.add(i)
                         score += s * self.idf[word] ** 2
                         size += self.idf[word] ** 2
-                size += sum(w * w for i, w in enumerate(weight) if i not in used and not again[i])
-                ranked.append((score / math.sqrt(size) / self.norm[p], -len(self.phrases[p][1]), self.phrases[p][0]))
-        if len(solid) >= 4:
+                size += total - sum(weight[i] ** 2 for i in used if not again[i])
+                ranked.append((score / math.sqrt(max(size, 1e-12)) / self.norm[p], -len(self.phrases[p][1]), self.phrases[p][0]))
+        if 4 <= len(solid) <= self.longest + 1:
             for d in _deletions(solid, 1):
                 for s in self.solid_near.get(d, ()):
                     if len(self.solid[s]) == 1 and distance(solid, s, 1) <= 1:
@@ -286,7 +289,8 @@ def map_names(df: DataFrame, reference: DataFrame, list_name: str, id_col: str,
 
     Each distinct typed token is joined to the vocabulary of the list by edit distance (through deletion neighbourhoods, with
     shortened words beside misspelt ones, and general abbreviations read as the words they stand for), and complete entries are ranked
-    by soft TF-IDF over the repaired tokens; the run of all letters covers misplaced blanks. NULL, empty, blank and code-like
+    by soft TF-IDF over the repaired tokens; the run of all letters covers misplaced blanks, as do blanks moved by one place (in texts of up to
+    LONGEST_NAME characters). NULL, empty, blank and code-like
     names are told by ``display``; without one they mean none. Repeated rows come out each. Ties go to the entry with fewer
     tokens, then the lower id.
 

@@ -46,7 +46,7 @@ def test_words_and_short_forms():
         ("Heart Rate", None, 12), ("HEART  RT", None, 12), ("RATE, HEART", None, 12), ("heatr-rate", None, 12), ("hr", None, 12), ("PHL: Hear tRate", None, 12),
         ("cuff mn prs", None, 4), ("CUFF_DIASTOL._PRES.", None, 6), ("Exaired Desflurane", None, 20), ("exp_sevofl", None, 19), ("A-LINE MEAN", None, 1),
         ("FLO_30009", "arterial line mean pressure", 1), ("R893", "Heart rate", 12), (None, "RATE, RESPIRATORY - auto", 14), ("", "heart rate", 12), ("   ", None, 0), ("R893", None, 0), (None, None, 0),
-        ("Wound dressing intact", "Wound dressing intact", 0), ("Meal tray", None, 0), ("zz test row", None, 0), ("x" * 50_000, None, 0),
+        ("Wound dressing intact", "Wound dressing intact", 0), ("Meal tray", None, 0), ("zz test row", None, 0), ("x" * 50_000, None, 0), ("hear trate " * 20_000, None, 12), ("".join(map(chr, (97 + k * k % 26 for k in range(60_000)))), None, 0), ("zz qq " * 20_000, "Heart rate", 12),
     ],
 )
 def test_entries(name, display, ref):
