@@ -381,6 +381,33 @@ def paired_validation(spark: SparkSession, folder: str) -> DataFrame:
     return _paired(spark, folder, curve=True)
 
 
+_NAMES = {"auroc": "auroc", "auprc": "auprc", "brier": "brier", "scaled_brier": "scaled_brier", "log_loss": "log_loss", "observed_expected_ratio": "oe_ratio", "calibration_slope": "slope", "calibration_in_the_large": "citl", "ici": "ici"}
+_FIRST_MODELS = f"{_MAIN}, models as (select 'common18' as model, patient_id, y, p from main union all " + " union all ".join(ref._simple(f).replace("from pred", "from main") for f in score.SIMPLE_MODELS).replace("case_id, patient_id", "patient_id") + ")"
+
+
+@query(
+    f"with recursive {_FIRST_MODELS}, {_POINT_SQL}, own as ("
+    + " union all ".join(f"select model, null::varchar as versus, '{m}' as metric, {c} as estimate from point" for m, c in _NAMES.items())
+    + ") select model, versus, metric, round(estimate, 6) as estimate from own union all select 'common18', b.model, b.metric, round(a.estimate - b.estimate, 6) from own a join own b using (metric) where a.model = 'common18' and b.model <> 'common18'"
+)
+def paired_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimates of the paired validation, which are those of the sample: they come through the same sums as its replicates."""
+    got = resample.paired_validation(_first_models(spark, folder), "model", "common18", CLINICAL, CLINICAL, replicates=20)
+    return rounded(got.filter("threshold is null").select("model", "versus", "metric", "estimate"))
+
+
+@query(
+    f"""with {ref._FIRST}, pred as (select *, outcome as y, {_LINEAR} as p from first_of), s as (select threshold, count(*)::double as n, count(*) filter (where a and y = 1)::double as tp, count(*) filter (where a and y = 0)::double as fp, sum(y)::double as e
+      from (select threshold, y, (stage1_alert = 1 or p >= threshold) as a from pred, (select unnest([{", ".join(map(repr, CLINICAL))}])::double as threshold)) group by 1)
+    select threshold, 'alert_rate' as metric, round((tp + fp) / n, 6) as estimate from s union all select threshold, 'sensitivity', round(tp / nullif(e, 0), 6) from s union all select threshold, 'ppv', round(tp / nullif(tp + fp, 0), 6) from s
+    union all select threshold, 'net_benefit', round((tp - fp * threshold / (1 - threshold)) / n, 6) from s"""
+)
+def two_stage_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimates of the two-stage bootstrap, through the same sums as its replicates."""
+    first = score.score(ref._first(spark, folder).withColumn("y", F.col("outcome"))).withColumn("p", F.when(F.col("stage1_alert") == 1, 1.0).otherwise(F.col("p")))
+    return rounded(resample.bootstrap_thresholds(checkpointed(first.select("patient_id", "y", "p")), CLINICAL, replicates=20).select("threshold", "metric", "estimate"))
+
+
 @query()
 def replicate_algebra(spark: SparkSession, folder: str) -> DataFrame:
     rows = _first_models(spark, folder).filter("model = 'common18'")
@@ -395,7 +422,7 @@ def bootstrap_gate(spark: SparkSession, folder: str) -> DataFrame:
     return checks.replicate_gate(got, ["model", "threshold"], REPLICATES, alerts=metrics.workload(rows, CLINICAL, ["model"], patient=None).select("model", "threshold", "alerts"))
 
 
-@query()
+@query("select 'lower_not_above_upper' as name, cast(0 as bigint) as violations, 1 as passed")
 def ci_order(spark: SparkSession, folder: str) -> DataFrame:
     return checks.interval_order(_paired(spark, folder))
 
