@@ -270,7 +270,7 @@ _GRID = f"{ref._RAW}, {ref._CASES}, " + ", ".join(_setting_sql(k, *s) for k, s i
 )
 def sensitivity_grid(spark: SparkSession, folder: str) -> DataFrame:
     """The flow of the cohort selected anew under every phase, buffer, variant of the grid, and on the fine grid with its own events."""
-    readings, cases, parts = checkpointed(ref.raw(spark, folder)), checkpointed(ref.cases(spark, folder)), []
+    readings, cases, parts = checkpointed(ref.raw(spark, folder, 60.0)), checkpointed(ref.cases(spark, folder)), []
     for (a, s), kw in _SETTINGS.items():
         found, first = _setting(readings, cases, kw)
         counts = found.agg(F.count("*").alias("c0"), F.count_if((F.col("feature_evaluable") == 1) & (F.col("outcome_evaluable") == 1)).alias("c1")).crossJoin(
@@ -287,7 +287,7 @@ def sensitivity_grid(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sensitivity_performance(spark: SparkSession, folder: str) -> DataFrame:
     """The frozen model in each of those cohorts."""
-    readings, cases = checkpointed(ref.raw(spark, folder)), checkpointed(ref.cases(spark, folder))
+    readings, cases = checkpointed(ref.raw(spark, folder, 60.0)), checkpointed(ref.cases(spark, folder))
     rows = [score.score(_setting(readings, cases, kw)[1].filter("stage2 = 1").withColumn("y", F.col("outcome"))).select(F.lit(a).alias("analysis"), F.lit(s).alias("setting"), "y", "p") for (a, s), kw in _SETTINGS.items()]
     return _shown(checkpointed(secondary.union_all(rows)), ["analysis", "setting"])
 
@@ -306,7 +306,7 @@ def _shown(rows: DataFrame, groups: list[str]) -> DataFrame:
 )
 def endpoint_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     """The frozen model against other endpoints of the same cases, where they can be judged."""
-    series, main = checkpointed(ref.h5(spark, folder).filter("time_min <= 60")), first_scored(spark, folder).select("case_id", "t0", "p")
+    series, main = checkpointed(ref.h5(spark, folder, 60.0)), first_scored(spark, folder).select("case_id", "t0", "p")
     rows = []
     for name, kw in ref._SENS.items():
         other = landmark.windows(series, main.select("case_id", "t0"), landmark.Windows(**kw)).filter("outcome is not null").select(F.col("case_id").alias("_c"), F.col("outcome").alias("y"))

@@ -57,21 +57,28 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw(spark: SparkSession, folder: str) -> DataFrame:
+def raw(spark: SparkSession, folder: str, until: float | None = None) -> DataFrame:
     """Readings of the two devices in mmHg, whatever unit they were delivered in; devices are told by their label.
 
-    Readings whose label means neither (:func:`unmapped_sources` counts them) take no part.
+    Readings whose label means neither (:func:`unmapped_sources` counts them) take no part. With
+    ``until`` only readings up to that minute, which are all that a cell with that label or a smaller one holds.
     """
     rows = units.reading_units(table(spark, folder, "map_observations")).withColumn("source", parse.device_of(F.col("map_source"))).filter(F.col("source").isNotNull())
+    rows = rows if until is None else rows.filter(F.col("minute_from_anesthesia_start") <= until)
     return rows.select(F.col("encounter_id").alias("case_id"), F.col("minute_from_anesthesia_start").alias("t"), F.col("value_mmhg").alias("map"), "source")
 
 
-def h5(spark: SparkSession, folder: str) -> DataFrame:
-    return grid.harmonize(raw(spark, folder), 5.0)
+def _grid(spark: SparkSession, folder: str, width: float, until: float | None) -> DataFrame:
+    cells = grid.harmonize(raw(spark, folder, until), width)
+    return cells if until is None else cells.filter(F.col("time_min") <= until)
 
 
-def r1(spark: SparkSession, folder: str) -> DataFrame:
-    return grid.harmonize(raw(spark, folder), 1.0)
+def h5(spark: SparkSession, folder: str, until: float | None = None) -> DataFrame:
+    return _grid(spark, folder, 5.0, until)
+
+
+def r1(spark: SparkSession, folder: str, until: float | None = None) -> DataFrame:
+    return _grid(spark, folder, 1.0, until)
 
 
 def level(spark: SparkSession, folder: str, w: landmark.Windows = landmark.Windows(), series: DataFrame | None = None) -> DataFrame:
@@ -81,7 +88,7 @@ def level(spark: SparkSession, folder: str, w: landmark.Windows = landmark.Windo
     windows again nor drags their expressions along.
     """
     # No window looks beyond the last search time plus the horizon.
-    series = h5(spark, folder) if series is None else series
+    series = h5(spark, folder, w.search_until + w.horizon) if series is None else series
     found = landmark.windows(series.filter(F.col("time_min") <= w.search_until + w.horizon), None, w)
     return checkpointed(found.join(cases(spark, folder), "case_id").filter(F.col("duration_min") >= F.col("t0") + w.horizon))
 
@@ -293,7 +300,7 @@ def outcome_h5(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {_H5}, {_grid_sql('r1', 1)}, {_t0_sql('ev', 'h5')}, {_windows_sql('win', 'r1', 'ev', landmark.FINE)} select {_OUTCOME} from win")
 def outcome_r1(spark: SparkSession, folder: str) -> DataFrame:
     t0 = landmark.find_t0(h5(spark, folder)).select("case_id", "t0")
-    return rounded(landmark.windows(r1(spark, folder).filter("time_min <= 60"), t0, landmark.FINE).select(*_OUTCOME_COLUMNS))
+    return rounded(landmark.windows(r1(spark, folder, 60.0), t0, landmark.FINE).select(*_OUTCOME_COLUMNS))
 
 
 _CELLS = f"""{_LEVEL}, {_grid_sql('r1', 1)}, base as (select * from win join (select case_id from cases) using (case_id) where feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1),
@@ -304,7 +311,7 @@ cells as (select f.case_id, f.pr || '_input_' || o.pr || '_outcome' as cell, f.f
 
 @query(f"with {_CELLS} select case_id, cell, feature_evaluable, round(early_auc65_0_5_mmhg_min, 6) as early_auc65_0_5_mmhg_min, outcome_evaluable, round(outcome_auc, 6) as outcome_auc, outcome from cells")
 def cells_2x2(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(landmark.observation_cells(h5(spark, folder).filter("time_min <= 60"), r1(spark, folder).filter("time_min <= 60"), cases(spark, folder)))
+    return rounded(landmark.observation_cells(h5(spark, folder, 60.0), r1(spark, folder, 60.0), cases(spark, folder)))
 
 
 @query(f"with {_LEVEL} select case_id, patient_id, t0, feature_evaluable, outcome_evaluable, stage1_alert, stage2, outcome from lvl")
@@ -336,7 +343,7 @@ def cohort_flow(spark: SparkSession, folder: str) -> DataFrame:
     """Ten counts from all cases to second-stage events; from first_per_patient on they are of each patient's first fully evaluable case."""
     every = cases(spark, folder)
     # One row per case with an event, written once: counts of all of them and of first cases read it.
-    found = checkpointed(landmark.windows(h5(spark, folder).filter("time_min <= 60")).join(every, "case_id").select("case_id", "patient_id", "start_key", "t0", "duration_min", "feature_evaluable", "outcome_evaluable", "stage1_alert", "stage2", "outcome"))
+    found = checkpointed(landmark.windows(h5(spark, folder, 60.0)).join(every, "case_id").select("case_id", "patient_id", "start_key", "t0", "duration_min", "feature_evaluable", "outcome_evaluable", "stage1_alert", "stage2", "outcome"))
     long = F.col("duration_min") >= F.col("t0") + 30
     known, judged = F.col("feature_evaluable") == 1, F.col("outcome_evaluable") == 1
     a = found.agg(F.count("*").alias("c1"), F.count_if(long).alias("c2"), F.count_if(long & known).alias("c3"), F.count_if(long & judged).alias("c4"), F.count_if(long & known & judged).alias("c5"))
@@ -684,8 +691,8 @@ _AGREE = f"{_CELLS}, pairs as (select b.case_id, b.outcome as a, f.outcome as b
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    base = landmark.windows(h5(spark, folder).filter("time_min <= 60")).join(cases(spark, folder), "case_id").filter("feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1")
-    fine = landmark.windows(r1(spark, folder).filter("time_min <= 60"), base.select("case_id", "t0"), landmark.FINE)
+    base = landmark.windows(h5(spark, folder, 60.0)).join(cases(spark, folder), "case_id").filter("feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1")
+    fine = landmark.windows(r1(spark, folder, 60.0), base.select("case_id", "t0"), landmark.FINE)
     return base.select("case_id", F.col("outcome").alias("a")).join(fine.select("case_id", F.col("outcome").alias("b")), "case_id")
 
 
@@ -720,7 +727,7 @@ _SENS = {"persistent_15": dict(persistent_after=15.0), "auc_50": dict(high_burde
     )
 )
 def reclassification(spark: SparkSession, folder: str) -> DataFrame:
-    series = h5(spark, folder).filter("time_min <= 60")
+    series = h5(spark, folder, 60.0)
     base = landmark.windows(series)
     events = base.select("case_id", "t0")
     parts = []
@@ -743,7 +750,7 @@ def endpoint_components(spark: SparkSession, folder: str) -> DataFrame:
     + " union all ".join(f"select {k} as phase, count(*) as n, count(*) filter (where outcome = 1) as events from w{k} join cases using (case_id) where duration_min >= t0 + 30 and feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1" for k in range(5))
 )
 def sensitivity_flow(spark: SparkSession, folder: str) -> DataFrame:
-    parts, readings = [], checkpointed(raw(spark, folder))
+    parts, readings = [], checkpointed(raw(spark, folder, 60.0))
     for k in range(5):
         rows = evaluable(level(spark, folder, series=grid.harmonize(readings, 5.0, float(k)))).filter("stage2 = 1")
         parts.append(rows.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == 1).alias("events")).select(F.lit(k).alias("phase"), "n", "events"))
@@ -923,7 +930,7 @@ def _effects() -> dict[str, dict[str, float]]:
 @query()
 def factorial_2x2(spark: SparkSession, folder: str) -> DataFrame:
     """Effects of the grid of the features and of the outcome on each metric, over cases that are complete in all four cells."""
-    readings = checkpointed(raw(spark, folder))
+    readings = checkpointed(raw(spark, folder, 60.0))
     coarse, fine = (grid.harmonize(readings, width).filter("time_min <= 60") for width in (5.0, 1.0))
     base = checkpointed(landmark.windows(coarse).join(cases(spark, folder), "case_id").filter("feature_evaluable = 1 and outcome_evaluable = 1 and stage2 = 1"))
     other = checkpointed(landmark.windows(fine, base.select("case_id", "t0"), landmark.FINE).filter("feature_evaluable = 1 and outcome_evaluable = 1"))
