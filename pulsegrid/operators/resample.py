@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.session import checkpointed
 
 CORE = ("auroc", "auprc", "brier", "log_loss")
 FACTORIAL = (*CORE, "calibration_slope", "calibration_in_the_large")
 PAIRED = (*FACTORIAL, "scaled_brier", "observed_expected_ratio", "ici")
 BLOCK = 100  # replicates that a task makes of one group
-INTERVALS = 1024  # of the score, by which replicates are added up
-CELLS = 2_000_000  # rows times replicates in memory at once
-MOST_GROUPS, MOST_HELD = 1_000, 6  # groups in all, and groups a task adds up at once
+INTERVALS = 1024  # distinct scores looked at at once, in BLOCK replicates
+CELLS = 200_000  # rows times replicates that are drawn at once
+HELD = 64_000_000  # distinct scores times replicates whose counts a task holds at once; a byte each for events and for others, more where a count needs it
+Pieces = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # ascending distinct scores, and the events and others of each (rows) in each replicate (columns)
 _LIMITS = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)]))  # of a Poisson count of mean 1
 
 
@@ -40,26 +40,63 @@ def draws(key: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     return w
 
 
-def _newton(lp: np.ndarray, y: np.ndarray, w: np.ndarray, slope: bool) -> np.ndarray:
-    """Coefficients (intercept, slope) of unpenalised logistic fits of y, one per column of ``w``; NaN where none exists."""
+def _least(counts: np.ndarray) -> np.ndarray:
+    """``counts`` in as few bytes as hold them."""
+    return counts.astype(next((t for t in (np.uint8, np.uint16, np.uint32) if counts.max(initial=0) <= np.iinfo(t).max), float))
+
+
+def _drawn(p: np.ndarray, y: np.ndarray, key: np.ndarray, starts: np.ndarray, replicates: np.ndarray, size: int) -> Pieces:
+    """The draws of rows (by p, then y), added up by distinct score; ``starts``: where each score begins. Pieces have ``size`` scores."""
+    out, ends = [], np.append(starts[1:], len(p))
+    for k in range(0, len(starts), size):
+        scores = starts[k : k + size]
+        sums = np.zeros((2 * len(scores), len(replicates)))
+        step = CELLS // len(replicates) + 1
+        for a in range(scores[0], ends[k : k + size][-1], step):
+            b = min(a + step, ends[k : k + size][-1])
+            cell = (np.searchsorted(scores, np.arange(a, b), side="right") - 1) * 2 + (y[a:b] != 1)
+            order = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+            sums[cell[order][first]] += np.add.reduceat(draws(key[a:b][order], replicates), first, axis=0)
+        out.append((p[scores], _least(sums[::2]), _least(sums[1::2])))
+    return out
+
+
+def _newton(pieces: Pieces, some: np.ndarray, slope: bool, centre: float = 0.0, scale: float = 1.0) -> np.ndarray:
+    """Coefficients (intercept, slope) of unpenalised logistic fits on (logit(p) - centre) / scale, one per replicate of ``some``; NaN where none exists."""
 
-    def solve(w: np.ndarray, start: np.ndarray) -> np.ndarray:
-        beta, open_ = np.repeat(start[:, None], w.shape[1], axis=1), np.arange(w.shape[1])
+    def solve(pieces: Pieces, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+        lps = [(_logit(p) - centre) / scale for p, _, _ in pieces]
+        events, total, turned = (np.zeros(len(at)) for _ in range(3))
+        for lp, (_, pos, neg) in zip(lps, pieces, strict=True):
+            events, total, turned = events + pos[:, at].sum(0, dtype=float), total + pos[:, at].sum(0, dtype=float) + neg[:, at].sum(0, dtype=float), turned + lp @ pos[:, at]
+        beta, open_ = np.repeat(start[:, None], len(at), axis=1), np.arange(len(at))
         for _ in range(60):
-            v = w[:, open_]
-            z = beta[0, open_] + lp[:, None] * beta[1, open_]
-            q = 1 / (1 + np.exp(-z))
-            r, h = v * (q - y[:, None]), v * q * (1 - q)
-            total = v.sum(0)
-            g0, h00 = r.sum(0), h.sum(0)
+            g0, g1, h00, h01, h11 = -events[open_], -turned[open_], *(np.zeros(len(open_)) for _ in range(3))
+            for lp, (_, pos, neg) in zip(lps, pieces, strict=True):
+                n = pos[:, at[open_]].astype(float)
+                n += neg[:, at[open_]]
+                q = lp[:, None] * -beta[1, open_]
+                q -= beta[0, open_]
+                np.exp(q, out=q)
+                q += 1
+                np.reciprocal(q, out=q)
+                n *= q
+                g0 += n.sum(0)
+                g1 += lp @ n
+                q -= 1
+                n *= q  # weights of the Hessian, negative
+                h00 -= n.sum(0)
+                if slope:
+                    h01 -= lp @ n
+                    h11 -= (lp * lp) @ n
             if slope:
-                g1, h01, h11 = lp @ r, lp @ h, (lp * lp) @ h
                 det = h00 * h11 - h01 * h01
                 step = np.array([h11 * g0 - h01 * g1, h00 * g1 - h01 * g0]) / det
-                size = np.maximum(np.abs(g0), np.abs(g1)) / total
+                size = np.maximum(np.abs(g0), np.abs(g1)) / total[open_]
                 step[:, det <= 1e-12 * h00 * h11] = np.nan
             else:
-                step, size = np.array([g0 / h00, np.zeros(len(open_))]), np.abs(g0) / total
+                step, size = np.array([g0 / h00, np.zeros(len(open_))]), np.abs(g0) / total[open_]
             done = size < 1e-10
             step *= np.minimum(1, 2 / np.maximum(np.abs(step).max(0), 1e-300))
             beta[:, open_] -= np.where(done, 0.0, step)
@@ -72,174 +109,162 @@ def _newton(lp: np.ndarray, y: np.ndarray, w: np.ndarray, slope: bool) -> np.nda
         return beta
 
     with np.errstate(all="ignore"):
-        first = solve(np.ones((len(y), 1)), np.array([0.0, 1.0]))[:, 0]
-        return solve(w, first if np.isfinite(first).all() else np.array([0.0, 1.0]))
-
-
-def _ici(y: np.ndarray, p: np.ndarray, w: np.ndarray, bins: int = 10) -> np.ndarray:
-    """As metrics.ici on rows repeated ``w`` times (rows in order of p); the bins are those of each replicate."""
-    out = np.full(w.shape[1], np.nan)
-    for k in range(w.shape[1]):
-        v = w[:, k]
-        run = np.cumsum(v)
-        if run[-1] <= 0:
-            continue
-        at = np.arange(bins + 1) / bins * (run[-1] - 1)
-        low, high = (p[np.searchsorted(run, i, side="right")] for i in (np.floor(at), np.ceil(at)))
-        edges = np.unique(low + (high - low) * (at - np.floor(at)))
-        which = np.searchsorted(edges[1:-1], p, side="right")
-        n = np.bincount(which, v)
-        rate = np.bincount(which, v * y) / np.where(n > 0, n, 1)
-        out[k] = np.sum(v * np.abs(rate[which] - p)) / run[-1]
-    return out
+        # All replicates together begin; each goes on from where they end.
+        all_ = [(p, pos.sum(1, dtype=float)[:, None], neg.sum(1, dtype=float)[:, None]) for p, pos, neg in pieces]
+        first = solve(all_, np.arange(1), np.array([0.0, 1.0]))[:, 0]
+        return solve(pieces, np.flatnonzero(some), first if np.isfinite(first).all() else np.array([0.0, 1.0]))
 
 
-def weighted_metrics(y: np.ndarray, p: np.ndarray, w: np.ndarray, names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """Each metric of the rows (in order of p) under each column of weights; NaN where it isn't defined."""
-    starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-    pos, neg = (np.add.reduceat(w * c[:, None], starts, axis=0) for c in (y, 1 - y))
-    events, others, total = pos.sum(0), neg.sum(0), w.sum(0)
+def _logit(p: np.ndarray) -> np.ndarray:
     clipped = np.clip(p, 1e-12, 1 - 1e-12)
-    lp = np.log(clipped) - np.log1p(-clipped)
-    both = (events > 0) & (others > 0)
+    return np.log(clipped) - np.log1p(-clipped)
+
+
+def _ici(pieces: Pieces, bins: int = 10) -> np.ndarray:
+    """As metrics.ici on rows repeated as they were drawn; the bins are those of each replicate."""
+    total = sum(pos.sum(0, dtype=float) + neg.sum(0, dtype=float) for _, pos, neg in pieces)
+    at = np.arange(bins + 1) / bins * (total[:, None] - 1)
+    ranks = np.concatenate([np.floor(at), np.ceil(at)], axis=1)
+    found, before = np.full(ranks.shape, np.nan), np.zeros(len(total))
+    for p, pos, neg in pieces:
+        run = (before + np.cumsum(pos + neg.astype(float), axis=0)).T
+        here = (ranks >= before[:, None]) & (ranks < run[:, -1:])
+        for k in np.flatnonzero(here.any(1)):
+            found[k, here[k]] = p[np.searchsorted(run[k], ranks[k, here[k]], side="right")]
+        before = run[:, -1].copy()
+    low, high = found[:, : bins + 1], found[:, bins + 1 :]
+    edges = low + (high - low) * (at - np.floor(at))
+    inner = np.full((len(total), bins - 1), np.inf)
+    for k in np.flatnonzero(total > 0):
+        own = np.unique(edges[k])[1:-1]
+        inner[k, : len(own)] = own
+    each = np.arange(len(total))[:, None]
+    sums = lambda c: np.concatenate([np.zeros((1, c.shape[1])), np.cumsum(c, axis=0)])
+
+    def borders(p: np.ndarray) -> np.ndarray:
+        cut = np.searchsorted(p, inner.ravel()).reshape(inner.shape)
+        return np.column_stack([np.zeros(len(cut), int), cut, np.full(len(cut), len(p))])
+
+    n, hit = (np.zeros((len(total), bins)) for _ in range(2))
+    for p, pos, neg in pieces:
+        b, a, c = borders(p), sums(pos.astype(float)), sums(neg.astype(float))
+        n += a[b[:, 1:], each] - a[b[:, :-1], each] + c[b[:, 1:], each] - c[b[:, :-1], each]
+        hit += a[b[:, 1:], each] - a[b[:, :-1], each]
+    rate = hit / np.where(n > 0, n, 1)
+    gap = np.zeros(len(total))
+    for p, pos, neg in pieces:
+        b, w = borders(p), pos + neg.astype(float)
+        s, t = sums(w), sums(w * p[:, None])
+        lo, hi = b[:, :-1], b[:, 1:]
+        mid = np.clip(np.searchsorted(p, rate.ravel()).reshape(rate.shape), lo, hi)  # scores below the rate of their bin end here
+        gap += (rate * (2 * s[mid, each] - s[lo, each] - s[hi, each]) - 2 * t[mid, each] + t[lo, each] + t[hi, each]).sum(1)
+    with np.errstate(all="ignore"):
+        return np.where(total > 0, gap / total, np.nan)
+
+
+def _measures(pieces: Pieces, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Each metric under each replicate; NaN where it isn't defined."""
+    unknown = set(names) - set(PAIRED)
+    if unknown:
+        raise ValueError(f"unknown metric {min(unknown)}")
+    events, others, area, steps, squares, loss, expected = (np.zeros(pieces[0][1].shape[1]) for _ in range(7))
     out: dict[str, np.ndarray] = {}
     with np.errstate(all="ignore"):
-        brier, prevalence = ((y - p) ** 2) @ w / total, events / total
+        for p, pos, neg in reversed(pieces):
+            pos, neg = pos.astype(float), neg.astype(float)
+            tp, fp = (run + np.cumsum(c[::-1], axis=0)[::-1] for run, c in ((events, pos), (others, neg)))
+            if "auroc" in names:
+                area += (neg * (tp - 0.5 * pos)).sum(0)
+            if "auprc" in names:
+                steps += np.where(pos > 0, pos * tp / (tp + fp), 0.0).sum(0)
+            clipped = np.clip(p, 1e-12, 1 - 1e-12)
+            squares += ((1 - p) ** 2) @ pos + (p**2) @ neg
+            loss -= np.log(clipped) @ pos + np.log1p(-clipped) @ neg
+            expected += p @ pos + p @ neg
+            events, others = tp[0], fp[0]
+        total, both = events + others, (events > 0) & (others > 0)
+        brier, prevalence = squares / total, events / total
         for name in names:
             if name == "auroc":
-                out[name] = (pos * (np.cumsum(neg, 0) - 0.5 * neg)).sum(0) / (events * others)
+                out[name] = area / (events * others)
             elif name == "auprc":
-                tp, fp = (np.cumsum(c[::-1], 0)[::-1] for c in (pos, neg))
-                out[name] = np.where(pos > 0, pos * tp / (tp + fp), 0.0).sum(0) / events
+                out[name] = steps / events
             elif name == "brier":
                 out[name] = brier
             elif name == "scaled_brier":
                 out[name] = 1 - brier / (prevalence * (1 - prevalence))
             elif name == "log_loss":
-                out[name] = -(y * np.log(clipped) + (1 - y) * np.log1p(-clipped)) @ w / total
+                out[name] = loss / total
             elif name == "observed_expected_ratio":
-                out[name] = events / (p @ w)
+                out[name] = events / expected
             elif name == "calibration_slope":
-                out[name] = np.where(both, _slope(lp, y, w, both), np.nan)
+                out[name] = _slope(pieces, both)
             elif name == "calibration_in_the_large":
-                out[name] = np.where(both, _in_the_large(lp, y, w, both), np.nan)
+                out[name] = _in_the_large(pieces, both)
             elif name == "ici":
-                out[name] = _ici(y, p, w)
-            else:
-                raise ValueError(f"unknown metric {name}")
+                out[name] = _ici(pieces)
     return out
 
 
-def _slope(lp: np.ndarray, y: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
-    out, scale = np.full(w.shape[1], np.nan), lp.std()
+def _slope(pieces: Pieces, some: np.ndarray) -> np.ndarray:
+    out, lp = np.full(len(some), np.nan), [_logit(p) for p, _, _ in pieces]
+    n = sum(map(len, lp))
+    centre = sum(x.sum() for x in lp) / n
+    scale = np.sqrt(sum(((x - centre) ** 2).sum() for x in lp) / n)
     if scale > 1e-12:
-        out[some] = _newton((lp - lp.mean()) / scale, y, w[:, some], True)[1] / scale
+        out[some] = _newton(pieces, some, True, centre, scale)[1] / scale
     return out
 
 
-def _in_the_large(lp: np.ndarray, y: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
-    out = np.full(w.shape[1], np.nan)
-    out[some] = _newton(lp, y, w[:, some], False)[0]
+def _in_the_large(pieces: Pieces, some: np.ndarray) -> np.ndarray:
+    out = np.full(len(some), np.nan)
+    out[some] = _newton(pieces, some, False)[0]
     return out
 
 
-def _edges(rows: DataFrame, groups: list[str], cuts: list[float]) -> dict[tuple, np.ndarray]:
-    """By group: ascending scores that begin intervals. All distinct scores if there are at most INTERVALS, else about as many of
-    equal frequency from a bounded sketch; ``cuts`` begin intervals in any case."""
-    at = F.array(*[F.lit(k / INTERVALS) for k in range(INTERVALS + 1)])
-    few = rows.groupBy(*groups).agg(F.count_distinct("_p").alias("n"), F.percentile_approx("_p", at, F.lit(20 * INTERVALS)).alias("q")).limit(MOST_GROUPS + 1).collect()
-    if len(few) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups to draw replicates of")
-    out = {tuple(r[g] for g in groups): {*r["q"]} for r in few if r["n"]}
-    small = [tuple(r[g] for g in groups) for r in few if 0 < r["n"] <= INTERVALS]
-    if small:  # at most INTERVALS rows for each of them
-        wanted = rows.sparkSession.createDataFrame([(*k, True) for k in small], ", ".join([*(f"`_g{j}` {rows.schema[g].dataType.simpleString()}" for j, g in enumerate(groups)), "_small boolean"]))
-        held = rows.select(*groups, "_p").distinct()
-        same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{j}")) for j, g in enumerate(groups)], F.lit(True))
-        for r in held.join(F.broadcast(wanted), same).select(*groups, "_p").collect():
-            out[tuple(r[g] for g in groups)].add(r["_p"])
-    return {k: np.array(sorted({*v, *cuts})) for k, v in out.items()}
-
-
-def _replicated(df: DataFrame, groups: list[str], replicates: int, seed: int, patient: str, compute, cuts: list[float] | tuple = ()) -> DataFrame:
-    """groups, replicate (0: the sample itself), threshold, metric, value of ``compute(y, p, w)``, which yields threshold, metric, values.
-
-    Rows stay where they lie: each task draws the counts of its rows and adds them up by interval of the score and block of
-    replicates, as vectors of events and of others. Only these sums are shuffled (at most INTERVALS rows a group, block and task, added
-    up before and after), and one task per group and block computes its replicates from INTERVALS rows, however many rows there are. While
-    a group has at most INTERVALS distinct scores every score is an interval of its own and nothing is lost; beyond, a score
-    counts as the mean of its interval.
+def _piece(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    return p[starts], *(np.add.reduceat(w * c[:, None], starts, axis=0) for c in (y, 1 - y))
+
+
+def weighted_metrics(y: np.ndarray, p: np.ndarray, w: np.ndarray, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Each metric of the rows (in order of p) under each column of weights; NaN where it isn't defined."""
+    return _measures([_piece(y, p, w)], names)
+
+
+def _replicated(df: DataFrame, groups: list[str], replicates: int, seed: int, patient: str, compute) -> DataFrame:
+    """groups, replicate (0: the sample itself), threshold, metric, value of ``compute(pieces)``, which yields threshold, metric, values.
+
+    Every distinct score counts as itself, however many there are. The rows of a group (score, outcome and hash of the patient: 17 bytes)
+    go to one task for each block of replicates, so tasks are as many as groups and blocks. A task draws the counts of its rows and adds
+    them up by distinct score, for as many replicates at once as HELD allows, and computes metrics piece by piece of the scores.
     """
-    blocks = -(-(replicates + 1) // BLOCK)
-    rows = df.filter(F.col("p").isNotNull() & F.col("y").isNotNull()).select(*groups, F.xxhash64(F.lit(seed), F.col(patient)).alias("_key"), F.col("y").cast("double").alias("_y"), F.col("p").cast("double").alias("_p"))
+    blocks, size, most = -(-(replicates + 1) // BLOCK), INTERVALS, HELD
+    rows = df.filter(F.col("p").isNotNull() & F.col("y").isNotNull()).select(
+        *groups, F.xxhash64(F.lit(seed), F.col(patient)).alias("_key"), (F.col("y") == 1).cast("tinyint").alias("_y"), F.col("p").cast("double").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
+    )
     kinds = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in groups)
-    result = f"{kinds}replicate int, threshold double, metric string, value double"
-    edges = _edges(rows, groups, list(cuts))
-    if not edges:
-        return df.sparkSession.createDataFrame([], result)
-    shared = df.sparkSession.sparkContext.broadcast(edges)  # INTERVALS numbers a group
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-
-        def flush() -> Iterator[pd.DataFrame]:
-            for key, sums in held.items():
-                some = np.flatnonzero(sums[:, 0, 0] + sums[:, 1, 0] > 0)
-                for block in range(blocks):
-                    part = sums[some, :, block * BLOCK : min((block + 1) * BLOCK, replicates + 1)]
-                    vectors = np.concatenate([part.reshape(len(some), -1), sums[some, :, -1]], axis=1)
-                    out = pd.DataFrame({"_block": block, "_bin": some, "_v": list(vectors)})
-                    for g, v in zip(groups, key, strict=True):
-                        out[g] = v
-                    yield out[[*groups, "_block", "_bin", "_v"]]
-            held.clear()
-
-        every = np.arange(replicates + 1)
-        for frame in frames:
-            parts = frame.groupby(groups, dropna=False, sort=False) if groups else [((), frame)]
-            for key, part in parts:
-                key = tuple(None if isinstance(k, float) and np.isnan(k) else k for k in key)
-                own = shared.value[key]
-                if key not in held:
-                    if len(held) >= MOST_HELD:
-                        yield from flush()
-                    held[key] = np.zeros((len(own), 2, replicates + 2))
-                sums = held[key]
-                p, y, hashed = part["_p"].to_numpy(), part["_y"].to_numpy(), part["_key"].to_numpy()
-                at = np.maximum(np.searchsorted(own, p, side="right") - 1, 0)
-                order = np.lexsort((y, at))
-                for k in range(0, len(order), CELLS // (replicates + 1) + 1):
-                    some = order[k : k + CELLS // (replicates + 1) + 1]
-                    w = draws(hashed[some], every)
-                    cell = at[some] * 2 + (y[some] != 1)
-                    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                    flat = sums.reshape(-1, replicates + 2)
-                    flat[cell[starts], :-1] += np.add.reduceat(w, starts, axis=0)
-                    flat[cell[starts], -1] += np.add.reduceat(p[some], starts)
-        yield from flush()
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        block = int(key[-1])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block = key[-1].as_py()
         wanted = np.arange(block * BLOCK, min((block + 1) * BLOCK, replicates + 1))
-        f = f.sort_values("_bin")
-        v = np.stack(f["_v"].to_numpy())
-        pos, neg = v[:, : len(wanted)], v[:, len(wanted) : 2 * len(wanted)]
-        n = f["_n"].to_numpy()
-        p = (v[:, -2] + v[:, -1]) / n
-        both = np.stack([pos, neg], axis=1).reshape(2 * len(p), -1)
-        made = compute(np.tile([1.0, 0.0], len(p)), np.repeat(p, 2), both)
-        each = lambda values: np.repeat(np.array(values), len(wanted))
-        out = pd.DataFrame({"replicate": np.tile(wanted, len(made)), "threshold": each([np.nan if t is None else t for t, _, _ in made]), "metric": each([m for _, m, _ in made]), "value": np.concatenate([x for _, _, x in made])})
-        for name, value in zip(groups, key):
-            out[name] = value
-        return out[[*groups, "replicate", "threshold", "metric", "value"]]
-
-    sums = rows.mapInPandas(add, f"{kinds}_block int, _bin int, _v array<double>")
-    total = sums.groupBy(*groups, "_block", "_bin").agg(vector_to_array(Summarizer.sum(array_to_vector("_v"))).alias("_v"))
-    # Each interval's number of rows is the sample's own count, which block 0 has in replicate 0.
-    counts = total.filter("_block = 0").select(*[F.col(g).alias(f"_g{j}") for j, g in enumerate(groups)], F.col("_bin").alias("_b"), (F.col("_v")[0] + F.col("_v")[min(BLOCK, replicates + 1)]).alias("_n"))
-    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{j}")) for j, g in enumerate(groups)], F.col("_bin") == F.col("_b"))
-    made = total.join(counts, same).select(*groups, "_block", "_bin", "_v", "_n").groupBy(*groups, "_block").applyInPandas(run, result)
+        p, y = table["_p"].to_numpy(), table["_y"].to_numpy()
+        order = np.lexsort((y, p))
+        p, y, hashed = p[order], y[order], table["_key"].to_numpy()[order]
+        starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        at_once = int(min(len(wanted), max(1, most // len(starts))))
+        out = []
+        for k in range(0, len(wanted), at_once):
+            some = wanted[k : k + at_once]
+            made = compute(_drawn(p, y, hashed, starts, some, size * max(1, BLOCK // len(some))))
+            each = lambda values, kind: pa.array([v for v in values for _ in some], kind)  # noqa: E731, B023
+            columns = [pa.array(np.tile(some, len(made)), pa.int32()), each([t for t, _, _ in made], pa.float64()), each([m for _, m, _ in made], pa.string()), pa.array(np.concatenate([x for _, _, x in made]).astype(float))]
+            out.append(pa.table([*[pa.array([v.as_py()] * len(columns[0]), v.type) for v in key[:-1]], *columns], names=[*groups, "replicate", "threshold", "metric", "value"]))
+        return pa.concat_tables(out)
+
+    # Stated, since the work lies in the replicates and not in the bytes by which partitions would be put together.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * blocks)
+    made = rows.repartition(parts, *groups, "_block").groupBy(*groups, "_block").applyInArrow(run, f"{kinds}replicate int, threshold double, metric string, value double")
     return made.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value")))
 
 
@@ -253,8 +278,8 @@ def _intervals(reps: DataFrame, keys: list[str], replicates: int, alpha: float,
 
 
 def _metrics(names: tuple[str, ...]):
-    def compute(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> list:
-        return [(None, m, v) for m, v in weighted_metrics(y, p, w, names).items()]
+    def compute(pieces: Pieces) -> list:
+        return [(None, m, v) for m, v in _measures(pieces, names).items()]
 
     return compute
 
@@ -299,12 +324,12 @@ UTILITY = ("net_benefit", "net_benefit_all", "avoided_per_100")
 
 
 def _at_thresholds(thresholds: list[float], utility: list[float], names: tuple[str, ...]):
-    def compute(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> list:
-        out, events, others = [], y @ w, (1 - y) @ w
+    def compute(pieces: Pieces) -> list:
+        out, events, others = [], *(sum(piece[k].sum(0, dtype=float) for piece in pieces) for k in (1, 2))
         with np.errstate(all="ignore"):
             for t in thresholds:
-                a = (p >= t).astype(float)
-                sums = (a * y) @ w, (a * (1 - y)) @ w, events, others, t / (1 - t)
+                tp, fp = (sum(piece[k][np.searchsorted(piece[0], t) :].sum(0, dtype=float) for piece in pieces) for k in (1, 2))
+                sums = tp, fp, events, others, t / (1 - t)
                 out += [(t, m, THRESHOLD[m](*sums)) for m in names if m not in UTILITY or t in utility]
         return out
 
@@ -315,7 +340,7 @@ def bootstrap_thresholds(df: DataFrame, thresholds: list[float], replicates: int
     """groups, threshold, metric, estimate, lower, upper, sd, n_valid of the metrics ``names`` (of THRESHOLD); those of utility only at the thresholds ``utility``."""
     ts = sorted({float(t) for t in thresholds})
     compute = _at_thresholds(ts, ts if utility is None else [float(t) for t in utility], names)
-    return _intervals(_replicated(df, groups, replicates, seed, "patient_id", compute, ts), [*groups, "threshold"], replicates, alpha, 0.8)
+    return _intervals(_replicated(df, groups, replicates, seed, "patient_id", compute), [*groups, "threshold"], replicates, alpha, 0.8)
 
 
 def _spline(lp: np.ndarray, knots: np.ndarray) -> np.ndarray:
@@ -325,25 +350,29 @@ def _spline(lp: np.ndarray, knots: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones_like(lp), lp, *bent])
 
 
-def _curves(y: np.ndarray, p: np.ndarray, w: np.ndarray, knots: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Observed probability on a grid of scores by a restricted cubic spline of logit(p), one column per column of ``w``; NaN without a fit."""
-    logit = lambda q: np.log(q) - np.log1p(-q)
-    x, at = (_spline(logit(np.clip(q, 1e-12, 1 - 1e-12)), knots) for q in (p, grid))
-    scale = np.abs(x).max(0)
+def _curves(pieces: Pieces, knots: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Observed probability on a grid of scores by a restricted cubic spline of logit(p), one column per replicate; NaN without a fit."""
+    xs, at = [_spline(_logit(p), knots) for p, _, _ in pieces], _spline(_logit(grid), knots)
+    scale = np.max([np.abs(x).max(0) for x in xs], axis=0)
     scale[scale == 0] = 1.0
-    x, at = x / scale, at / scale
-    k, beta = x.shape[1], np.zeros((w.shape[1], x.shape[1]))
+    xs, at = [x / scale for x in xs], at / scale
+    k, live = at.shape[1], np.arange(pieces[0][1].shape[1])
+    beta = np.zeros((len(live), k))
     beta[:, 1] = scale[1]
-    live = np.arange(w.shape[1])
     with np.errstate(all="ignore"):
         for _ in range(40):
-            v = w[:, live]
-            q = 1 / (1 + np.exp(-(x @ beta[live].T)))
-            g = (v * (q - y[:, None])).T @ x
-            h = np.einsum("mr,mi,mj->rij", v * q * (1 - q), x, x, optimize=True)
+            g, h, total = np.zeros((len(live), k)), np.zeros((len(live), k * k)), np.zeros(len(live))
+            for x, (_, pos, neg) in zip(xs, pieces, strict=True):
+                y = pos[:, live].astype(float)
+                v = y + neg[:, live]
+                q = 1 / (1 + np.exp(-(x @ beta[live].T)))
+                g += (v * q - y).T @ x
+                h += (v * q * (1 - q)).T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
+                total += v.sum(0)
+            h = h.reshape(len(live), k, k)
             ok = np.isfinite(h).all((1, 2)) & (np.linalg.matrix_rank(np.nan_to_num(h)) == k)
             beta[live[~ok]] = np.nan
-            live, g, h, total = live[ok], g[ok], h[ok], v.sum(0)[ok]
+            live, g, h, total = live[ok], g[ok], h[ok], total[ok]
             if not len(live):
                 break
             step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
@@ -370,13 +399,14 @@ def paired_validation(
     ts = sorted({float(t) for t in thresholds})
     at = _at_thresholds(ts, [float(t) for t in utility], ("alert_rate", "sensitivity", "ppv", "alerts_per_tp", "false_alerts_per_tp", "net_benefit"))
 
-    def compute(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> list:
-        out = [(None, m, v) for m, v in weighted_metrics(y, p, w, PAIRED).items()] + at(y, p, w)
+    def compute(pieces: Pieces) -> list:
+        out = [(None, m, v) for m, v in _measures(pieces, PAIRED).items()] + at(pieces)
         if curve is not None:
-            out += [(float(x), "curve", v) for x, v in zip(curve[1], _curves(y, p, w, curve[0], curve[1]), strict=True)]
+            out += [(float(x), "curve", v) for x, v in zip(curve[1], _curves(pieces, curve[0], curve[1]), strict=True)]
         return out
 
-    reps = _replicated(df, [model], replicates, seed, "patient_id", compute, ts).withColumnRenamed(model, "model")
+    # Models by themselves and against each other are read off the same replicates, which are made once.
+    reps = checkpointed(_replicated(df, [model], replicates, seed, "patient_id", compute)).withColumnRenamed(model, "model")
     own = reps.select("model", F.lit(None).cast("string").alias("versus"), "threshold", "metric", "replicate", "value")
     first = reps.filter((F.col("model") == primary) & (F.col("metric") != "curve")).select(F.col("threshold").alias("_t"), F.col("metric").alias("_m"), F.col("replicate").alias("_r"), F.col("value").alias("_v"))
     other = reps.filter(F.col("model") != primary)
@@ -406,7 +436,7 @@ def derived(reps: DataFrame) -> DataFrame:
 def threshold_replicates(df: DataFrame, thresholds: list[float], replicates: int, seed: int = 7) -> DataFrame:
     """replicate, threshold, metric, value of alert_rate, sensitivity and net_benefit: what :func:`derived` takes."""
     ts = sorted({float(t) for t in thresholds})
-    return _replicated(df, [], replicates, seed, "patient_id", _at_thresholds(ts, ts, ("alert_rate", "sensitivity", "net_benefit")), ts)
+    return _replicated(df, [], replicates, seed, "patient_id", _at_thresholds(ts, ts, ("alert_rate", "sensitivity", "net_benefit")))
 
 
 def bootstrap_callable(df: DataFrame, metric, columns: list[str], replicates: int = 200, seed: int = 7, most_rows: int = 1_000_000, blocks: int = 16) -> DataFrame:
