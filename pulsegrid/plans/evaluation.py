@@ -362,8 +362,8 @@ def _first_models(spark: SparkSession, folder: str) -> DataFrame:
     return checkpointed(score.score_models(ref._first(spark, folder).filter("stage2 = 1").withColumn("y", F.col("outcome"))).select("model", "patient_id", "y", "p"))
 
 
-def _paired(spark: SparkSession, folder: str, curve: bool = False) -> DataFrame:
-    rows = _first_models(spark, folder)
+def _paired(spark: SparkSession, folder: str, curve: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    rows = _first_models(spark, folder) if rows is None else rows
     at = None
     if curve:
         q = metrics.quantiles(rows.filter("model = 'common18'").withColumn("lp", ref.parse.logit(F.col("p"))), [], "lp", [0.05, 0.35, 0.65, 0.95, 0.01, 0.99]).first()
@@ -478,8 +478,9 @@ def flow_figure(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def performance_report(spark: SparkSession, folder: str) -> DataFrame:
     """Estimates with intervals of each model and paired differences, as they are printed; estimates must equal the point estimates."""
-    got = _paired(spark, folder).filter("threshold is null")
-    point = performance.point_performance(_first_models(spark, folder), ["model"])
+    rows = _first_models(spark, folder)
+    got = _paired(spark, folder, rows=rows).filter("threshold is null")
+    point = performance.point_performance(rows, ["model"])
     names = {"auroc": "auroc", "auprc": "auprc", "brier": "brier", "scaled_brier": "scaled_brier", "log_loss": "log_loss", "observed_expected_ratio": "oe_ratio", "calibration_slope": "slope", "calibration_in_the_large": "citl", "ici": "ici"}
     long = point.select("model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in names.items()])).alias("r")).select("model", "r.*")
     return reports.performance_table(long, got, "model", "common18", 1e-6)

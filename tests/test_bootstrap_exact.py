@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import resample
+from pulsegrid.operators import performance, reports, resample
 
 
 def sample(spark, n=3000):
@@ -55,3 +55,12 @@ def test_many_groups(spark):
     """More groups than once were let through."""
     rows = spark.range(3 * 1200).select((F.col("id") % 1200).alias("g"), F.col("id").cast("string").alias("patient_id"), (F.col("id") % 2).cast("int").alias("y"), F.lit(0.5).alias("p"))
     assert resample.bootstrap(rows, ["g"], 2, metrics=("brier",)).filter("estimate = 0.25").count() == 1200
+
+
+def test_report_of_many_scores(spark):
+    df = sample(spark).withColumn("patient_id", F.concat("patient_id", F.monotonically_increasing_id().cast("string")))
+    got = resample.paired_validation(df, "model", "a", [0.3], [0.3], replicates=20).filter("threshold is null")
+    names = {"auroc": "auroc", "auprc": "auprc", "brier": "brier", "scaled_brier": "scaled_brier", "log_loss": "log_loss", "observed_expected_ratio": "oe_ratio", "calibration_slope": "slope", "calibration_in_the_large": "citl", "ici": "ici"}
+    point = performance.point_performance(df, ["model"]).select("model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in names.items()])).alias("r")).select("model", "r.*")
+    table = reports.performance_table(point, got, "model", "a", 1e-6)
+    assert table.count() == 3 * 9 and table.filter("shown like '% (% to %)'").count() == 3 * 9
